@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import table
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import crc_mod, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +17,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = fit(docs.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id"))
+    return score(docs, model).select(
+        "doc_id",
+        (crc_mod("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.decontamination import contamination, digest
 
@@ -29,6 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
