@@ -7,6 +7,8 @@ driver handles doesn't grow with the number of documents. Documents then take th
 from __future__ import annotations
 
 import bisect
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,19 +21,52 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import LOWER, stage
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+
+
+#: How byte-level tokenizers show a byte: printable Latin-1 as itself, the others, in order, from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_SHOWN = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+
+
+class _Packers(dict):
+    def __missing__(self, n: int):
+        self[n] = struct.Struct(f"<{n}I").pack
+        return self[n]
+
+
+_PACK = _Packers()
 
 
 class _Ids(dict):
-    """Ids, as little-endian 32-bit bytes, of what stands between white space; forgets all when full."""
+    """Ids, as little-endian 32-bit bytes, of what stands between white space; forgets all when full.
+
+    A word of letters alone that is already in lower case and normal form passes the tokenizer's normaliser and splitter
+    unchanged, so it goes to its BPE model directly; a full stop or comma after a letter is always a token of its own.
+    Everything else is encoded by the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.marks = {mark: self.whole(mark) for mark in (b".", b",")}
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def modelled(self, word: bytes) -> bytes:
+        shown = word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_SHOWN)
+        return _PACK[len(tokens := self.tokenize(shown))](*[t.id for t in tokens])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if (mark := self.marks.get(word[-1:])) and word[-2:-1].isalpha():
+            return self[word[:-1]] + mark
+        if word.isalpha() or ((text := word.decode()).isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)):
+            ids = self.modelled(word)
+        else:
+            ids = self.whole(word)
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = ids
@@ -52,7 +87,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     A document is the tokenizer's ids of its whole text, then `end_id`; a null or empty text is `end_id` alone. Only
     documents longer than `capacity` are cut, each piece but the last having exactly `capacity` ids. The tokenizer must
-    ignore white space and letter case (as word_bpe_49k does): ids are looked up by white-space separated chunk.
+    be word_bpe_49k or alike: byte-level BPE that ignores white space and letter case and splits letters from others.
+    Ids are looked up by white-space separated chunk.
     Repeated rows each get their own pieces; a null doc_id stays null; other columns are ignored.
     """
 
