@@ -22,7 +22,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = fit(docs.where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id"))
+    model = fit(docs, labels.where(crc_mod("doc_id", 3) != 1))
     return score(docs, model).select(
         "doc_id",
         (crc_mod("doc_id", 3) == 1).alias("held_out"),

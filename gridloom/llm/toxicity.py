@@ -88,18 +88,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model from rows (doc_id, text, label 0 or 1), in one task, on the bounded sample of Settings.
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """A model from texts (doc_id, text) and labels (doc_id, label 0 or 1), in one task, on the bounded sample of Settings.
 
-    Rows with a null label are left out; a null text is empty. Without rows, all scores are one half.
+    The sample is chosen among the labels alone, by hashed doc_id, so only its texts move; its ids are broadcast, at most
+    `positives` + `negatives` of them. Other labels, and ids that are null or unknown, are left out; a null text is
+    empty; of repeated doc_ids as many rows are used as the bounds allow. Without rows, all scores are one half.
     """
-    rows = labelled.where(F.col("label").isin(0, 1)).select(
-        F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("order")
-    )
-    parts = [
-        rows.where(F.col("label") == y).orderBy("order", "text").limit(most)
-        for y, most in ((1, settings.positives), (0, settings.negatives))
-    ]
+    bounds = ((1, settings.positives), (0, settings.negatives))
+    known = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    ids = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y, most in bounds]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(ids[0].unionAll(ids[1])), "doc_id")
+    parts = [rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "text").limit(most).select("label", "text") for y, most in bounds]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []

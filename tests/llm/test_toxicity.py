@@ -25,10 +25,10 @@ def test_training_separates_and_stays_sparse():
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 8), (2, "", 8), (None, "x y z", None)], "doc_id long, text string, score int")
-    model = fit(spark.createDataFrame([], "doc_id long, text string, label int"))
+    model = fit(docs, spark.createDataFrame([], "doc_id long, label int"))
     rows = score(docs, model).collect()
     assert sorted(r.score for r in rows) == [0.5] * 4 and docs.columns == ["doc_id", "text", "score"]
-    model = fit(spark.createDataFrame([(1, "bad bad", 1), (2, "good", 0), (3, "x", None)], "doc_id long, text string, label int"))
+    model = fit(docs, spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 1)], "doc_id long, label int"))
     assert score(spark.createDataFrame([], docs.schema), model).count() == 0
     assert len({r.score for r in score(docs, model).where("text is null or text = ''").collect()}) == 1
 
@@ -39,7 +39,7 @@ def test_planted_words_are_found(spark):
     rows = [(i, t.replace("ax", "awful", 1) + " awful" if i % 3 == 0 else t, int(i % 3 == 0)) for i, t in enumerate(plain)]
     train_rows, test_rows = rows[:200], rows[200:]
     schema = "doc_id long, text string, label int"
-    found = score(spark.createDataFrame(test_rows, schema), fit(spark.createDataFrame(train_rows, schema))).collect()
+    found = score(spark.createDataFrame(test_rows, schema), fit(spark.createDataFrame(train_rows, schema).drop("label"), spark.createDataFrame(train_rows, schema).drop("text"))).collect()
     assert np.mean([(r.score >= 0.7) == bool(r.label) for r in found]) > 0.97
 
 
