@@ -108,3 +108,71 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer = LOWER_TABLE[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     return buffer, np.concatenate([[0], np.cumsum(lengths)])
+
+
+#: So many bytes are hashed at a time, which bounds the temporary arrays (some 40 bytes for each).
+SLICE = 2 << 20
+
+
+def hashed_words(texts: list[bytes], is_space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every word of a list of texts, in order. Long texts are hashed piece by piece, cut at
+    separators, so memory doesn't follow the longest text (but its longest word)."""
+    docs: list[np.ndarray] = []
+    hashes: list[np.ndarray] = []
+    pending: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if pending:
+            buffer, offsets = joined(pending)
+            starts, _, found = word_hashes(buffer, is_space)
+            docs.append(np.array(owners)[np.searchsorted(offsets, starts, "right") - 1])
+            hashes.append(found)
+        pending.clear()
+        owners.clear()
+        size = 0
+
+    for k, text in enumerate(texts):
+        at = 0
+        while len(text) - at > SLICE:
+            end = max(text.rfind(b" ", at + 1, at + SLICE), text.rfind(b"\n", at + 1, at + SLICE))
+            if end <= at:
+                end = min((x for x in (text.find(b" ", at + SLICE), text.find(b"\n", at + SLICE)) if x >= 0), default=len(text))
+            flush()
+            pending.append(text[at:end])
+            owners.append(k)
+            at = end
+        if size + len(text) - at > SLICE:
+            flush()
+        pending.append(text[at:])
+        owners.append(k)
+        size += len(text) - at
+    flush()
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): node and root, the least node of its component.
+
+    Alternating large and small stars; each round is written to the shared folder. Only grouped minima and n:1 joins are
+    used, so a node of very many edges isn't gathered anywhere. Rounds grow with the logarithm of the longest path.
+    """
+    both = lambda e: e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
+    while True:
+        least = both(edges).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both(edges).join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
+        edges = stage(small.where("a != b").distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if before == now:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = now

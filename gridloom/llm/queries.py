@@ -37,6 +37,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.near_dup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("representative.doc_id").alias("component_id"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.decontamination import contamination, digest
 
@@ -53,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op4_toxicity": op4_toxicity,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
