@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, components, hashed_words, mix, stage
+from gridloom.llm.common import SPACES, components, hashed_words, mix, pack_texts, stage, unpack_texts
 
 #: Bytes of text in a block, the unit that is looked at twice; tokens in a bucket, the unit that is counted at once.
 BLOCK_BYTES = 12 << 20
@@ -131,18 +131,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def pack_texts(texts: list[bytes]) -> bytes:
-    lengths = np.array([len(texts), *map(len, texts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(lengths + b"".join(texts))
-
-
-def unpack_texts(packed: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(packed)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    ends = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int64, n, 8))])
-    return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-
 def _flag(table: pa.Table) -> pa.Table:
     """For each block's tokens of one bucket, bits that say which occur in another set too."""
     parts = [np.frombuffer(p.as_py(), np.uint64) for p in table.column("payload")]

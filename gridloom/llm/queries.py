@@ -37,6 +37,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.language_model import score_texts
+
+    found = score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.near_dup import near_duplicates
 
@@ -60,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op4_toxicity": op4_toxicity,
+        "op5_context_tree_scores": op5_context_tree_scores,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
