@@ -44,6 +44,12 @@ def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.near_dup import near_duplicates
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_context_tree_scores": op5_context_tree_scores,
+        "op6_imatch_fingerprints": op6_imatch_fingerprints,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
