@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.line_dedup import dedup_lines
 
@@ -58,6 +64,13 @@ def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.near_dup import near_duplicates
 
@@ -79,11 +92,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_toxicity": op4_toxicity,
         "op5_context_tree_scores": op5_context_tree_scores,
         "op6_imatch_fingerprints": op6_imatch_fingerprints,
+        "op7_license_scan": op7_license_scan,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
