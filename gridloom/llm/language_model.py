@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import LOWER, pack_texts, stage, unpack_texts
 
 DEPTH = 6
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 #: A bucket has the distinct words or contexts of so many bytes of text.
 BUCKET_BYTES = 24 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 LN2 = float(np.log(2.0))
 
 
@@ -90,13 +90,12 @@ def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def block_codes(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes of a block, sorted, with their counts in the texts to learn from (0 if only in others)."""
-    parts, counts = [], []
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for which in (True, False):
         for some in _slices([t for t, y in zip(texts, learn, strict=True) if y == which]):
             u, c = np.unique(codes_of(some), return_counts=True)
-            parts.append(u)
-            counts.append(c if which else np.zeros(len(u), np.int64))
-    return add_up(parts, counts)
+            codes, counts = add_up([codes, u], [counts, c if which else np.zeros(len(u), np.int64)])
+    return codes, counts
 
 
 def add_up(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -444,7 +443,7 @@ class Lookup:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.shift = np.uint64(64 - min(24, max(4, int(len(codes)).bit_length() + 3)))
+        self.shift = np.uint64(64 - min(24, max(4, int(len(codes)).bit_length() + 2)))
         self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
         self.table[self._slot(codes)] = np.arange(len(codes), dtype=np.int32)
 
