@@ -1,0 +1 @@
+"""Panel time-series retrieval forecasting and its evaluation, as DataFrame operators."""
