@@ -112,7 +112,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: So many bytes are hashed at a time, which bounds the temporary arrays (some 40 bytes for each).
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def hashed_words(texts: list[bytes], is_space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

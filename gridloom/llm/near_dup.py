@@ -6,8 +6,8 @@ tokens with any other at all; the rest have no links. Then the remaining sets ar
 Tokens of few classes are indexed alone, tokens of many classes in combinations of two, and candidates are verified.
 
 A large group of near copies would make a quadratic number of links, of which only the components matter. So every set is
-first compared with the most central set that it shares a prefix token with; sets that this links form one class. The exact
-join then looks for links between different classes only, and loses none of them.
+first compared with a few of the most central sets that it shares a prefix token with; sets that this links form one class.
+The exact join then looks for links between different classes only, and loses none of them.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import SPACES, components, hashed_words, mix, pack_texts, stage, unpack_texts
 
 #: Bytes of text in a block, the unit that is looked at twice; tokens in a bucket, the unit that is counted at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 3_000_000
 #: Hash-order prefixes are longer than needed by this share of a set, so that more shared tokens are asked for.
 EXTENSION = 0.08
 #: A token of more classes than this is frequent.
 RARE = 48
+#: Rounds in which each set is compared with up to TRIES central sets of other classes, before the exact join.
+ROUNDS, TRIES = 3, 4
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -215,17 +217,41 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # Rare first: tokens that no other set has come before all these. One token more than a prefix, for combinations.
     weight = F.aggregate("shared", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
     central = F.struct((F.col("m") / F.col("n")).alias("share"), (weight / F.col("n")).alias("weight"), "sid")
+    cut = ordered.select("sid", F.col("n").cast("long").alias("n"), "m", central.alias("central"), F.slice("shared", F.lit(1), F.col("m") - least + 2).alias("prefix"))
     prefix = stage(
-        ordered.select("sid", "n", "m", central.alias("central"), F.posexplode(F.slice("shared", F.lit(1), F.col("m") - least + 2)).alias("k", "x")).select(
-            "sid", F.col("n").cast("long").alias("n"), "central", (F.col("n") - F.col("m") + F.col("k")).cast("long").alias("at"), F.col("x.token").alias("token")
+        cut.select("sid", "n", "m", "central", F.posexplode("prefix").alias("k", "x")).select(
+            "sid", "n", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), F.col("x.token").alias("token")
         ),
         "prefixes",
     )
-    # Classes: each set with the most central one that it meets.
-    hub = prefix.groupBy("token").agg(F.max("central").alias("hub"))
-    met = prefix.join(hub, "token").groupBy("sid").agg(F.max("hub").alias("hub")).select(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).where("a != b")
-    first = stage(_linked(met, sets, percent), "links")
-    classes = components(first)
+    # Classes: each set with the most central ones that it meets, first of all, then of other classes.
+    links = None
+    classes = None
+    for turn in range(ROUNDS):
+        if classes is None:
+            classed = prefix.withColumn("class", F.col("sid"))
+        else:
+            classed = prefix.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+        hub = F.struct("central", "class", "n", "at")
+        hubs = classed.groupBy("token").agg(F.max(hub).alias("hub"))
+        if turn:
+            other = classed.join(hubs, "token").where(F.col("class") != F.col("hub.class")).groupBy("token").agg(F.max(hub).alias("other"))
+            hubs = hubs.join(other, "token")
+            chosen = F.when(F.col("class") == F.col("hub.class"), F.col("other")).otherwise(F.col("hub"))
+        else:
+            chosen = F.col("hub")
+        met = classed.join(hubs, "token").select("sid", "n", "at", chosen.alias("hub"))
+        met = met.where(_may_link(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent) & (F.col("sid") != F.col("hub.central.sid")))
+        tried = met.groupBy("sid").agg(F.max("hub.central").alias("first")) if not turn else None
+        if turn:
+            pairs = met.groupBy("sid").agg(F.slice(F.reverse(F.array_sort(F.collect_set("hub.central"))), 1, TRIES).alias("hubs")).select(F.col("sid").alias("a"), F.explode("hubs.sid").alias("b"))
+        else:
+            pairs = tried.select(F.col("sid").alias("a"), F.col("first.sid").alias("b"))
+        new = stage(_linked(pairs, sets, percent), "links")
+        links = new if links is None else links.unionAll(new)
+        if turn and new.isEmpty():
+            break
+        classes = components(links)
     # Between classes: all that the prefixes allow.
     placed = stage(
         prefix.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("root", "sid").alias("class")),
@@ -256,7 +282,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     second = _linked(candidates, sets, percent)
-    return components(first.unionAll(second))
+    return components(links.unionAll(second))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -112,22 +112,21 @@ def templates(counted: DataFrame, settings: Settings) -> DataFrame:
 
 
 def judged(tree: DataFrame, settings: Settings) -> DataFrame:
-    """tree with `share`, the smoothed share of blocked labels of each row's template."""
-    site = F.concat_ws(".", F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)), F.lit(2)))
+    """tree with `share`, the smoothed share of blocked labels of each row's template: from all urls down to the site (the
+    host's last two labels), the host and each branch of the template."""
+    names = F.split("host", r"\.")
+    site = F.concat_ws(".", F.slice(names, F.greatest(F.size(names) - 1, F.lit(1)), F.lit(2)))
+    branch = lambda k: F.concat_ws("\x01", F.lit("branch"), F.col("host"), F.array_join(F.slice("template", F.lit(1), k), "\x01"))
+    depth = F.size("template")
+    branches = F.transform(F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), branch)
+    keys = F.concat(F.array(F.concat(F.lit("site\x01"), site), F.concat(F.lit("host\x01"), F.col("host"))), branches)
+    rows = tree.select("host", "segs", "good", "bad", F.posexplode(keys).alias("level", "key"))
+    sums = rows.groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    chain = rows.select("host", "segs", "level", "key").join(sums, "key").groupBy("host", "segs").agg(F.sort_array(F.collect_list(F.struct("level", "good", "bad"))).alias("chain"))
     total = tree.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
-    tree = tree.withColumn("site", site)
-    smooth = lambda good, bad, above: (bad + settings.strength * above) / (good + bad + settings.strength)
-    share = F.lit((float(total["b"] or 0) + 1) / (float((total["b"] or 0) + (total["g"] or 0)) + 2))
-    tree = tree.withColumn("share", share)
-    levels: list[tuple[str, list[Column]]] = [("site", [F.col("site")]), ("host", [F.col("host")])]
-    levels += [(f"l{k}", [F.col("host"), F.slice("template", 1, k)]) for k in range(1, settings.depth + 2)]
-    for name, key in levels:
-        keyed = tree.withColumn("key", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(key))))
-        sums = keyed.groupBy("key").agg(F.sum("good").alias("sum_good"), F.sum("bad").alias("sum_bad"))
-        deeper = keyed.join(sums, "key")
-        there = F.lit(True) if name in ("site", "host") else F.size("template") >= int(name[1:])
-        tree = deeper.withColumn("share", F.when(there, smooth(F.col("sum_good"), F.col("sum_bad"), F.col("share"))).otherwise(F.col("share"))).drop("key", "sum_good", "sum_bad")
-    return tree
+    good, bad = float(total["g"] or 0), float(total["b"] or 0)
+    share = F.aggregate("chain", F.lit((bad + 1) / (good + bad + 2)), lambda above, x: (x["bad"] + settings.strength * above) / (x["good"] + x["bad"] + settings.strength))
+    return tree.join(chain.select("host", "segs", share.alias("share")), ["host", "segs"])
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, settings: Settings = Settings()) -> DataFrame:
