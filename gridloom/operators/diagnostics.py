@@ -200,3 +200,58 @@ def band(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
 def spread_against_error(rows: DataFrame) -> DataFrame:
     """From (y, mu, sd): mean absolute error over mean sd; a Gaussian law has sqrt(2 / pi)."""
     return rows.agg(F.try_divide(F.avg(F.abs(F.col("y") - F.col("mu"))), F.avg("sd")).alias("ratio"), F.lit(float(np.sqrt(2 / np.pi))).alias("gaussian"))
+
+
+def cohorts(panel: DataFrame, origins: list[int], context: int = 56) -> DataFrame:
+    """Per (origin, id): zero_fraction of the context, degenerate (a context of zeros) and never_launched (no sale up to
+    the origin). One pass over the panel; origins are a short list."""
+    marks = F.explode(F.array(*map(F.lit, origins)))
+    rows = panel.withColumn("origin", marks).where(F.col("day_idx") <= F.col("origin"))
+    recent = F.col("day_idx") > F.col("origin") - context
+    out = rows.groupBy("origin", "id").agg(
+        F.avg(F.when(recent, (F.col("sales") == 0).cast("double"))).alias("zero_fraction"), F.max("sales").alias("top"), F.max(F.when(recent, F.col("sales"))).alias("recent_top")
+    )
+    return out.select("origin", "id", "zero_fraction", (F.col("recent_top") <= 0).alias("degenerate"), (F.col("top") <= 0).alias("never_launched"))
+
+
+def identifiability(records: DataFrame, arms: list[str], base: str) -> DataFrame:
+    """From per-(origin, id) errors of several arms: per tenth of zero_fraction, each arm's mean advantage over `base` on the
+    rows where all are defined and the series has been launched, averaged over origins, with its standard error."""
+    defined = ~F.col("never_launched")
+    for a in [base, *arms]:
+        defined = defined & F.col(a).isNotNull()
+    rows = records.where(defined).withColumn("bin", bin_index(F.col("zero_fraction")))
+    per = rows.groupBy("bin", "origin").agg(F.count("*").alias("n"), *(F.avg(F.col(base) - F.col(a)).alias(a) for a in arms))
+    out = [F.sum("n").alias("n"), F.count("*").alias("n_origins")]
+    for a in arms:
+        out += [F.avg(a).alias(a), (F.stddev_samp(a) / F.sqrt(F.count("*"))).alias(f"{a}_sem")]
+    return per.groupBy("bin").agg(*out)
+
+
+def rule_profile(errors: DataFrame, x: DataFrame, rules: list[str]) -> DataFrame:
+    """From (id, rule, error) of every scale rule and (id, x): per tenth of x, each rule's mean error and how often it is the
+    best, on the ids that all rules have. Ties for the best count for each."""
+    wide = errors.groupBy("id").pivot("rule", rules).agg(F.first("error")).dropna(subset=rules)
+    best = F.least(*map(F.col, rules)) if len(rules) > 1 else F.col(rules[0])
+    rows = wide.join(x, "id").withColumn("bin", bin_index(F.col("x")))
+    aggs = [F.count("*").alias("n")]
+    for r in rules:
+        aggs += [F.avg(r).alias(f"{r}_error"), F.avg((F.col(r) == best).cast("double")).alias(f"{r}_best")]
+    return rows.groupBy("bin").agg(*aggs)
+
+
+def exemplar(nearest: DataFrame, future: DataFrame, min_log_ratio: float = 0.7) -> DataFrame:
+    """Of the queries' first neighbours, the one whose continuation correlates best with the future although the scales
+    differ by more than 2 ** min_log_ratio; only futures of above-median variance count. Ties go to the smaller qid."""
+    steps = nearest.where("rank = 1").select("qid", "sid", "t_r", "c_scale", "q_scale", F.posexplode("cont").alias("h0", "v")).withColumn("h", F.col("h0") + 1)
+    per = steps.join(future.select(F.col("id").alias("qid"), "h", "y"), ["qid", "h"]).groupBy("qid", "sid", "t_r", "c_scale", "q_scale").agg(F.corr("v", "y").alias("shape"), F.var_pop("y").alias("variance"))
+    median = per.agg(F.percentile("variance", F.lit(0.5)).alias("median"))
+    ratio = F.abs(F.log2(F.try_divide("q_scale", "c_scale")))
+    kept = per.join(F.broadcast(median)).where((F.col("variance") > F.col("median")) & (ratio > min_log_ratio) & F.col("shape").isNotNull() & ~F.isnan("shape"))  # one row
+    return kept.select("qid", "sid", "t_r", "shape", ratio.alias("log_ratio")).orderBy(F.desc("shape"), "qid").limit(1)
+
+
+def closure(decomposed: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Whether the gap from raw to its oracle is what restoration removes plus what remains."""
+    gap, removed, left = F.col("raw") - F.col("raw_oracle"), F.col("raw") - F.col("restored"), F.col("restored") - F.col("raw_oracle")
+    return decomposed.select(gap.alias("gap"), removed.alias("removed"), left.alias("remaining"), (F.abs(gap - removed - left) <= tolerance).alias("closes"))

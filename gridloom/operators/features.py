@@ -41,3 +41,8 @@ def feature_frame(panel: DataFrame, train_end: int) -> DataFrame:
 
 def training_rows(features: DataFrame, train_end: int) -> DataFrame:
     return features.where((F.col("day_idx") <= train_end) & F.col("lag_28").isNotNull())
+
+
+def covariates(frame: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame:
+    """frame with missing texts as "none" and missing numbers as -1."""
+    return frame.withColumns({c: F.coalesce(F.col(c), F.lit("none")) for c in texts} | {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in numbers})

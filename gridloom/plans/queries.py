@@ -257,7 +257,7 @@ def oracle_scales(spark, sf):
 
 
 def found(spark, sf, scale: str, train_end: int = VAL, k: int = K, **more) -> DataFrame:
-    series = supplier_series(spark, sf)
+    series = supplier_series(spark, sf).persist()  # read by queries, candidates and their counts
     more.setdefault("key", lambda df: F.col("cat"))
     return T.topk_panel(W.query_windows(series, CONTEXT, train_end), series, k, CONTEXT, HORIZON, train_end, STRIDE, scale, **more)
 
@@ -628,6 +628,89 @@ def piecewise_cdf(spark, sf):
     return rows.select("id", "m", U.piecewise_cdf(U.monotone(F.col("q")), list(LEVELS), F.col("m")).alias("cdf"))
 
 
+def _suffixed(parts: tuple[str, ...], suffix: str) -> tuple[str, ...]:
+    import re
+
+    return tuple(re.sub(r"\b(cp|cw|qp|qw|pairs|top|vals)\b(?= AS \(|$|\)| q | c | QUALIFY)", rf"\1_{suffix}", p) for p in parts)
+
+
+RULES = ("mean", "rms", "znorm")
+RULE_PARTS = sum((_suffixed((*topk_sql(r), VALUES(RESTORED)), r) for r in RULES), ())
+RULE_ERRORS = "err AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, id, sqrt(AVG((y - p) * (y - p))) AS error FROM act JOIN (SELECT qid AS id, h, AVG(v) AS p FROM vals_{r} GROUP BY 1, 2) USING (id, h) GROUP BY id" for r in RULES) + ")"
+RULE_WIDE = "wide AS (SELECT id, " + ", ".join(f"MAX(CASE WHEN rule = '{r}' THEN error END) AS {r}" for r in RULES) + " FROM err GROUP BY id)"
+ZERO_X = f"zx AS (SELECT id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) AS x FROM panel WHERE day_idx > {VAL - 56} AND day_idx <= {VAL} GROUP BY id)"
+
+
+@query(sql("SELECT CAST(LEAST(floor(x * 10 + 1e-12), 9) AS INT) AS bin, COUNT(*) AS n, " + ", ".join(f"AVG({r}) AS {r}_error, AVG(CASE WHEN {r} = LEAST(mean, rms, znorm) THEN 1.0 ELSE 0.0 END) AS {r}_best" for r in RULES) + " FROM wide JOIN zx USING (id) GROUP BY 1",
+           "bin:l n:l " + " ".join(f"{r}_error:d {r}_best:d" for r in RULES), *BASE, windows_sql(), queries_sql(), *RULE_PARTS, ACT, RULE_ERRORS, RULE_WIDE, ZERO_X))
+def scale_rule_profile(spark, sf):
+    panel = supplier_panel(spark, sf)
+    y = R.actuals(panel, VAL, HORIZON)
+    errors = None
+    for r in RULES:
+        point = R.combine(R.restored_values(found(spark, sf, r), clip=True)).select(F.col("qid").alias("id"), "h", "point")
+        one = y.join(point, ["id", "h"]).groupBy("id").agg(F.sqrt(M.mse(F.col("y"), F.col("point"))).alias("error")).withColumn("rule", F.lit(r))
+        errors = one if errors is None else errors.unionByName(one)
+    x = panel.where((F.col("day_idx") > VAL - 56) & (F.col("day_idx") <= VAL)).groupBy("id").agg(F.avg((F.col("sales") == 0).cast("double")).alias("x"))
+    return D.rule_profile(errors, x, list(RULES))
+
+
+@query(sql("SELECT qid, sid, t_r, shape, ratio AS log_ratio FROM per WHERE variance > (SELECT quantile_cont(variance, 0.5) FROM per) AND ratio > 0.7 AND shape IS NOT NULL AND NOT isnan(shape) ORDER BY ROUND(shape, 9) DESC, qid LIMIT 1", "qid:l sid:l t_r:l shape:d log_ratio:d", *SEARCH, ACT,
+           "stp AS (SELECT qid, sid, t_r, c_scale, q_scale, unnest(cont) AS v, generate_subscripts(cont, 1) AS h FROM top WHERE rank = 1)",
+           "per AS (SELECT qid, sid, t_r, ABS(log2(q_scale / c_scale)) AS ratio, corr(v, y) AS shape, var_pop(y) AS variance FROM stp JOIN act ON act.id = stp.qid AND act.h = stp.h GROUP BY ALL)"))
+def exemplar(spark, sf):
+    return D.exemplar(found(spark, sf, "mean"), R.actuals(supplier_panel(spark, sf), VAL, HORIZON))
+
+
+COHORT = f"""coh AS (SELECT te, id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE day_idx > te - 14) AS zero_fraction, MAX(sales) FILTER (WHERE day_idx > te - 14) <= 0 AS degenerate, MAX(sales) <= 0 AS never_launched
+  FROM panel, (SELECT unnest({list(ORIGINS)}) AS te) WHERE day_idx <= te GROUP BY 1, 2)"""
+
+
+@query(sql("SELECT te AS origin, id, zero_fraction, degenerate, never_launched FROM coh", "origin:l id:l zero_fraction:d degenerate:b never_launched:b", FACT, PANEL, COHORT))
+def cohorts(spark, sf):
+    return D.cohorts(supplier_panel(spark, sf), list(ORIGINS), 14)
+
+
+@query(sql("""SELECT bin, SUM(n) AS n, COUNT(*) AS n_origins, AVG(naive) AS naive, stddev_samp(naive) / sqrt(COUNT(*)) AS naive_sem FROM (SELECT CAST(LEAST(floor(zero_fraction * 10 + 1e-12), 9) AS INT) AS bin, coh.te, COUNT(*) AS n, AVG(rm - naive) AS naive FROM coh JOIN
+(SELECT o.te, o.id, AVG(ABS(o.sales - n.sales)) AS naive, AVG(ABS(o.sales - ox.m)) AS rm FROM o JOIN ox ON ox.te = o.te AND ox.id = o.id JOIN panel n ON n.id = o.id AND n.day_idx = o.te - 7 + ((o.day_idx - o.te - 1) % 7) + 1 WHERE o.day_idx > o.te AND o.day_idx <= o.te + 28 GROUP BY 1, 2) e
+ON e.te = coh.te AND e.id = coh.id WHERE NOT never_launched GROUP BY 1, 2) GROUP BY bin""", "bin:l n:l n_origins:l naive:d naive_sem:d", FACT, PANEL, COHORT, ORIGIN_ROWS))
+def identifiability(spark, sf):
+    panel = supplier_panel(spark, sf).persist()
+    errors = None
+    for te in ORIGINS:
+        both = R.actuals(panel, te, HORIZON).join(R.seasonal_naive(panel, te, HORIZON).withColumnRenamed("y_pred", "n"), ["id", "h"]).join(R.recent_mean(panel, te, HORIZON).withColumnRenamed("y_pred", "c"), ["id", "h"])
+        one = both.groupBy("id").agg(M.mae(F.col("y"), F.col("n")).alias("naive"), M.mae(F.col("y"), F.col("c")).alias("recent")).withColumn("origin", F.lit(te))
+        errors = one if errors is None else errors.unionByName(one)
+    return D.identifiability(D.cohorts(panel, list(ORIGINS), 14).join(errors, ["origin", "id"]), ["naive"], "recent")
+
+
+@query(sql("SELECT event_id, COALESCE(CASE WHEN event_id % 3 <> 0 THEN event_type END, 'none') AS event_type, COALESCE(CASE WHEN event_id % 5 <> 0 THEN value END, -1.0) AS value FROM events", "event_id:l event_type:s value:d"))
+def covariate_reshape(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    return X.covariates(rows, ["event_type"], ["value"])
+
+
+@query(sql("SELECT raw - raw_oracle AS gap, raw - restored AS removed, restored - raw_oracle AS remaining, TRUE AS closes FROM (SELECT AVG(raw) AS raw, AVG(restored) AS restored, AVG(raw_oracle) AS raw_oracle FROM (SELECT id, AVG((n - y) * (n - y)) AS raw, AVG((r - y) * (r - y)) AS restored, AVG((line_n - y) * (line_n - y)) AS raw_oracle FROM line GROUP BY id))", "gap:d removed:d remaining:d closes:b", *BLEND, LSQ))
+def decomposition_closure(spark, sf):
+    return D.closure(D.decompose(_three(spark, sf).select(F.col("id").alias("window"), "h", "y", "c", F.col("n").alias("raw"), "r"), 0.25))
+
+
+@query(sql("SELECT CAST(ts AS DATE) AS day, COUNT(DISTINCT user_id) AS n_users, COUNT(*) AS n, SUM(value) AS total FROM events GROUP BY 1", "day:s n_users:l n:l total:d"))
+def event_panel(spark, sf):
+    from gridloom.streaming.rolling import windowed_sums
+
+    sums = windowed_sums(table(spark, sf, "events").select(F.col("user_id").alias("id"), "ts", "value"))
+    return sums.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_users"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query(sql("SELECT SUM(sales) AS total, COUNT(*) AS n FROM panel WHERE id IN (SELECT id FROM series WHERE cat = 1)", "total:d n:l", *BASE))
+def sql_over_views(spark, sf):
+    """The panel as a temporary view, queried by SQL text."""
+    supplier_panel(spark, sf).createOrReplaceTempView("gridloom_panel")
+    supplier_series(spark, sf).createOrReplaceTempView("gridloom_series")
+    return spark.sql("SELECT sum(sales) AS total, count(*) AS n FROM gridloom_panel WHERE id IN (SELECT id FROM gridloom_series WHERE cat = 1)")
+
+
 # Models and resampling: no SQL ----------------------------------------------------------------------------------
 
 
