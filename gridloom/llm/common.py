@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -37,7 +36,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups, so writing large blobs doesn't hold 128 MB in each task.
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +46,13 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def batches_of(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
-    """The UTF-8 bytes of a string column, null as empty, without decoding."""
-    for value in batch.column(name).cast(pa.binary()).to_pylist():
-        yield value or b""
+def release() -> None:
+    """Gives freed memory back to the machine; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWER, pack_texts, stage, unpack_texts
+from gridloom.llm.common import LOWER, pack_texts, release, stage, unpack_texts
 
 DEPTH = 6
 BLOCK_BYTES = 20 << 20
@@ -262,6 +262,7 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                 text = raw[k].as_py() or b""
                 if texts and size + len(text) > BLOCK_BYTES:
                     yield from emit(block, texts, ids, learn)
+                    release()
                     block, size, texts, ids, learn = block + 1, 0, [], [], []
                 texts.append(text)
                 ids.append(doc_id)
@@ -422,6 +423,8 @@ def _scorer(buckets: int, n: int, v: int, ends: int):
                 p[by == b] = np.frombuffer(answers.pop(("code", b)), np.float32)
         places = Lookup(codes)
         score = np.concatenate([_sums(some, places, p) for some in _slices(texts)]) / np.log(10.0)
+        del places, codes, by, p, answers
+        release()
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, components, hashed_words, mix, pack_texts, stage, unpack_texts
+from gridloom.llm.common import SPACES, components, hashed_words, mix, pack_texts, release, stage, unpack_texts
 
 #: Bytes of text in a block, the unit that is looked at twice; tokens in a bucket, the unit that is counted at once.
 BLOCK_BYTES = 8 << 20
@@ -29,9 +29,11 @@ BUCKET_TOKENS = 3_000_000
 #: Hash-order prefixes are longer than needed by this share of a set, so that more shared tokens are asked for.
 EXTENSION = 0.08
 #: A token of more classes than this is frequent.
-RARE = 48
+RARE = 200
+#: So many of a set's tokens before a key are kept with it, to tell that two sets have met by an earlier one.
+BEFORE = 16
 #: Rounds in which each set is compared with up to TRIES central sets of other classes, before the exact join.
-ROUNDS, TRIES = 3, 4
+ROUNDS, TRIES = 2, 4
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -115,6 +117,7 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 text = raw[k].as_py() or b""
                 if texts and size + len(text) > BLOCK_BYTES:
                     yield emit(block, texts, ids, hashes)
+                    release()
                     block, size, texts, ids, hashes = block + 1, 0, [], [], []
                 texts.append(text)
                 ids.append(doc_id)
@@ -178,6 +181,7 @@ def _survivors(width: int, percent: int, buckets: int):
         keep = [k for k, (n, least) in enumerate(lengths) if total[ends[k]] - total[ends[k] - n] >= least]
         values = np.concatenate([sets[k] for k in keep] or [np.zeros(0, np.uint64)]).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(sets[k]) for k in keep])]).astype(np.int32)
+        release()
         return pa.table(
             {
                 "sid": pa.array([_set_id(sets[k]) for k in keep], pa.int64()),
@@ -261,23 +265,38 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         placed.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"))
     ).where("classes > 1")
     open_ = placed.join(mixed.select("token", "classes", F.col("major.class").alias("major")), "token")
-    single = open_.where(F.col("classes") <= RARE).select(F.col("token").alias("key"), "sid", "n", "at", "class", "major")
+    # Two sets need to meet at their first common token (or two) alone. The first is certain to have no common one before it;
+    # most later keys of the same sets are told by the BEFORE tokens before them and add no row.
+    ordered_ = open_.groupBy("sid", "n", "class").agg(F.array_sort(F.collect_list(F.struct("at", "token", "classes", "major"))).alias("o"))
+    earlier = lambda i: F.transform(F.slice("o", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["token"])
+    keyed = ordered_.select(
+        "sid", "n", "class", F.transform("o", lambda x, i: F.struct(x["at"].alias("at"), x["token"].alias("token"), x["classes"].alias("classes"), x["major"].alias("major"), earlier(i).alias("before"))).alias("o")
+    )
+    single = keyed.select("sid", "n", "class", F.explode(F.filter("o", lambda x: x["classes"] <= RARE)).alias("x"))
+    single = single.select(F.col("x.token").alias("key"), "sid", "n", "x.at", "class", "x.major", "x.before")
     # Combinations of two frequent tokens, the earlier one's place counting.
-    frequent = open_.where(F.col("classes") > RARE).groupBy("sid", "n", "class").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("f"))
+    frequent = keyed.select("sid", "n", "class", F.filter("o", lambda x: x["classes"] > RARE).alias("f")).where(F.size("f") > 1)
+    met_before = lambda x, y: F.array_distinct(F.concat(x["before"], F.array_remove(y["before"], x["token"])))
     pairs_of = F.flatten(
-        F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 2, F.size("f")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["at"].alias("at"))))
+        F.transform(
+            "f",
+            lambda x, i: F.transform(
+                F.slice(F.col("f"), i + 2, F.size("f")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["at"].alias("at"), met_before(x, y).alias("before"))
+            ),
+        )
     )
-    combined = frequent.select("sid", "n", "class", F.explode(pairs_of).alias("x")).select("x.key", "sid", "n", "x.at", "class")
+    combined = frequent.select("sid", "n", "class", F.explode(pairs_of).alias("x")).select("x.key", "sid", "n", "x.at", "class", "x.before")
     majors = combined.groupBy("key", "class").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major")).where("classes > 1")
-    combined = combined.join(majors.select("key", F.col("major.class").alias("major")), "key").select("key", "sid", "n", "at", "class", "major")
+    combined = combined.join(majors.select("key", F.col("major.class").alias("major")), "key").select("key", "sid", "n", "at", "class", "major", "before")
     index = stage(single.unionAll(combined), "index")
     # Sets outside a key's largest class meet all others of the key; those of the largest class only these.
-    l = index.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class")))
+    l = index.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before")))
     candidates = (
         index.join(l, "key")
         .where(F.col("class") != F.col("class1"))
         .where((F.col("class") == F.col("major")) | (F.col("sid") < F.col("sid1")))
         .where(_may_link(F.col("n"), F.col("n1"), F.col("at"), F.col("at1"), percent))
+        .where(~F.arrays_overlap("before", "before1"))
         .select(F.least("sid", "sid1").alias("a"), F.greatest("sid", "sid1").alias("b"))
         .distinct()
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from gridloom.llm.common import NOT_ALNUM, joined, mix, word_hashes
+from gridloom.llm.common import NOT_ALNUM, joined, mix, release, word_hashes
 
 
 @dataclass(frozen=True)
@@ -108,10 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         for batch in batches:
             labels += batch.column("label").to_pylist()
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for k in range(0, len(texts), 500):
-                docs, buckets = features(texts[k : k + 500], settings.bits)
+            for k in range(0, len(texts), 250):
+                docs, buckets = features(texts[k : k + 250], settings.bits)
                 pairs = np.unique((docs << settings.bits) | buckets)
-                cuts = np.searchsorted(pairs >> settings.bits, np.arange(1, len(texts[k : k + 500])))
+                cuts = np.searchsorted(pairs >> settings.bits, np.arange(1, len(texts[k : k + 250])))
                 found += [p.astype(np.int32) for p in np.split(pairs & ((1 << settings.bits) - 1), cuts)]
         buckets, weights, bias = train(found, labels, settings)
         yield pa.RecordBatch.from_arrays(
@@ -133,8 +133,10 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            scores = np.concatenate([model.scores(texts[k : k + 1000]) for k in range(0, len(texts), 1000)] or [np.zeros(0)])
+            texts = batch.column("text").cast(pa.binary())
+            some = lambda k: [t or b"" for t in texts[k : k + 250].to_pylist()]
+            scores = np.concatenate([model.scores(some(k)) for k in range(0, len(texts), 250)] or [np.zeros(0)])
+            release()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
     return kept.mapInArrow(run, schema)
