@@ -24,11 +24,11 @@ class Settings:
     whose hashed doc_id is least."""
 
     bits: int = 20
-    alpha: float = 0.5
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 5.0
-    l2: float = 1.0
-    epochs: int = 5
+    l1: float = 6.0
+    l2: float = 0.0
+    epochs: int = 6
     positives: int = 4000
     negatives: int = 12000
 
