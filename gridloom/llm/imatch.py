@@ -30,8 +30,8 @@ class Band:
 
     rare: float = 0.001
     common: float = 0.2
-    rates: tuple[int, ...] = (2, 4, 8, 16, 32, 64, 128, 256)
-    each: int = 4
+    rates: tuple[int, ...] = (3, 6, 12, 24, 48, 96, 192, 384, 768)
+    each: int = 7
 
 
 #: Distinct terms of so many bytes of text meet in one bucket; documents of so many in one range of doc_ids.
