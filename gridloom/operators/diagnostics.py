@@ -116,29 +116,37 @@ def bootstrap_mean_difference(rows: DataFrame, a: str, b: str, n_boot: int = 200
         means = np.array([x[rng.integers(0, n, n)].mean() for _ in range(n_boot)])
         mean = float(x.mean())
     else:
-        draws = F.transform(F.sequence(F.lit(1), F.lit(n_boot)), lambda k: F.rand(seed))
-        raise_for = draws  # one uniform a resample, turned into a Poisson(1) count by its distribution function
-        steps = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 9)]))
-        count = F.transform(raise_for, lambda u: sum(F.when(u > float(s), 1).otherwise(0) for s in steps))
-        sums = d.select("d", F.posexplode(count).alias("k", "c")).groupBy("k").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
+        # A uniform number from each row and resample, turned into a Poisson(1) count by its distribution function.
+        drawn = d.withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        u = F.pmod(F.xxhash64(F.lit(seed), "row", "k"), F.lit(1 << 52)) / float(1 << 52)
+        steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 9)]))
+        count = sum((F.when(u > float(s), 1).otherwise(0) for s in steps), F.lit(0))
+        sums = drawn.select("k", "d", count.alias("c")).groupBy("k").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
         means = np.array([r["m"] for r in sums.collect()])
         mean = d.agg(F.avg("d")).first()[0]
     low, high = np.quantile(means, [0.025, 0.975])
     return spark.createDataFrame([(n, float(mean), float(low), float(high))], schema)
 
 
-def utility_correlates(rows: DataFrame, features: list[str], target: str = "utility") -> DataFrame:
-    """Spearman's rank correlation of each feature with the target; null for a constant column. Ties get their mean rank.
+def mean_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """Distinct values of a column and the mean rank of their rows, from 1. Values are dealt over ranges, ranked within
+    each, and shifted by the counts of the ranges before it, so no task orders all of them."""
+    edges = rows.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    number = sum((F.when(F.col(column) > float(e), 1).otherwise(0) for e in sorted(set(edges))), F.lit(0))
+    counts = rows.groupBy(column).count().withColumn("bucket", number)
+    sizes = counts.groupBy("bucket").agg(F.sum("count").alias("size"))
+    offset = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of at most `buckets` rows
+    below = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("below", below).join(F.broadcast(sizes.select("bucket", offset.alias("offset"))), "bucket")
+    return placed.select(column, (F.col("offset") + F.col("below") + (F.col("count") + 1) / 2).alias(f"r{column}"))
+
 
-    Each column is ranked by counting equal values first, so only distinct values are ordered."""
+def utility_correlates(rows: DataFrame, features: list[str], target: str = "utility") -> DataFrame:
+    """Spearman's rank correlation of each feature with the target; null for a constant column. Ties get their mean rank."""
     out = None
     for f in features:
-        ranked = rows.select(F.col(f).alias("x"), F.col(target).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        for c in ("x", "y"):
-            counts = ranked.groupBy(c).count().withColumn("part", F.pmod(F.xxhash64(c), F.lit(1)))
-            below = F.sum("count").over(Window.partitionBy("part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-            ranks = counts.select(c, (F.coalesce(below, F.lit(0)) + (F.col("count") + 1) / 2).alias(f"r{c}"))
-            ranked = ranked.join(ranks, c)
+        ranked = rows.select(F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        ranked = ranked.join(mean_ranks(ranked, "x"), "x").join(mean_ranks(ranked, "y"), "y")
         one = ranked.agg(F.lit(f).alias("feature"), F.nanvl(F.corr("rx", "ry"), F.lit(None)).alias("rho"), F.count("*").alias("n"))
         out = one if out is None else out.unionAll(one)
     return out

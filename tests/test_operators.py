@@ -176,6 +176,9 @@ def test_diagnostics(spark):
     pairs = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (None, 2.0)], "a double, b double")
     out = one(D.bootstrap_mean_difference(pairs, "a", "b", 200))
     assert (out.n, out.mean) == (2, 1.5) and 1 <= out.low <= out.high <= 2
+    many = spark.range(400).select(F.lit(0.0).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    exact, poisson = one(D.bootstrap_mean_difference(many, "a", "b", 300)), one(D.bootstrap_mean_difference(many, "a", "b", 300, max_rows=10))
+    assert poisson.mean == pytest.approx(exact.mean) and poisson.low == pytest.approx(exact.low, abs=0.06) and poisson.high == pytest.approx(exact.high, abs=0.06)
 
 
 def test_gate(spark):
