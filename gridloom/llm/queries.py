@@ -106,8 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.llm import line_dedup
+    from gridloom.llm.oracles import ORACLES
 
-    return {
-        "op2_line_dedup": line_dedup.ORACLE,
-    }
+    return dict(ORACLES)
