@@ -206,8 +206,10 @@ def _may_link(na: Column, nb: Column, at_a: Column, at_b: Column, percent: int)
     return (room * (100 + percent) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Classes of the sets that are linked with any other: node and root, set ids."""
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The sets' prefixes by token frequency, one token longer than needed: sid, n, central, at (place in the order), token.
+
+    Tokens of no other set come first and are only counted. `central` orders sets by their share of shared tokens."""
     tokens = sets.select("sid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     known = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * percent / 100).cast("int")
@@ -218,81 +220,72 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("m", F.size("shared"))
         .where(F.col("m") >= least)
     )
-    # Rare first: tokens that no other set has come before all these. One token more than a prefix, for combinations.
     weight = F.aggregate("shared", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
     central = F.struct((F.col("m") / F.col("n")).alias("share"), (weight / F.col("n")).alias("weight"), "sid")
     cut = ordered.select("sid", F.col("n").cast("long").alias("n"), "m", central.alias("central"), F.slice("shared", F.lit(1), F.col("m") - least + 2).alias("prefix"))
-    prefix = stage(
-        cut.select("sid", "n", "m", "central", F.posexplode("prefix").alias("k", "x")).select(
-            "sid", "n", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), F.col("x.token").alias("token")
-        ),
-        "prefixes",
-    )
-    # Classes: each set with the most central ones that it meets, first of all, then of other classes.
-    links = None
-    classes = None
-    for turn in range(ROUNDS):
-        if classes is None:
-            classed = prefix.withColumn("class", F.col("sid"))
-        else:
-            classed = prefix.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
-        hub = F.struct("central", "class", "n", "at")
-        hubs = classed.groupBy("token").agg(F.max(hub).alias("hub"))
-        if turn:
-            other = classed.join(hubs, "token").where(F.col("class") != F.col("hub.class")).groupBy("token").agg(F.max(hub).alias("other"))
-            hubs = hubs.join(other, "token")
-            chosen = F.when(F.col("class") == F.col("hub.class"), F.col("other")).otherwise(F.col("hub"))
-        else:
-            chosen = F.col("hub")
-        met = classed.join(hubs, "token").select("sid", "n", "at", chosen.alias("hub"))
-        met = met.where(_may_link(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent) & (F.col("sid") != F.col("hub.central.sid")))
-        tried = met.groupBy("sid").agg(F.max("hub.central").alias("first")) if not turn else None
-        if turn:
-            pairs = met.groupBy("sid").agg(F.slice(F.reverse(F.array_sort(F.collect_set("hub.central"))), 1, TRIES).alias("hubs")).select(F.col("sid").alias("a"), F.explode("hubs.sid").alias("b"))
-        else:
-            pairs = tried.select(F.col("sid").alias("a"), F.col("first.sid").alias("b"))
-        new = stage(_linked(pairs, sets, percent), "links")
-        links = new if links is None else links.unionAll(new)
-        if turn and new.isEmpty():
-            break
-        classes = components(links)
-    # Between classes: all that the prefixes allow.
-    placed = stage(
-        prefix.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "at", F.coalesce("root", "sid").alias("class")),
-        "placed",
+    return cut.select("sid", "n", "m", "central", F.posexplode("prefix").alias("k", "x")).select(
+        "sid", "n", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), F.col("x.token").alias("token")
     )
+
+
+def _classed(prefix: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """prefix with each set's class, itself where it has no links yet."""
+    if classes is None:
+        return prefix.withColumn("class", F.col("sid"))
+    return prefix.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("class", F.coalesce("root", "sid")).drop("root")
+
+
+def _met(classed: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b) of a set and a few of the most central sets that it shares a prefix token with: at first the one most
+    central of all, later up to TRIES of other classes."""
+    hub = F.struct("central", "class", "n", "at")
+    hubs = classed.groupBy("token").agg(F.max(hub).alias("hub"))
+    chosen, tries = F.col("hub"), 1
+    if not first:
+        other = classed.join(hubs, "token").where(F.col("class") != F.col("hub.class")).groupBy("token").agg(F.max(hub).alias("other"))
+        hubs = hubs.join(other, "token")
+        chosen, tries = F.when(F.col("class") == F.col("hub.class"), F.col("other")).otherwise(F.col("hub")), TRIES
+    met = classed.join(hubs, "token").select("sid", "n", "at", chosen.alias("hub"))
+    met = met.where(_may_link(F.col("n"), F.col("hub.n"), F.col("at"), F.col("hub.at"), percent) & (F.col("sid") != F.col("hub.central.sid")))
+    if first:
+        return met.groupBy("sid").agg(F.max("hub.central").alias("hub")).select(F.col("sid").alias("a"), F.col("hub.sid").alias("b"))
+    best = F.slice(F.reverse(F.array_sort(F.collect_set("hub.central"))), 1, tries)
+    return met.groupBy("sid").agg(best.alias("hubs")).select(F.col("sid").alias("a"), F.explode("hubs.sid").alias("b"))
+
+
+def _index(placed: DataFrame) -> DataFrame:
+    """Keys by which sets of different classes meet: tokens of few classes, and pairs of tokens of many. Each row has the
+    key's largest class (major) and the tokens before the key (before).
+
+    Two sets need to meet at their first common token (or two) alone. The first is certain to have no common one before it;
+    most later keys of the same sets are told by the BEFORE tokens before them and add no candidate."""
     mixed = (
         placed.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"))
     ).where("classes > 1")
     open_ = placed.join(mixed.select("token", "classes", F.col("major.class").alias("major")), "token")
-    # Two sets need to meet at their first common token (or two) alone. The first is certain to have no common one before it;
-    # most later keys of the same sets are told by the BEFORE tokens before them and add no row.
-    ordered_ = open_.groupBy("sid", "n", "class").agg(F.array_sort(F.collect_list(F.struct("at", "token", "classes", "major"))).alias("o"))
+    ordered = open_.groupBy("sid", "n", "class").agg(F.array_sort(F.collect_list(F.struct("at", "token", "classes", "major"))).alias("o"))
     earlier = lambda i: F.transform(F.slice("o", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["token"])
-    keyed = ordered_.select(
-        "sid", "n", "class", F.transform("o", lambda x, i: F.struct(x["at"].alias("at"), x["token"].alias("token"), x["classes"].alias("classes"), x["major"].alias("major"), earlier(i).alias("before"))).alias("o")
-    )
+    fields = ("at", "token", "classes", "major")
+    keyed = ordered.select("sid", "n", "class", F.transform("o", lambda x, i: F.struct(*(x[c].alias(c) for c in fields), earlier(i).alias("before"))).alias("o"))
     single = keyed.select("sid", "n", "class", F.explode(F.filter("o", lambda x: x["classes"] <= RARE)).alias("x"))
     single = single.select(F.col("x.token").alias("key"), "sid", "n", "x.at", "class", "x.major", "x.before")
     # Combinations of two frequent tokens, the earlier one's place counting.
     frequent = keyed.select("sid", "n", "class", F.filter("o", lambda x: x["classes"] > RARE).alias("f")).where(F.size("f") > 1)
-    met_before = lambda x, y: F.array_distinct(F.concat(x["before"], F.array_remove(y["before"], x["token"])))
-    pairs_of = F.flatten(
-        F.transform(
-            "f",
-            lambda x, i: F.transform(
-                F.slice(F.col("f"), i + 2, F.size("f")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["at"].alias("at"), met_before(x, y).alias("before"))
-            ),
-        )
-    )
+    before_both = lambda x, y: F.array_distinct(F.concat(x["before"], F.array_remove(y["before"], x["token"])))
+    pair = lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["at"].alias("at"), before_both(x, y).alias("before"))
+    pairs_of = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 2, F.size("f")), lambda y: pair(x, y))))
     combined = frequent.select("sid", "n", "class", F.explode(pairs_of).alias("x")).select("x.key", "sid", "n", "x.at", "class", "x.before")
     majors = combined.groupBy("key", "class").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major")).where("classes > 1")
     combined = combined.join(majors.select("key", F.col("major.class").alias("major")), "key").select("key", "sid", "n", "at", "class", "major", "before")
-    index = stage(single.unionAll(combined), "index")
-    # Sets outside a key's largest class meet all others of the key; those of the largest class only these.
-    l = index.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before")))
-    candidates = (
-        index.join(l, "key")
+    return single.unionAll(combined)
+
+
+def _candidates(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different classes that share a key and may link. Sets outside a key's largest class meet all
+    others of the key; those of the largest class only these."""
+    outside = index.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before")))
+    return (
+        index.join(outside, "key")
         .where(F.col("class") != F.col("class1"))
         .where((F.col("class") == F.col("major")) | (F.col("sid") < F.col("sid1")))
         .where(_may_link(F.col("n"), F.col("n1"), F.col("at"), F.col("at1"), percent))
@@ -300,8 +293,22 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .select(F.least("sid", "sid1").alias("a"), F.greatest("sid", "sid1").alias("b"))
         .distinct()
     )
-    second = _linked(candidates, sets, percent)
-    return components(links.unionAll(second))
+
+
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes of the sets that are linked with any other: node and root, set ids."""
+    prefix = stage(_prefixes(sets, percent), "prefixes")
+    links = classes = None
+    for turn in range(ROUNDS):
+        new = stage(_linked(_met(_classed(prefix, classes), percent, turn == 0), sets, percent), "links")
+        links = new if links is None else links.unionAll(new)
+        if turn and new.isEmpty():
+            break
+        classes = components(links)
+    # Between classes: all that the prefixes allow.
+    placed = stage(_classed(prefix, classes).select("token", "sid", "n", "at", "class"), "placed")
+    index = stage(_index(placed), "index")
+    return components(links.unionAll(_linked(_candidates(index, percent), sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
