@@ -1,8 +1,8 @@
 """Exact top-k retrieval of windows under the horizon guard t_r + H < origin.
 
 Two physical forms with equal results. topk() is a join with ranking in built-in functions, for small pools or vectors of
-any kind. topk_panel() ships each series once, cuts windows inside Arrow groups of (key, block) and multiplies matrices;
-candidates are dealt over blocks, so no group grows with the data, and each block keeps k rows a query. In both, distances
+any kind. topk_panel() ships series, not windows, cuts windows inside Arrow groups of (key, candidate block, query block) and
+multiplies matrices; blocks are of bounded size, so no group grows with the data, and each keeps k rows a query. In both, distances
 are rounded to nine places and ties go to the earlier candidate, so k' < k results are a prefix of k results.
 """
 
@@ -120,7 +120,8 @@ def topk_panel(
     scale: str,
     key: Callable[[DataFrame], Column] | None = None,
     season: int | None = None,
-    series_per_block: int = 2000,
+    series_per_block: int = 400,
+    queries_per_block: int = 2000,
 ) -> DataFrame:
     """Top-k windows of series (id, ys, ...) for queries (qid, ctx, origin, ...), within an equality key if one is given.
 
@@ -130,10 +131,14 @@ def topk_panel(
     side = lambda df: (key(df) if key else F.lit("")).cast("string").alias("key")
     pool = series.select(side(series), F.col("id").cast("long").alias("id"), "ys")
     asked = queries.select(side(queries), F.col("qid").cast("long").alias("qid"), F.col("origin").cast("int").alias("origin"), "ctx")
-    # A series is worth several hundred windows: blocks hold so many series at most.
-    sizes = pool.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / series_per_block).cast("int").alias("blocks"))
-    pool = pool.join(sizes, "key").select("key", "id", "ys", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    asked = asked.join(sizes.withColumnRenamed("blocks", "n"), "key").select("key", "qid", "origin", "ctx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    # A series is worth several hundred windows: a group has so many series, and so many queries, at most.
+    blocks = pool.groupBy("key").agg(F.ceil(F.count("*") / series_per_block).cast("int").alias("c_blocks"))
+    parts = asked.groupBy("key").agg(F.ceil(F.count("*") / queries_per_block).cast("int").alias("q_blocks"))
+    sizes = blocks.join(parts, "key")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pool = pool.join(sizes, "key").select("key", "id", "ys", own("id", "c_blocks").alias("c"), every("q_blocks").alias("q"))
+    asked = asked.join(sizes.toDF("key", "m", "n"), "key").select("key", "qid", "origin", "ctx", own("qid", "n").alias("q"), every("m").alias("c"))
     asked, pool = (df.toDF(*(f"{side_}_{c}" for c in df.columns)) for side_, df in (("q", asked), ("c", pool)))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -174,7 +179,7 @@ def topk_panel(
         ]
         return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=schema)
 
-    found = asked.groupBy("q_key", "q_block").cogroup(pool.groupBy("c_key", "c_block")).applyInArrow(
+    found = asked.groupBy("q_key", "q_c", "q_q").cogroup(pool.groupBy("c_key", "c_c", "c_q")).applyInArrow(
         search, "qid long, origin int, sid long, t_r int, dist double, cont array<double>, c_loc double, c_scale double, q_loc double, q_scale double"
     )
     return rank_within(found, "qid", [F.col("dist"), F.col("sid"), F.col("t_r")], k)

@@ -275,6 +275,14 @@ for _kind in ("raw", "mean", "rms", "znorm"):
     _topk_query(_kind)
 
 
+@query(sql("SELECT qid, rank, sid, t_r, dist FROM top", "qid:l rank:l sid:l t_r:l dist:d", *BASE, windows_sql(stride=7), queries_sql(), *topk_sql("mean")))
+def topk_dense_pool(spark, sf):
+    """The pool of every seventh window."""
+    series = supplier_series(spark, sf).persist()
+    rows = T.topk_panel(W.query_windows(series, CONTEXT, VAL), series, K, CONTEXT, HORIZON, VAL, 7, "mean", key=lambda df: F.col("cat"))
+    return rows.select("qid", "rank", "sid", "t_r", "dist")
+
+
 @query(sql("SELECT qid, rank, sid, t_r, dist FROM top", "qid:l rank:l sid:l t_r:l dist:d", *BASE, windows_sql(stride=7), queries_sql(), *topk_sql("mean", 5, extra="(c.t_r - (q.origin - 1)) % 4 = 0")))
 def topk_seasonal_filter(spark, sf):
     series = supplier_series(spark, sf)

@@ -85,8 +85,8 @@ def test_both_forms_of_topk(spark, scale, cats, high):
     expected = brute(ys, 150, 14, 7, 3, 9, scale, cats)
     queries = W.query_windows(series, 14, 150)
     key = (lambda df: F.col("cat")) if cats else None
-    for block in (2, 100):
-        found = T.topk_panel(queries, series, 9, 14, 7, 150, 3, scale, key=key, series_per_block=block)
+    for block, part in ((2, 2), (100, 100)):
+        found = T.topk_panel(queries, series, 9, 14, 7, 150, 3, scale, key=key, series_per_block=block, queries_per_block=part)
         got = {}
         for r in found.orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append((r.sid, r.t_r))
