@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import LOWER, pack_texts, release, stage, unpack_texts
 
 DEPTH = 6
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 16 << 20
 #: A bucket has the distinct words or contexts of so many bytes of text.
 BUCKET_BYTES = 24 << 20
 SLICE = 2 << 20
