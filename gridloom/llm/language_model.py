@@ -27,7 +27,7 @@ from gridloom.llm.common import LOWER, pack_texts, release, stage, unpack_texts
 DEPTH = 6
 BLOCK_BYTES = 16 << 20
 #: A bucket has the distinct words or contexts of so many bytes of text.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 SLICE = 2 << 20
 LN2 = float(np.log(2.0))
 
@@ -313,6 +313,8 @@ def _count_words(table: pa.Table) -> pa.Table:
             total[w] = total.get(w, 0) + c
     answers = _answers("word", table, [zstandard.compress(np.array([total[w] for w in words], np.int64).tobytes()) for words in lists])
     known = [c for c in total.values() if c]
+    del lists, total
+    release()
     sums = np.array([sum(known), len(known)], np.int64).tobytes()
     return pa.concat_tables(
         [answers, pa.table({"kind": ["sums"], "bucket": pa.array([-1], pa.int32()), "block": [-1], "payload": pa.array([sums], pa.binary())})]
@@ -380,6 +382,7 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         codes, trees, parts = _subtrees(table)
         p = np.concatenate([tree.log_probabilities(shared.value).astype(np.float32) for tree in trees])
+        release()
         return _answers("code", table, [zstandard.compress(p[np.searchsorted(codes, c)].tobytes()) for c in parts])
 
     answered = codes.groupBy("bucket").applyInArrow(answer, ANSWER)
