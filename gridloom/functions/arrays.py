@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SCALES = ("raw", "znorm", "mean", "rms")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: an expression used inside a lambda would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -20,7 +27,7 @@ def array_mean(a: Column) -> Column:
 
 def array_std(a: Column, mean: Column) -> Column:
     """Population standard deviation around a given mean."""
-    return F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)), F.size(a)))
+    return let(mean, lambda m: F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)), F.size(a))))
 
 
 def array_rms(a: Column) -> Column:
@@ -46,7 +53,7 @@ def scale_params(a: Column, kind: str) -> Column:
 
 
 def standardise(a: Column, p: Column) -> Column:
-    return F.transform(a, lambda v: (v - p["loc"]) / p["scale"])
+    return let(p, lambda q: F.transform(a, lambda v: (v - q["loc"]) / q["scale"]))
 
 
 def restore(a: Column, own: Column, query: Column) -> Column:
@@ -61,7 +68,7 @@ def scale_invalid(p: Column, kind: str, eps: float) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.transform(a, lambda v: F.try_divide(v, norm))
+    return let(norm, lambda n: F.transform(a, lambda v: F.try_divide(v, n)))
 
 
 def squared_l2(a: Column, b: Column) -> Column:

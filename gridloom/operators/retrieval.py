@@ -22,13 +22,13 @@ FILTERS = ("store_id", "cat_id", "dept_id", "seasonal")
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
-    """Squared l2, l2, or the negated cosine of normalised vectors; smaller is nearer."""
+    """Squared l2, l2, or the negated cosine of vectors that are normalised already; smaller is nearer."""
     if metric == "sql2":
         return F.round(squared_l2(a, b), 9)
     if metric == "l2":
         return F.round(F.sqrt(squared_l2(a, b)), 9)
     if metric == "cosine":
-        return F.round(-dot(l2_normalise(a), l2_normalise(b)), 9)
+        return F.round(-dot(a, b), 9)
     raise ValueError(f"unknown metric {metric!r}")
 
 
@@ -53,6 +53,8 @@ def topk(
     """
     if allowed is not None:
         candidates = candidates.join(allowed, allowed.columns, "left_semi")
+    if metric == "cosine":  # once a vector, not once a pair
+        queries, candidates = queries.withColumn("vec", l2_normalise(F.col("vec"))), candidates.withColumn("cvec", l2_normalise(F.col("cvec")))
     pairs = candidates.join(queries, on) if on else candidates.crossJoin(queries)
     if guard is not None:
         pairs = pairs.where(guard)
