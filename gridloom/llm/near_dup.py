@@ -255,20 +255,27 @@ def _met(classed: DataFrame, percent: int, first: bool) -> DataFrame:
 
 def _index(placed: DataFrame) -> DataFrame:
     """Keys by which sets of different classes meet: tokens of few classes, and pairs of tokens of many. Each row has the
-    key's largest class (major) and the tokens before the key (before).
+    key's largest class (major) and tokens before the key (before).
 
-    Two sets need to meet at their first common token (or two) alone. The first is certain to have no common one before it;
-    most later keys of the same sets are told by the BEFORE tokens before them and add no candidate."""
+    Two sets need to meet at one key alone: at their first common token if it is rare, at the second if only that is rare,
+    and at the pair of both if both are frequent. A common rare token before a rare one, or any other common token before
+    the second of a pair, tells that it isn't this key; such keys add no candidate if BEFORE tokens suffice to tell. A
+    frequent token before a rare key makes no key with it, so it tells nothing; it may be common, and `at` is one less."""
     mixed = (
         placed.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"))
     ).where("classes > 1")
     open_ = placed.join(mixed.select("token", "classes", F.col("major.class").alias("major")), "token")
     ordered = open_.groupBy("sid", "n", "class").agg(F.array_sort(F.collect_list(F.struct("at", "token", "classes", "major"))).alias("o"))
-    earlier = lambda i: F.transform(F.slice("o", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["token"])
-    fields = ("at", "token", "classes", "major")
-    keyed = ordered.select("sid", "n", "class", F.transform("o", lambda x, i: F.struct(*(x[c].alias(c) for c in fields), earlier(i).alias("before"))).alias("o"))
-    single = keyed.select("sid", "n", "class", F.explode(F.filter("o", lambda x: x["classes"] <= RARE)).alias("x"))
-    single = single.select(F.col("x.token").alias("key"), "sid", "n", "x.at", "class", "x.major", "x.before")
+    earlier = lambda o, i: F.transform(F.slice(o, F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["token"])
+    rare = ordered.select(
+        "sid", "n", "class", F.filter("o", lambda x: x["classes"] <= RARE).alias("r"),
+        F.array_min(F.transform(F.filter("o", lambda x: x["classes"] > RARE), lambda x: x["at"])).alias("first_frequent"),
+    )
+    at = lambda x: F.when(x["at"] > F.col("first_frequent"), x["at"] - 1).otherwise(x["at"])
+    alone = lambda x, i: F.struct(x["token"].alias("key"), at(x).alias("at"), x["major"].alias("major"), earlier("r", i).alias("before"))
+    single = rare.select("sid", "n", "class", F.explode(F.transform("r", alone)).alias("x")).select("x.key", "sid", "n", "x.at", "class", "x.major", "x.before")
+    fields = ("at", "token", "classes")
+    keyed = ordered.select("sid", "n", "class", F.transform("o", lambda x, i: F.struct(*(x[c].alias(c) for c in fields), earlier("o", i).alias("before"))).alias("o"))
     # Combinations of two frequent tokens, the earlier one's place counting.
     frequent = keyed.select("sid", "n", "class", F.filter("o", lambda x: x["classes"] > RARE).alias("f")).where(F.size("f") > 1)
     before_both = lambda x, y: F.array_distinct(F.concat(x["before"], F.array_remove(y["before"], x["token"])))

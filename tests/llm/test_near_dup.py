@@ -94,3 +94,35 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(1, 41)}, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("rare", [1, 2, 3])
+def test_exact_join_alone_finds_links_behind_frequent_tokens(spark, monkeypatch, rare):
+    """Large classes make tokens with many sets and few classes, which come after tokens with fewer sets and more classes."""
+    monkeypatch.setattr(near_dup, "RARE", rare)
+    rng = random.Random(rare)
+    sets, classes = {}, {}
+    for group in range(12):
+        base = rng.sample(range(group % 4 * 40, group % 4 * 40 + 60), rng.choice([8, 12, 20]))
+        for copy in range(rng.choice([2, 12])):
+            sid = len(sets)
+            sets[sid] = sorted({rng.randrange(200) if rng.random() < 0.06 else t for t in base})
+            classes[sid] = 1000 + group * 3 + rng.choice([0, 0, 0, 0, 1, 2])
+    percent = 70
+    frame = spark.createDataFrame(list(sets.items()), "sid long, tokens array<long>")
+    roots = spark.createDataFrame(list(classes.items()), "node long, root long")
+    placed = near_dup._classed(near_dup._prefixes(frame, percent), roots).select("token", "sid", "n", "at", "class").localCheckpoint()
+    found = {(r.a, r.b) for r in near_dup._linked(near_dup._candidates(near_dup._index(placed), percent), frame, percent).collect()}
+    near = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})
+    # Equal sets have one id where the join is used.
+    expected = {(a, b) for a, b in combinations(sets, 2) if classes[a] != classes[b] and near(a, b)}
+    assert expected and found == expected
+
+
+def test_one_common_frequent_token_before_the_key(spark, monkeypatch):
+    """Token 1 has three classes and token 2 two; sets 1 and 2 share 1 and 2 only in their prefixes, in this order."""
+    monkeypatch.setattr(near_dup, "RARE", 2)
+    # Of ten tokens each, nine are common: the key is the second of these, and eight are left from there on.
+    rows = [(1, 1, 10, 1, 11), (2, 1, 10, 2, 11), (1, 2, 10, 1, 12), (2, 2, 10, 2, 12), (1, 3, 10, 0, 13)]
+    placed = spark.createDataFrame(rows, "token long, sid long, n long, at long, class long")
+    assert [tuple(r) for r in near_dup._candidates(near_dup._index(placed), 81).collect()] == [(1, 2)]
