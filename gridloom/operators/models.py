@@ -17,8 +17,14 @@ from gridloom.operators.features import FEATURE_COLUMNS, training_rows
 GATE_FEATURES = ("nn_dist", "disagreement", "zero_fraction", "log_volume", "quantile_width", "scale_spread")
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows computed once, with their plan cut off: training reads them many times. Cached where there is no shared folder."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def fit_gate(rows: DataFrame, features: tuple[str, ...] = GATE_FEATURES, rounds: int = 200, min_rows: int = 50) -> PipelineModel | float:
     """A classifier of label (1: retrieval is better) on gate features; with one label only, that label's constant."""
+    rows = _settled(rows.select("label", *features))
     rates = rows.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
     if rates["low"] == rates["high"]:
         return float(rates["low"] or 0)
@@ -52,6 +58,6 @@ def gbt_forecast(frame: DataFrame, train_end: int, horizon: int, rounds: int = 2
     filled = frame.select("id", "day_idx", "sales", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURE_COLUMNS), F.col("lag_28").isNotNull().alias("known"))
     assembler = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="x")
     train = assembler.transform(training_rows(frame.select("day_idx", "lag_28", "id"), train_end).select("id", "day_idx").join(filled, ["id", "day_idx"]))
-    model = GBTRegressor(labelCol="sales", featuresCol="x", maxIter=rounds, maxDepth=max_depth, stepSize=0.05, seed=0).fit(train)
+    model = GBTRegressor(labelCol="sales", featuresCol="x", maxIter=rounds, maxDepth=max_depth, stepSize=0.05, seed=0).fit(_settled(train.select("sales", "x")))
     future = filled.where(F.col("day_idx").between(train_end + 1, train_end + horizon))
     return model.transform(assembler.transform(future)).select("id", "day_idx", clip_low(F.col("prediction")).alias("y_pred"))

@@ -449,7 +449,7 @@ def gated_fusion(spark, sf):
     for te in (VAL_M2, VAL_M1):
         scored = _three(spark, sf, te).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone"))
         frames.append(_gate_features(spark, sf, te).join(U.gate_labels(scored), "id"))
-    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1]), rounds=20), _gate_features(spark, sf, VAL))
+    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1])), _gate_features(spark, sf, VAL))
     fused = _three(spark, sf).join(weights, "id").withColumn("fused", U.fuse(F.col("c"), F.col("r"), F.col("weight")))
     e = lambda c: F.sqrt(F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))))
     return fused.groupBy("id").agg(F.first("weight").alias("weight"), e("c").alias("backbone"), e("r").alias("retrieval"), e("fused").alias("fused"))
@@ -735,7 +735,7 @@ def bootstrap_ci(spark, sf):
     panel = supplier_panel(spark, sf)
     rows = R.actuals(panel, VAL, HORIZON).join(R.seasonal_naive(panel, VAL, HORIZON).withColumnRenamed("y_pred", "n"), ["id", "h"]).join(R.recent_mean(panel, VAL, HORIZON).withColumnRenamed("y_pred", "c"), ["id", "h"])
     per = rows.groupBy("id").agg(M.mae(F.col("y"), F.col("n")).alias("a"), M.mae(F.col("y"), F.col("c")).alias("b"))
-    return D.bootstrap_mean_difference(per, "a", "b", 500)
+    return D.bootstrap_mean_difference(per, "a", "b")
 
 
 @query()
@@ -761,11 +761,11 @@ def tree_baseline(spark, sf):
 
     panel = market_panel(spark, sf).withColumn("id", F.concat_ws("_", "item", "store")).withColumn("item_id", F.col("item"))
     panel = panel.select("*", F.lit(None).cast("string").alias("event_name_1"), F.lit(0).alias("snap"), (F.col("day_idx") % 7).alias("wday"), (F.col("day_idx") % 12).alias("month"), F.floor(F.col("day_idx") / 52).alias("year"))
-    return gbt_forecast(X.feature_frame(panel, WEEK_END), WEEK_END, 4, rounds=5)
+    return gbt_forecast(X.feature_frame(panel, WEEK_END), WEEK_END, 4)
 
 
 @query()
 def affine_probe(spark, sf):
     from gridloom.operators.probe import run_grid
 
-    return run_grid(spark, gains=(1.0, 10.0), offsets=(0.0, 200.0))
+    return run_grid(spark)
