@@ -39,6 +39,8 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 LEVELS = R.LEVELS
+#: The deployed stride of the pool, for the queries without SQL; STRIDE is that of the SQL.
+DEPLOYED = 7
 LEVEL_LIST = "[" + ", ".join(map(str, LEVELS)) + "]"
 
 
@@ -256,10 +258,10 @@ def oracle_scales(spark, sf):
 # Retrieval ------------------------------------------------------------------------------------------------------
 
 
-def found(spark, sf, scale: str, train_end: int = VAL, k: int = K, **more) -> DataFrame:
+def found(spark, sf, scale: str, train_end: int = VAL, k: int = K, stride: int = STRIDE, **more) -> DataFrame:
     series = supplier_series(spark, sf).persist()  # read by queries, candidates and their counts
     more.setdefault("key", lambda df: F.col("cat"))
-    return T.topk_panel(W.query_windows(series, CONTEXT, train_end), series, k, CONTEXT, HORIZON, train_end, STRIDE, scale, **more)
+    return T.topk_panel(W.query_windows(series, CONTEXT, train_end), series, k, CONTEXT, HORIZON, train_end, stride, scale, **more)
 
 
 def _topk_query(scale: str) -> None:
@@ -345,7 +347,7 @@ def seasonal_retriever(spark, sf):
 @query()
 def random_retriever(spark, sf):
     series = supplier_series(spark, sf)
-    windows = W.window_database(series, CONTEXT, HORIZON, VAL, STRIDE).select(F.col("id").alias("sid"), "store", "t_r", F.struct("id", "t_r").alias("cand_id"))
+    windows = W.window_database(series, CONTEXT, HORIZON, VAL, DEPLOYED).select(F.col("id").alias("sid"), "store", "t_r", F.struct("id", "t_r").alias("cand_id"))
     queries = W.query_windows(series, CONTEXT, VAL).select("qid", "store", "origin")
     return T.random_choice(queries, windows, 5, HORIZON, 7, ["store"]).select("qid", "rank", "sid", "t_r")
 
@@ -406,10 +408,10 @@ def sign_mismatch(spark, sf):
 BLEND = (*SEARCH, VALUES(RESTORED), SN, ACT, RM, "knn AS (SELECT qid AS id, h, AVG(v) AS r FROM vals GROUP BY qid, h)")
 
 
-def _three(spark, sf, train_end: int = VAL) -> DataFrame:
+def _three(spark, sf, train_end: int = VAL, stride: int = STRIDE) -> DataFrame:
     """id, h, y, r (retrieval), c (recent mean), n (seasonal naive)."""
     panel = supplier_panel(spark, sf)
-    knn = R.combine(R.restored_values(found(spark, sf, "mean", train_end), clip=True)).select(F.col("qid").alias("id"), "h", F.col("point").alias("r"))
+    knn = R.combine(R.restored_values(found(spark, sf, "mean", train_end, stride=stride), clip=True)).select(F.col("qid").alias("id"), "h", F.col("point").alias("r"))
     return (
         R.actuals(panel, train_end, HORIZON)
         .join(knn, ["id", "h"])
@@ -434,8 +436,8 @@ def gate_features(spark, sf):
     return _gate_features(spark, sf, VAL)
 
 
-def _gate_features(spark, sf, train_end):
-    rows = found(spark, sf, "mean", train_end).persist()
+def _gate_features(spark, sf, train_end, stride: int = STRIDE):
+    rows = found(spark, sf, "mean", train_end, stride=stride).persist()
     summary = R.neighbour_summary(rows, R.combine(R.restored_values(rows, clip=True)), supplier_series(spark, sf).select(F.col("id").alias("qid")))
     return U.gate_features(supplier_panel(spark, sf), summary, train_end)
 
@@ -447,10 +449,10 @@ def gated_fusion(spark, sf):
 
     frames = []
     for te in (VAL_M2, VAL_M1):
-        scored = _three(spark, sf, te).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone"))
-        frames.append(_gate_features(spark, sf, te).join(U.gate_labels(scored), "id"))
-    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1])), _gate_features(spark, sf, VAL))
-    fused = _three(spark, sf).join(weights, "id").withColumn("fused", U.fuse(F.col("c"), F.col("r"), F.col("weight")))
+        scored = _three(spark, sf, te, DEPLOYED).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone"))
+        frames.append(_gate_features(spark, sf, te, DEPLOYED).join(U.gate_labels(scored), "id"))
+    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1])), _gate_features(spark, sf, VAL, DEPLOYED))
+    fused = _three(spark, sf, VAL, DEPLOYED).join(weights, "id").withColumn("fused", U.fuse(F.col("c"), F.col("r"), F.col("weight")))
     e = lambda c: F.sqrt(F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))))
     return fused.groupBy("id").agg(F.first("weight").alias("weight"), e("c").alias("backbone"), e("r").alias("retrieval"), e("fused").alias("fused"))
 
@@ -540,11 +542,11 @@ def error_decomposition(spark, sf):
 REGIME = f"""reg AS (SELECT z.id, z.x, (sqrt(AVG((y - c) * (y - c))) - sqrt(AVG((y - r) * (y - r)))) AS utility, z.x > 0.8 AS degenerate FROM line JOIN (SELECT id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) AS x FROM panel WHERE day_idx > {VAL - 56} AND day_idx <= {VAL} GROUP BY id) z ON z.id = line.id GROUP BY z.id, z.x)"""
 
 
-def _regime(spark, sf, train_end: int = VAL) -> DataFrame:
+def _regime(spark, sf, train_end: int = VAL, stride: int = STRIDE) -> DataFrame:
     rmse = lambda c: F.sqrt(F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))))
     panel = supplier_panel(spark, sf).where((F.col("day_idx") > train_end - 56) & (F.col("day_idx") <= train_end))
     x = panel.groupBy("id").agg(F.avg((F.col("sales") == 0).cast("double")).alias("x"))
-    utility = _three(spark, sf, train_end).groupBy("id").agg((rmse("c") - rmse("r")).alias("utility"))
+    utility = _three(spark, sf, train_end, stride).groupBy("id").agg((rmse("c") - rmse("r")).alias("utility"))
     return x.join(utility, "id").withColumn("degenerate", F.col("x") > 0.8).withColumn("delta", F.col("utility"))
 
 
@@ -740,12 +742,12 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def spearman_correlates(spark, sf):
-    return D.utility_correlates(_regime(spark, sf), ["x"])
+    return D.utility_correlates(_regime(spark, sf, VAL, DEPLOYED), ["x"])
 
 
 @query()
 def isotonic_band(spark, sf):
-    found_ = D.isotonic_crossing(_regime(spark, sf)) or {}
+    found_ = D.isotonic_crossing(_regime(spark, sf, VAL, DEPLOYED)) or {}
     return spark.createDataFrame([(found_.get("crossing"), found_.get("low"), found_.get("high"), found_.get("n"))], "crossing double, low double, high double, n long")
 
 
