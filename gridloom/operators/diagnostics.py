@@ -99,6 +99,15 @@ def constrained_best(grid: DataFrame, slack: float = 1.02) -> DataFrame:
     return grid.join(F.broadcast(limit)).where(F.col("mae") <= slack * F.col("best")).orderBy("mse", "name", "k", "w").limit(1).drop("best")
 
 
+def _poisson_counts(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """rows for each resample k, with c: a uniform number from each row and resample, turned into a Poisson(1) count by its
+    distribution function."""
+    drawn = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "row", "k"), F.lit(1 << 52)) / float(1 << 52)
+    steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 9)]))
+    return drawn.withColumn("c", sum((F.when(u > float(s), 1).otherwise(0) for s in steps), F.lit(0)))
+
+
 def bootstrap_mean_difference(rows: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0, max_rows: int = 5_000_000) -> DataFrame:
     """Mean of b - a over rows where both are finite, with a percentile interval from resampling rows.
 
@@ -116,18 +125,43 @@ def bootstrap_mean_difference(rows: DataFrame, a: str, b: str, n_boot: int = 200
         means = np.array([x[rng.integers(0, n, n)].mean() for _ in range(n_boot)])
         mean = float(x.mean())
     else:
-        # A uniform number from each row and resample, turned into a Poisson(1) count by its distribution function.
-        drawn = d.withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        u = F.pmod(F.xxhash64(F.lit(seed), "row", "k"), F.lit(1 << 52)) / float(1 << 52)
-        steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 9)]))
-        count = sum((F.when(u > float(s), 1).otherwise(0) for s in steps), F.lit(0))
-        sums = drawn.select("k", "d", count.alias("c")).groupBy("k").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
+        sums = _poisson_counts(d, n_boot, seed).groupBy("k").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
         means = np.array([r["m"] for r in sums.collect()])
         mean = d.agg(F.avg("d")).first()[0]
     low, high = np.quantile(means, [0.025, 0.975])
     return spark.createDataFrame([(n, float(mean), float(low), float(high))], schema)
 
 
+def bootstrap_relative_improvement(rows: DataFrame, baseline: str, method: str, n_boot: int = 2000, seed: int = 0, max_rows: int = 5_000_000) -> DataFrame:
+    """(mean(baseline) - mean(method)) / mean(baseline) over rows where both are finite, with a percentile interval from
+    resampling rows in pairs, as in bootstrap_mean_difference. Null where the baseline's mean is zero; such resamples count
+    as null and leave the interval null too."""
+    spark = rows.sparkSession
+    b, m = F.col(baseline).cast("double"), F.col(method).cast("double")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    pairs = rows.where(finite(b) & finite(m)).select(b.alias("b"), m.alias("m"))
+    schema = "n long, rel_improvement double, low double, high double, excludes_zero boolean"
+    n = pairs.count()
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    if n <= max_rows:
+        table = pairs.orderBy("b", "m").toArrow()
+        x = np.stack([table.column("b").to_numpy(), table.column("m").to_numpy()], 1)
+        rng = np.random.default_rng(seed)
+        means = np.array([x[rng.integers(0, n, n)].mean(0) for _ in range(n_boot)])
+        whole = x.mean(0)
+    else:
+        drawn = _poisson_counts(pairs, n_boot, seed)
+        sums = drawn.groupBy("k").agg(*((F.sum(F.col(c) * F.col("c")) / F.sum("c")).alias(c) for c in ("b", "m")))
+        means = np.array([(r["b"], r["m"]) for r in sums.collect()])
+        whole = np.array(pairs.agg(F.avg("b"), F.avg("m")).first())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratios, point = (means[:, 0] - means[:, 1]) / means[:, 0], (whole[0] - whole[1]) / whole[0]
+    known = lambda v: float(v) if np.isfinite(v) else None
+    low, high = map(known, np.quantile(ratios, [0.025, 0.975]) if np.isfinite(ratios).all() else (np.nan, np.nan))
+    return spark.createDataFrame([(n, known(point), low, high, None if low is None else low > 0 or high < 0)], schema)
+
+
 def mean_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     """Distinct values of a column and the mean rank of their rows, from 1. Values are dealt over ranges, ranked within
     each, and shifted by the counts of the ranges before it, so no task orders all of them."""
@@ -152,12 +186,23 @@ def utility_correlates(rows: DataFrame, features: list[str], target: str = "util
     return out
 
 
+#: Bins of x in the isotonic fit.
+BINS = 10_000
+
+
 def isotonic_crossing(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
     """From (x, utility): where the isotonic fit of P(utility > 0) first reaches one half, by interpolation, with a bootstrap
     interval if enough resamples cross. None for fewer than 20 rows. Equal x are averaged first; the fit runs on the driver
-    over at most 10,000 bins of x (exact while there are no more distinct values)."""
-    binned = rows.groupBy(F.round("x", 4).alias("x")).agg(F.sum((F.col("utility") > 0).cast("double")).alias("wins"), F.count("*").alias("n")).orderBy("x").toArrow()
-    x, wins, n = (binned.column(c).to_numpy() for c in ("x", "wins", "n"))
+    over at most BINS bins of x, exact while there are no more distinct values. Beyond, bins have equal width and their mean x."""
+    known = rows.agg(F.count_distinct("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    x = F.col("x")
+    if known["n"] > BINS:
+        width = (known["high"] - known["low"]) / BINS
+        number = F.least(F.floor((F.col("x") - known["low"]) / width), F.lit(BINS - 1))
+        rows = rows.select("x", "utility", number.alias("bin"))
+        x = F.col("bin")
+    binned = rows.groupBy(x.alias("group")).agg(F.avg("x").alias("mean_x"), F.min("x").alias("least"), F.sum((F.col("utility") > 0).cast("double")).alias("wins"), F.count("*").alias("n")).orderBy("group").toArrow()
+    x, wins, n = (binned.column(c).to_numpy() for c in ("mean_x" if known["n"] > BINS else "least", "wins", "n"))
     if n.sum() < 20:
         return None
     rng = np.random.default_rng(seed)
@@ -197,12 +242,20 @@ def _crossing(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
 
 
 def band(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
-    """Lower edge from the crossing over x, upper edge from that over -x; None if either is missing or they are inverted."""
-    low = isotonic_crossing(rows, n_boot, seed)
-    high = isotonic_crossing(rows.withColumn("x", -F.col("x")), n_boot, seed)
-    if not low or not high or low["crossing"] is None or high["crossing"] is None or low["crossing"] > -high["crossing"]:
+    """Lower edge from the crossing over x and upper edge from that over -x, with their intervals. An edge that isn't reached
+    is None; so is the upper one if it isn't above the lower. None for fewer than 20 rows."""
+    lower = isotonic_crossing(rows, n_boot, seed)
+    upper = isotonic_crossing(rows.withColumn("x", -F.col("x")), n_boot, seed + 1)
+    if lower is None or upper is None:
         return None
-    return {"low": low["crossing"], "high": -high["crossing"]}
+    edge = None if upper["crossing"] is None else -upper["crossing"]
+    if edge is not None and lower["crossing"] is not None and edge <= lower["crossing"]:
+        edge = None
+    interval = edge is not None and upper["low"] is not None
+    return {
+        "low": lower["crossing"], "low_from": lower["low"], "low_to": lower["high"],
+        "high": edge, "high_from": -upper["high"] if interval else None, "high_to": -upper["low"] if interval else None, "n": lower["n"],
+    }
 
 
 def spread_against_error(rows: DataFrame) -> DataFrame:

@@ -737,7 +737,9 @@ def bootstrap_ci(spark, sf):
     panel = supplier_panel(spark, sf)
     rows = R.actuals(panel, VAL, HORIZON).join(R.seasonal_naive(panel, VAL, HORIZON).withColumnRenamed("y_pred", "n"), ["id", "h"]).join(R.recent_mean(panel, VAL, HORIZON).withColumnRenamed("y_pred", "c"), ["id", "h"])
     per = rows.groupBy("id").agg(M.mae(F.col("y"), F.col("n")).alias("a"), M.mae(F.col("y"), F.col("c")).alias("b"))
-    return D.bootstrap_mean_difference(per, "a", "b")
+    per = per.persist()  # read by both
+    relative = D.bootstrap_relative_improvement(per, "a", "b").select("rel_improvement", F.col("low").alias("rel_low"), F.col("high").alias("rel_high"), "excludes_zero")
+    return D.bootstrap_mean_difference(per, "a", "b").crossJoin(relative)  # one row each
 
 
 @query()
@@ -747,8 +749,10 @@ def spearman_correlates(spark, sf):
 
 @query()
 def isotonic_band(spark, sf):
-    found_ = D.isotonic_crossing(_regime(spark, sf, VAL, DEPLOYED)) or {}
-    return spark.createDataFrame([(found_.get("crossing"), found_.get("low"), found_.get("high"), found_.get("n"))], "crossing double, low double, high double, n long")
+    found_ = D.band(_regime(spark, sf, VAL, DEPLOYED)) or {}
+    names = ("low", "low_from", "low_to", "high", "high_from", "high_to", "n")
+    row = tuple(v if v is None or c == "n" else float(v) for c, v in ((c, found_.get(c)) for c in names))
+    return spark.createDataFrame([row], "crossing double, low double, high double, upper double, upper_low double, upper_high double, n long")
 
 
 @query()
