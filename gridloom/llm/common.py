@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Without either,
+    a temporary folder in local mode, where all run on one machine; on a cluster ValueError."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -38,7 +41,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
     # Small row groups, so writing large blobs doesn't hold 128 MB in each task.
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._gridloom_path = path
+    return found
+
+
+def discard(*staged: DataFrame) -> None:
+    """Removes what stage() has written, once nothing that is still to be computed reads it."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._gridloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Over so many tasks the rows of one key are dealt in join_one().
+SALTS = 8
+
+
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, which has one row a key: that row is repeated SALTS times, and the rows of `many` are dealt over
+    the copies by a hash of their columns `by`, so a frequent key isn't met in one task."""
+    salt = "gridloom_salt"
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
 def crc_mod(column: str, modulus: int) -> Column:
