@@ -7,6 +7,7 @@ starts first stays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,7 +32,10 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """Piece counts by word (MARK where a space stands before it); forgets all when full, which changes no result."""
+    """Piece counts by stretch of text; forgets all when full, which changes no result.
+
+    A text, with MARK for each space, is cut before a MARK that no piece spans: one whose character before never stands
+    before a MARK within a piece. The best segmentation of the whole is then that of its stretches."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.automaton = ahocorasick.Automaton()
@@ -41,6 +45,9 @@ class Counter(dict):
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         #: No piece holds a line feed, so what stands before and after one is segmented apart.
         self.lines = not any("\n" in piece for piece, _ in pieces)
+        #: Characters that a piece has right before a MARK.
+        self.spanned = "".join(sorted({a for piece, _ in pieces for a, b in zip(piece, piece[1:], strict=False) if b == MARK}))
+        self.cut = re.compile(f"(?<![{re.escape(self.spanned)}])(?={MARK})" if self.spanned else f"(?={MARK})")
 
     def __missing__(self, word: str) -> int:
         if self.lines and "\n" in word and word != "\n":
@@ -87,21 +94,22 @@ class Counter(dict):
         return pieces[-1]
 
     def text(self, text: str) -> int:
-        """A space, and one more before the text unless it starts with one, becomes MARK and starts a word."""
+        """Each space becomes MARK, and one more stands before the text unless it starts with a space."""
         if not text:
             return 0
-        words = text.split(" ")
-        if not words[0]:
-            words = words[1:]
-        return sum(map(self.__getitem__, [MARK + w for w in words]))
+        if self.spanned in ("", MARK) and "  " not in text:  # single spaces: every one starts a stretch
+            words = text.split(" ")
+            return sum(map(self.__getitem__, [MARK + w for w in (words if words[0] else words[1:])]))
+        marked = text.replace(" ", MARK)
+        return sum(map(self.__getitem__, filter(None, self.cut.split(marked if marked[0] == MARK else MARK + marked))))
 
 
 _COUNTERS: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per row: doc_id, n_chars (code points) and n_tokens of the whole text. A null or empty text has none; repeated rows
-    are counted each; other columns are ignored. The model file must be at model_path on every machine."""
+    """Per row: doc_id (of any type), n_chars (code points) and n_tokens of the whole text. A null or empty text has none;
+    repeated rows are counted each; other columns are ignored. The model file must be at model_path on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _COUNTERS:
@@ -114,5 +122,5 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
                 chars[k], tokens[k] = len(text), counter.text(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chars), pa.array(tokens)], names=["doc_id", "n_chars", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_tokens long")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, n_tokens long")
