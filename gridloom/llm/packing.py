@@ -38,12 +38,17 @@ class _Packers(dict):
 _PACK = _Packers()
 
 
+#: How the special tokens of the vocabulary start.
+SPECIAL = b"<|"
+
+
 class _Ids(dict):
     """Ids, as little-endian 32-bit bytes, of what stands between white space; forgets all when full.
 
     A word of letters alone that is already in lower case and normal form passes the tokenizer's normaliser and splitter
     unchanged, so it goes to its BPE model directly; a full stop or comma after a letter is always a token of its own.
-    Everything else is encoded by the whole tokenizer.
+    Everything else is encoded by the whole tokenizer. Special tokens are looked for before letters are lower-cased, so
+    what may hold one (it would start with SPECIAL) keeps its case.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -53,6 +58,12 @@ class _Ids(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.marks = {mark: self.whole(mark) for mark in (b".", b",")}
 
+    def text(self, raw: bytes) -> bytes:
+        words = raw.translate(LOWER).split()
+        if SPECIAL in raw:
+            words = [w if SPECIAL in w else low for w, low in zip(raw.split(), words, strict=True)]
+        return b"".join(map(self.__getitem__, words))
+
     def whole(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -89,32 +100,30 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     documents longer than `capacity` are cut, each piece but the last having exactly `capacity` ids. The tokenizer must
     be word_bpe_49k or alike: byte-level BPE that ignores white space and letter case and splits letters from others.
     Ids are looked up by white-space separated chunk.
-    Repeated rows each get their own pieces; a null doc_id stays null; other columns are ignored.
+    Repeated rows each get their own pieces; a doc_id is of any type, a null one stays null; other columns are ignored.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = _ids_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
-            rows: list[tuple[int | None, int, int, int, int]] = []
+            rows: list[tuple] = []
             texts = batch.column("text").cast(pa.binary())
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                raw = text.as_py() or b""
-                data = b"".join(map(ids.__getitem__, raw.translate(LOWER).split())) + end
+                data = ids.text(text.as_py() or b"") + end
                 for k, at in enumerate(range(0, len(data), size)):
                     part = data[at : at + size]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
     # A repeated name would be ambiguous; only these two columns travel to Python.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
-    )
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -334,4 +343,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *placed], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
