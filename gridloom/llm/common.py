@@ -67,6 +67,11 @@ def join_one(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], ho
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
 
+def any_type(docs: DataFrame, column: str = "doc_id") -> str:
+    """The column's type, as in a schema string."""
+    return docs.schema[column].dataType.simpleString()
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of a column's decimal text, modulo `modulus`; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -201,10 +206,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
-        edges = stage(small.where("a != b").distinct(), "edges")
+        last, edges = edges, stage(small.where("a != b").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            found._gridloom_path = edges._gridloom_path  # for discard()
+            return found
         before = now
 
 

@@ -1,9 +1,12 @@
 """Exact Jaccard self-join over word shingles, by prefixes of token combinations.
 
 A shingle is a token; a document's tokens form a set. Two sets of similarity p share a token within short prefixes of any
-fixed order, and k tokens within prefixes longer by k - 1. First, prefixes in hash order show which sets share enough
-tokens with any other at all; the rest have no links. Then the remaining sets are ordered by token frequency, rare first.
-Tokens of few classes are indexed alone, tokens of many classes in combinations of two, and candidates are verified.
+fixed order. First, prefixes in hash order show which sets share enough tokens with any other at all; the rest have no
+links. Then the remaining sets are ordered by token frequency, rare first. Tokens of few classes are indexed alone. A set
+with frequent tokens in its prefix extends it, and is indexed by combinations of k consecutive tokens: if two sets differ in
+at most d tokens, k consecutive ones of their union are common, and lie among the first k (d + 1) tokens of each. So a set
+has a key a token, not one for each pair of tokens. Combinations that are still frequent are extended again. Candidates are
+verified.
 
 A large group of near copies would make a quadratic number of links, of which only the components matter. So every set is
 first compared with a few of the most central sets that it shares a prefix token with; sets that this links form one class.
@@ -21,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, components, hashed_words, mix, pack_texts, release, stage, unpack_texts
+from gridloom.llm.common import SPACES, any_type, components, discard, hashed_words, join_one, mix, pack_texts, release, stage, unpack_texts
 
 #: Bytes of text in a block, the unit that is looked at twice; tokens in a bucket, the unit that is counted at once.
 BLOCK_BYTES = 8 << 20
 BUCKET_TOKENS = 3_000_000
 #: Hash-order prefixes are longer than needed by this share of a set, so that more shared tokens are asked for.
 EXTENSION = 0.08
-#: A token of more classes than this is frequent.
+#: A token, or combination, of more classes than this is frequent; combinations have up to LONGEST tokens.
 RARE = 200
+LONGEST = 3
 #: So many of a set's tokens before a key are kept with it, to tell that two sets have met by an earlier one.
 BEFORE = 16
 #: Rounds in which each set is compared with up to TRIES central sets of other classes, before the exact join.
@@ -79,14 +83,20 @@ def _set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-SCAN = "block long, bucket int, payload binary, doc_ids array<long>, hashes array<long>, sizes array<long>, sets array<long>"
+def _dealt(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that puts tokens of one bucket together, the buckets that have any, and where each starts (and the end)."""
+    bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    present, starts = np.unique(bucket[order], return_index=True)
+    return order, present, np.append(starts, len(tokens))
 
 
 def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
     """Per block: one row with the documents' set sizes and ids (bucket -2), one with the texts of its different sets
-    (bucket -1), and one for each bucket with the tokens of their hash-order prefixes."""
+    (bucket -1), and one for each bucket with the different tokens of their hash-order prefixes."""
+    schema = f"block long, bucket int, payload binary, doc_ids array<{any_type(docs)}>, hashes array<long>, sizes array<long>, sets array<long>"
 
-    def emit(block: int, texts: list[bytes], ids: list, hashes: list) -> pa.RecordBatch:
+    def emit(block: int, texts: list[bytes], ids: list, hashes: list, id_type: pa.DataType) -> pa.RecordBatch:
         sets = shingle_sets(texts, width)
         set_ids = [_set_id(s) for s in sets]
         own: dict[int, int] = {}
@@ -95,15 +105,15 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 own.setdefault(set_ids[k], k)
         kept = list(own.values())
         packed = pack_texts([texts[k] for k in kept])
-        tokens = np.concatenate([sets[k][: _prefix(len(sets[k]), percent)[0]] for k in kept] or [np.zeros(0, np.uint64)])
+        tokens = np.unique(np.concatenate([sets[k][: _prefix(len(sets[k]), percent)[0]] for k in kept] or [np.zeros(0, np.uint64)]))
         rows = [(block, -2, None, ids, hashes, [len(s) for s in sets], set_ids), (block, -1, packed, None, None, None, None)]
-        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if cuts[b] < cuts[b + 1]:
-                rows.append((block, b, tokens[order[cuts[b] : cuts[b + 1]]].tobytes(), None, None, None, None))
-        return _batch(rows)
+        order, present, cuts = _dealt(tokens, buckets)
+        for k, b in enumerate(present.tolist()):
+            rows.append((block, b, tokens[order[cuts[k] : cuts[k + 1]]].tobytes(), None, None, None, None))
+        many = pa.list_(pa.int64())
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(id_type), many, many, many]
+        names = ["block", "bucket", "payload", "doc_ids", "hashes", "sizes", "sets"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -111,12 +121,13 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
         ids: list = []
         hashes: list = []
         size = 0
+        id_type = pa.int64()
         for batch in batches:
-            raw = batch.column("text").cast(pa.binary())
+            raw, id_type = batch.column("text").cast(pa.binary()), batch.schema.field("doc_id").type
             for k, (doc_id, h) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), strict=True)):
                 text = raw[k].as_py() or b""
                 if texts and size + len(text) > BLOCK_BYTES:
-                    yield emit(block, texts, ids, hashes)
+                    yield emit(block, texts, ids, hashes, id_type)
                     release()
                     block, size, texts, ids, hashes = block + 1, 0, [], [], []
                 texts.append(text)
@@ -124,20 +135,14 @@ def _scan(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
                 hashes.append(h)
                 size += len(text)
         if texts:
-            yield emit(block, texts, ids, hashes)
+            yield emit(block, texts, ids, hashes, id_type)
 
-    return docs.mapInArrow(run, SCAN)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    many = pa.list_(pa.int64())
-    types = [pa.int64(), pa.int32(), pa.binary(), many, many, many, many]
-    names = ["block", "bucket", "payload", "doc_ids", "hashes", "sizes", "sets"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    return docs.mapInArrow(run, schema)
 
 
 def _flag(table: pa.Table) -> pa.Table:
-    """For each block's tokens of one bucket, bits that say which occur in another set too."""
+    """For each block's tokens of one bucket, bits that say which occur in another block too. A block has a token once, so a
+    token that every document has is here once a block."""
     parts = [np.frombuffer(p.as_py(), np.uint64) for p in table.column("payload")]
     tokens = np.concatenate(parts)
     order = np.argsort(tokens)
@@ -168,15 +173,14 @@ def _survivors(width: int, percent: int, buckets: int):
                 flags[bucket] = np.unpackbits(np.frombuffer(zstandard.decompress(payload.as_py()), np.uint8))
         sets = shingle_sets(texts, width)
         lengths = [_prefix(len(s), percent) for s in sets]
-        tokens = np.concatenate([s[:n] for s, (n, _) in zip(sets, lengths, strict=True)] or [np.zeros(0, np.uint64)])
-        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        shared = np.zeros(len(tokens) + 1, np.int64)
-        for b, bits in flags.items():
-            own = order[cuts[b] : cuts[b + 1]]
-            shared[own + 1] = bits[: len(own)]
-        total = np.cumsum(shared)
+        every = np.concatenate([s[:n] for s, (n, _) in zip(sets, lengths, strict=True)] or [np.zeros(0, np.uint64)])
+        tokens, place, many = np.unique(every, return_inverse=True, return_counts=True)
+        order, present, cuts = _dealt(tokens, buckets)
+        shared = many > 1  # in another set of this block, or of another
+        for k, b in enumerate(present.tolist()):
+            own = order[cuts[k] : cuts[k + 1]]
+            shared[own] |= flags[b][: len(own)].astype(bool)
+        total = np.concatenate([[0], np.cumsum(shared[place])])
         ends = np.cumsum([n for n, _ in lengths])
         keep = [k for k, (n, least) in enumerate(lengths) if total[ends[k]] - total[ends[k] - n] >= least]
         values = np.concatenate([sets[k] for k in keep] or [np.zeros(0, np.uint64)]).view(np.int64)
@@ -206,10 +210,14 @@ def _may_link(na: Column, nb: Column, at_a: Column, at_b: Column, percent: int)
     return (room * (100 + percent) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """The sets' prefixes by token frequency, one token longer than needed: sid, n, central, at (place in the order), token.
+def _differ(n: Column, percent: int) -> Column:
+    """In how many tokens, at most, a set of n and any set it links with differ."""
+    return F.floor(n * (100 - percent) / percent).cast("int")
+
 
-    Tokens of no other set come first and are only counted. `central` orders sets by their share of shared tokens."""
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """The sets by token frequency: sid, n, m (shared tokens), least, central, and as many of the shared tokens as any prefix
+    needs. Tokens of no other set would come first and are only counted. `central` orders sets by their share of shared tokens."""
     tokens = sets.select("sid", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     known = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * percent / 100).cast("int")
@@ -222,10 +230,15 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     )
     weight = F.aggregate("shared", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double")))
     central = F.struct((F.col("m") / F.col("n")).alias("share"), (weight / F.col("n")).alias("weight"), "sid")
-    cut = ordered.select("sid", F.col("n").cast("long").alias("n"), "m", central.alias("central"), F.slice("shared", F.lit(1), F.col("m") - least + 2).alias("prefix"))
-    return cut.select("sid", "n", "m", "central", F.posexplode("prefix").alias("k", "x")).select(
-        "sid", "n", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), F.col("x.token").alias("token")
-    )
+    most = F.greatest(F.col("m") - least + 2, LONGEST * (_differ(F.col("n"), percent) + 1) - (F.col("n") - F.col("m")))
+    cut = F.transform(F.slice("shared", F.lit(1), most), lambda x: x["token"])
+    return ordered.select("sid", F.col("n").cast("long").alias("n"), "m", least.alias("least"), central.alias("central"), cut.alias("tokens"))
+
+
+def _prefixes(ordered: DataFrame) -> DataFrame:
+    """The prefixes, one token longer than needed: sid, n, least, central, at (place in the order), token."""
+    cut = ordered.select("sid", "n", "m", "least", "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("m") - F.col("least") + 2)).alias("k", "token"))
+    return cut.select("sid", "n", "least", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), "token")
 
 
 def _classed(prefix: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -253,48 +266,50 @@ def _met(classed: DataFrame, percent: int, first: bool) -> DataFrame:
     return met.groupBy("sid").agg(best.alias("hubs")).select(F.col("sid").alias("a"), F.explode("hubs.sid").alias("b"))
 
 
-def _index(placed: DataFrame) -> DataFrame:
-    """Keys by which sets of different classes meet: tokens of few classes, and pairs of tokens of many. Each row has the
-    key's largest class (major) and tokens before the key (before).
-
-    Two sets need to meet at one key alone: at their first common token if it is rare, at the second if only that is rare,
-    and at the pair of both if both are frequent. A common rare token before a rare one, or any other common token before
-    the second of a pair, tells that it isn't this key; such keys add no candidate if BEFORE tokens suffice to tell. A
-    frequent token before a rare key makes no key with it, so it tells nothing; it may be common, and `at` is one less."""
-    mixed = (
-        placed.groupBy("token", "class").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"))
-    ).where("classes > 1")
-    open_ = placed.join(mixed.select("token", "classes", F.col("major.class").alias("major")), "token")
-    ordered = open_.groupBy("sid", "n", "class").agg(F.array_sort(F.collect_list(F.struct("at", "token", "classes", "major"))).alias("o"))
-    earlier = lambda o, i: F.transform(F.slice(o, F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))), lambda x: x["token"])
-    rare = ordered.select(
-        "sid", "n", "class", F.filter("o", lambda x: x["classes"] <= RARE).alias("r"),
-        F.array_min(F.transform(F.filter("o", lambda x: x["classes"] > RARE), lambda x: x["at"])).alias("first_frequent"),
-    )
-    at = lambda x: F.when(x["at"] > F.col("first_frequent"), x["at"] - 1).otherwise(x["at"])
-    alone = lambda x, i: F.struct(x["token"].alias("key"), at(x).alias("at"), x["major"].alias("major"), earlier("r", i).alias("before"))
-    single = rare.select("sid", "n", "class", F.explode(F.transform("r", alone)).alias("x")).select("x.key", "sid", "n", "x.at", "class", "x.major", "x.before")
-    fields = ("at", "token", "classes")
-    keyed = ordered.select("sid", "n", "class", F.transform("o", lambda x, i: F.struct(*(x[c].alias(c) for c in fields), earlier("o", i).alias("before"))).alias("o"))
-    # Combinations of two frequent tokens, the earlier one's place counting.
-    frequent = keyed.select("sid", "n", "class", F.filter("o", lambda x: x["classes"] > RARE).alias("f")).where(F.size("f") > 1)
-    before_both = lambda x, y: F.array_distinct(F.concat(x["before"], F.array_remove(y["before"], x["token"])))
-    pair = lambda x, y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["at"].alias("at"), before_both(x, y).alias("before"))
-    pairs_of = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice(F.col("f"), i + 2, F.size("f")), lambda y: pair(x, y))))
-    combined = frequent.select("sid", "n", "class", F.explode(pairs_of).alias("x")).select("x.key", "sid", "n", "x.at", "class", "x.before")
-    majors = combined.groupBy("key", "class").agg(F.count("*").alias("size")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major")).where("classes > 1")
-    combined = combined.join(majors.select("key", F.col("major.class").alias("major")), "key").select("key", "sid", "n", "at", "class", "major", "before")
-    return single.unionAll(combined)
+def _keyed(rows: DataFrame) -> DataFrame:
+    """From (sid, n, class, last, pos, key, at): the keys of more than one class, with their number of classes (classes), their
+    largest class (major), whether any set can't be extended beyond the key (ends), and rare keys that the set has too (before).
+
+    Two sets need to meet at one key alone. A rare key that they share before a rare one, or at all besides a frequent one,
+    tells that it isn't this; such keys add no candidate if BEFORE keys suffice to tell."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("size"), F.max("last").alias("ends"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"), F.max("ends").alias("ends")).where("classes > 1")
+    open_ = rows.join(mixed.select("key", "classes", F.col("major.class").alias("major"), "ends"), "key")
+    own = open_.groupBy("sid", "n", "class", "last").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "at", "classes", "major", "ends"))).alias("o"))
+    own = own.withColumn("r", F.filter("o", lambda x: x["classes"] <= RARE)).withColumn("f", F.filter("o", lambda x: x["classes"] > RARE))
+    keys = F.transform("r", lambda x: x["key"])
+    one = lambda x, before: F.struct(*(x[c].alias(c) for c in ("key", "at", "classes", "major", "ends")), before.alias("before"))
+    rare = F.transform("r", lambda x, i: one(x, F.slice(F.transform(F.col("r"), lambda y: y["key"]), F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))))
+    frequent = F.transform("f", lambda x: one(x, F.slice(keys, F.lit(1), F.lit(BEFORE))))
+    found = own.select("sid", "n", "class", "last", F.explode(F.concat(rare, frequent)).alias("x"))
+    return found.select("x.key", "sid", "n", "x.at", "class", "last", "x.classes", "x.major", "x.ends", "x.before")
+
+
+def _last(n: Column, k: int, percent: int) -> Column:
+    """Whether a set is too small for combinations of k + 1 tokens, or k is LONGEST."""
+    return F.lit(k == LONGEST) | ((k + 1) * (_differ(n, percent) + 1) > n)
+
+
+def _extended(index: DataFrame, ordered: DataFrame, classes: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Combinations of k consecutive tokens of the sets that have a frequent key of k - 1, as rows for _keyed(). The first
+    token of one need not be the first that two sets share, so its place tells nothing (at is 0)."""
+    more = index.where((F.col("classes") > RARE) & ~F.col("last")).select("sid").distinct()
+    reach = k * (_differ(F.col("n"), percent) + 1) - (F.col("n") - F.col("m")).cast("int")  # of the shared tokens
+    rows = _classed(ordered.join(more, "sid", "left_semi"), classes).withColumn("t", F.slice("tokens", F.lit(1), F.greatest(reach, F.lit(0)))).where(F.size("t") >= k)
+    keys = F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.slice("t", i, F.lit(k))))
+    return rows.select("sid", "n", "class", _last(F.col("n"), k, percent).alias("last"), F.posexplode(keys).alias("pos", "key"), F.lit(0).cast("long").alias("at"))
 
 
 def _candidates(index: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different classes that share a key and may link. Sets outside a key's largest class meet all
-    others of the key; those of the largest class only these."""
-    outside = index.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before")))
+    others of the key; those of the largest class only these. At a frequent key only sets meet of which one has no longer one."""
+    used = index.where((F.col("classes") <= RARE) | F.col("ends"))
+    outside = used.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before", "last")))
     return (
-        index.join(outside, "key")
+        used.join(outside, "key")
         .where(F.col("class") != F.col("class1"))
         .where((F.col("class") == F.col("major")) | (F.col("sid") < F.col("sid1")))
+        .where((F.col("classes") <= RARE) | F.col("last") | F.col("last1"))
         .where(_may_link(F.col("n"), F.col("n1"), F.col("at"), F.col("at1"), percent))
         .where(~F.arrays_overlap("before", "before1"))
         .select(F.least("sid", "sid1").alias("a"), F.greatest("sid", "sid1").alias("b"))
@@ -302,20 +317,51 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _between(ordered: DataFrame, prefix: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
+    """Candidates among sets of different classes: all pairs that may link, by tokens and then by ever longer combinations."""
+    single = _classed(prefix, classes).where(F.col("at") <= F.col("n") - F.col("least"))
+    rows = single.select("sid", "n", "class", _last(F.col("n"), 1, percent).alias("last"), F.col("at").alias("pos"), F.col("token").alias("key"), F.col("at").cast("long").alias("at"))
+    found = []
+    for k in range(1, LONGEST + 1):
+        if k > 1:
+            rows = _extended(found[-1], ordered, classes, k, percent)
+        found.append(stage(_keyed(rows), "index"))
+        if found[-1].where((F.col("classes") > RARE) & ~F.col("last")).isEmpty():
+            break
+    pairs = None
+    for index in found:
+        pairs = _candidates(index, percent) if pairs is None else pairs.unionAll(_candidates(index, percent))
+    out = stage(pairs.distinct(), "candidates")
+    discard(*found)
+    return out
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Classes of the sets that are linked with any other: node and root, set ids."""
-    prefix = stage(_prefixes(sets, percent), "prefixes")
-    links = classes = None
+    ordered = stage(_ordered(sets, percent), "ordered")
+    prefix = _prefixes(ordered)
+    links = []
+    classes = None
     for turn in range(ROUNDS):
-        new = stage(_linked(_met(_classed(prefix, classes), percent, turn == 0), sets, percent), "links")
-        links = new if links is None else links.unionAll(new)
-        if turn and new.isEmpty():
+        links.append(stage(_linked(_met(_classed(prefix, classes), percent, turn == 0), sets, percent), "links"))
+        if turn and links[-1].isEmpty():
             break
-        classes = components(links)
+        if classes is not None:
+            discard(classes)
+        classes = components(_union(links))
     # Between classes: all that the prefixes allow.
-    placed = stage(_classed(prefix, classes).select("token", "sid", "n", "at", "class"), "placed")
-    index = stage(_index(placed), "index")
-    return components(links.unionAll(_linked(_candidates(index, percent), sets, percent)))
+    pairs = _between(ordered, prefix, classes, percent)
+    links.append(stage(_linked(pairs, sets, percent), "links"))
+    out = components(_union(links))
+    discard(ordered, pairs, classes, *links)
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -323,12 +369,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Documents link when 100 times the number of
     common shingles is at least `percent` (67 or more) times that of all; groups are the components. The representative
-    is the member of least doc_id, null last, then least hash. A text without words (or null) links with nothing. Repeated
-    rows have equal results; an empty table gives an empty one; other columns are ignored.
+    is the member of least doc_id (of any type that has an order), null last, then least hash. A text without words (or null)
+    links with nothing. Repeated rows have equal results; an empty table gives an empty one; other columns are ignored.
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(12, size // 30 // BUCKET_TOKENS)
     scan = stage(_scan(rows, width, percent, buckets), "scan")
@@ -336,15 +382,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     flags = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_flag, "block long, bucket int, payload binary")
     both = packed.where("bucket = -1").unionAll(flags)
     sets = stage(both.groupBy("block").applyInArrow(_survivors(width, percent, buckets), "sid long, tokens array<long>").dropDuplicates(["sid"]), "sets")
-    classes = _links(sets, percent)
     members = scan.where("bucket = -2").select(F.explode(F.arrays_zip("doc_ids", "hashes", "sizes", "sets")).alias("x")).select(
         F.col("x.doc_ids").alias("doc_id"), F.col("x.hashes").alias("hash"), F.col("x.sizes").alias("n_shingles"), F.col("x.sets").alias("sid")
     )
-    grouped = members.join(classes.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+    members = stage(members, "members")
+    discard(scan)
+    classes = _links(sets, percent)
+    discard(sets)
+    by = ["doc_id", "hash"]
+    grouped = join_one(members, classes.select(F.col("node").alias("sid"), "root"), ["sid"], by, "left").withColumn("class", F.coalesce("root", "sid"))
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     heads = grouped.where("n_shingles > 0").groupBy("class").agg(F.min(own).alias("head"))
     return (
-        grouped.join(heads, "class", "left")
+        join_one(grouped, heads, ["class"], by, "left")
         .withColumn("head", F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(own))
         .select("doc_id", "hash", "n_shingles", F.struct("head.doc_id", "head.hash").alias("representative"))
     )
@@ -363,7 +413,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         .agg(F.max("n_shingles").alias("gridloom_n"))
     )
     # A struct of a null is not null, so unnamed documents are joined too.
-    named = docs.withColumn(key[0], F.struct(F.col("doc_id").cast("long").alias("doc_id"))).withColumn(key[1], F.xxhash64(F.col("text").cast("string")))
+    named = docs.withColumn(key[0], F.struct("doc_id")).withColumn(key[1], F.xxhash64(F.col("text").cast("string")))
     whole = named.join(kept, (named[key[0]].eqNullSafe(kept[key[0]])) & (named[key[1]] == kept[key[1]])).drop(kept[key[0]]).drop(kept[key[1]])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = whole.where("gridloom_n > 0").dropDuplicates(key)

@@ -96,33 +96,43 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("rare", [1, 2, 3])
-def test_exact_join_alone_finds_links_behind_frequent_tokens(spark, monkeypatch, rare):
-    """Large classes make tokens with many sets and few classes, which come after tokens with fewer sets and more classes."""
+@pytest.mark.parametrize("rare,percent", [(1, 70), (2, 80), (3, 85), (200, 70), (1, 67)])
+def test_exact_join_alone_finds_every_link(spark, monkeypatch, rare, percent):
+    """Large classes make tokens with many sets and few classes, which come after tokens with fewer sets and more classes;
+    sets of few and of many tokens need combinations of different lengths."""
     monkeypatch.setattr(near_dup, "RARE", rare)
     rng = random.Random(rare)
     sets, classes = {}, {}
-    for group in range(12):
-        base = rng.sample(range(group % 4 * 40, group % 4 * 40 + 60), rng.choice([8, 12, 20]))
+    for group in range(16):
+        base = rng.sample(range(group % 4 * 40, group % 4 * 40 + 60), rng.choice([2, 3, 4, 8, 12, 20, 40]))
         for copy in range(rng.choice([2, 12])):
             sid = len(sets)
             sets[sid] = sorted({rng.randrange(200) if rng.random() < 0.06 else t for t in base})
             classes[sid] = 1000 + group * 3 + rng.choice([0, 0, 0, 0, 1, 2])
-    percent = 70
     frame = spark.createDataFrame(list(sets.items()), "sid long, tokens array<long>")
     roots = spark.createDataFrame(list(classes.items()), "node long, root long")
-    placed = near_dup._classed(near_dup._prefixes(frame, percent), roots).select("token", "sid", "n", "at", "class").localCheckpoint()
-    found = {(r.a, r.b) for r in near_dup._linked(near_dup._candidates(near_dup._index(placed), percent), frame, percent).collect()}
+    ordered = near_dup.stage(near_dup._ordered(frame, percent), "ordered")
+    pairs = near_dup._between(ordered, near_dup._prefixes(ordered), roots, percent)
+    found = {(r.a, r.b) for r in near_dup._linked(pairs, frame, percent).collect()}
     near = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})
-    # Equal sets have one id where the join is used.
     expected = {(a, b) for a, b in combinations(sets, 2) if classes[a] != classes[b] and near(a, b)}
-    assert expected and found == expected
+    # Equal sets have one id where the join is used.
+    different = lambda pairs: {(a, b) for a, b in pairs if sets[a] != sets[b]}
+    assert different(expected) and different(found) == different(expected)
 
 
-def test_one_common_frequent_token_before_the_key(spark, monkeypatch):
-    """Token 1 has three classes and token 2 two; sets 1 and 2 share 1 and 2 only in their prefixes, in this order."""
+def test_frequent_token_before_a_rare_one(spark, monkeypatch):
+    """Of ten tokens, sets 1 and 2 share nine; the first of these has three classes, the next is rare."""
     monkeypatch.setattr(near_dup, "RARE", 2)
-    # Of ten tokens each, nine are common: the key is the second of these, and eight are left from there on.
-    rows = [(1, 1, 10, 1, 11), (2, 1, 10, 2, 11), (1, 2, 10, 1, 12), (2, 2, 10, 2, 12), (1, 3, 10, 0, 13)]
-    placed = spark.createDataFrame(rows, "token long, sid long, n long, at long, class long")
-    assert [tuple(r) for r in near_dup._candidates(near_dup._index(placed), 81).collect()] == [(1, 2)]
+    sets = {1: [100, *range(1, 10)], 2: [200, *range(1, 10)], 3: [1, 300, 301], 4: [1, 400, 401], 5: [1, 100, 200]}
+    frame = spark.createDataFrame(list(sets.items()), "sid long, tokens array<long>")
+    ordered = near_dup.stage(near_dup._ordered(frame, 81), "ordered")
+    assert (1, 2) in [tuple(r) for r in near_dup._between(ordered, near_dup._prefixes(ordered), None, 81).collect()]
+
+
+def test_ids_of_text_long_texts_and_extra_columns(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [("b", long, 1), ("a", long + " more", 2), (None, long, 3), ("c", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, block int")
+    found = {(r.doc_id, r.n_shingles): r.representative.doc_id for r in near_duplicates(docs, 4, 85).collect()}
+    assert found == {("b", 199_997): "a", ("a", 199_998): "a", (None, 199_997): "a", ("c", 0): "c"}
