@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import LOWER, pack_texts, release, stage, unpack_texts
+from gridloom.llm.common import LOWER, any_type, pack_texts, release, stage, unpack_texts
 
 DEPTH = 6
 BLOCK_BYTES = 16 << 20
@@ -72,9 +72,22 @@ def codes_of(texts: list[bytes]) -> np.ndarray:
     return code[inside]
 
 
+#: All contexts below so many latest bytes meet in one bucket; nodes nearer the root are summed over buckets.
+MET = 3
+
+
 def _bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """By the two latest bytes, so that all deeper contexts of these meet."""
-    return (((codes >> 8 * (DEPTH - 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    """By the MET latest bytes, so that all deeper contexts of these meet."""
+    return (((codes >> 8 * (DEPTH + 1 - MET)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _dealt_codes(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that puts codes of one bucket together (sorted codes stay sorted), and each present bucket with its range."""
+    bucket = _bucket_of(codes, buckets)
+    order = np.argsort(bucket, kind="stable")
+    present, starts = np.unique(bucket[order], return_index=True)
+    ends = np.append(starts[1:], len(codes))
+    return order, list(zip(present.tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -134,13 +147,13 @@ def weighted(own: np.ndarray, deeper: np.ndarray) -> np.ndarray:
 
 
 class Subtrees:
-    """The contexts of two bytes and more below a bucket's pairs of latest bytes, from codes and training counts."""
+    """The contexts of MET bytes and more below a bucket's latest bytes, from codes and training counts."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         self.keys: dict[int, np.ndarray] = {DEPTH: codes}
         self.up: dict[int, np.ndarray] = {}
         own = {DEPTH: counts.astype(float)}
-        for d in range(DEPTH - 1, 1, -1):
+        for d in range(DEPTH - 1, MET - 1, -1):
             deeper = self.keys[d + 1]
             self.keys[d], self.up[d + 1] = np.unique(deeper >> 16 << 8 | deeper & 255, return_inverse=True)
             own[d] = np.bincount(self.up[d + 1], weights=own[d + 1], minlength=len(self.keys[d]))
@@ -149,7 +162,7 @@ class Subtrees:
         self.stats: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for bit in range(8):
             below = None
-            for d in range(DEPTH, 1, -1):
+            for d in range(DEPTH, MET - 1, -1):
                 prefix = self.keys[d] >> (8 - bit)
                 node = np.concatenate([[0], np.cumsum(prefix[1:] != prefix[:-1])]) if len(prefix) else np.zeros(0, np.int64)
                 n = int(node[-1]) + 1 if len(node) else 0
@@ -164,19 +177,18 @@ class Subtrees:
                 below = pw
                 self.node[d, bit], self.stats[d, bit] = node, (a, b, pe, pw)
 
-    def roots(self) -> dict[tuple[int, int], np.ndarray]:
-        """By latest byte and decision (1 to 255): zeros, ones and ln P_w, summed over the byte before it."""
-        found: dict[tuple[int, int], np.ndarray] = {}
-        keys = self.keys[2]
-        for bit in range(8):
-            a, b, _, pw = self.stats[2, bit]
-            node = self.node[2, bit]
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else node
-            latest = keys[first] >> 16
-            decision = 1 << bit | (keys[first] & 255) >> (8 - bit)
-            for x, y, values in zip(latest.tolist(), decision.tolist(), np.stack([a, b, pw], 1), strict=True):
-                found[x, y] = found.get((x, y), 0) + values
-        return found
+    def _above(self, bit: int) -> np.ndarray:
+        """Of each node of MET bytes the one above it, as two bytes and a decision (1 to 255)."""
+        node = self.node[MET, bit]
+        first = self.keys[MET][np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))] if len(node) else node
+        return (first >> 16) << 8 | 1 << bit | (first & 255) >> (8 - bit)
+
+    def roots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of two bytes: keys, and zeros, ones and ln P_w summed over the byte before them."""
+        keys = np.concatenate([self._above(bit) for bit in range(8)])
+        values = np.concatenate([np.stack([self.stats[MET, bit][k] for k in (0, 1, 3)]) for bit in range(8)], 1)
+        found, place = np.unique(keys, return_inverse=True)
+        return found, np.stack([np.bincount(place, weights=v, minlength=len(found)) for v in values])
 
     def log_probabilities(self, top: Top) -> np.ndarray:
         """ln probability of each code's byte in its context."""
@@ -185,46 +197,48 @@ class Subtrees:
         latest = self.keys[DEPTH] >> (8 * DEPTH)
         for bit in range(8):
             one = (next_byte >> (7 - bit)) & 1
-            p = None
             row = np.arange(len(self.keys[DEPTH]))
             layers = []
-            for d in range(DEPTH, 1, -1):
+            for d in range(DEPTH, MET - 1, -1):
                 a, b, pe, pw = self.stats[d, bit]
                 node = self.node[d, bit][row]
                 layers.append(((b[node] + 0.5) / (a[node] + b[node] + 1), np.exp(pe[node] - LN2 - pw[node])))
-                if d > 2:
+                if d > MET:
                     row = self.up[d][row]
+            above = np.searchsorted(top.keys2, self._above(bit))
+            layers.append((top.kt2[above][node], top.weight2[above][node]))
+            decision = 1 << bit | next_byte >> (8 - bit)
+            layers.append((top.kt1[latest, decision], top.weight1[latest, decision]))
+            layers.append((top.kt0[decision], top.weight0[decision]))
             p = layers[0][0]
             for kt, w in layers[1:]:
                 p = w * kt + (1 - w) * p
-            decision = 1 << bit | next_byte >> (8 - bit)
-            p = top.weight1[latest, decision] * top.kt1[latest, decision] + (1 - top.weight1[latest, decision]) * p
-            p = top.weight0[decision] * top.kt0[decision] + (1 - top.weight0[decision]) * p
             total += np.log(np.where(one == 1, p, 1 - p))
         return total
 
 
 class Top:
-    """Contexts of no byte and of one: at most 257 * 255 nodes, whatever the corpus."""
+    """Contexts of up to two bytes: at most 65,793 * 255 nodes whatever the corpus, of which texts have some hundred thousand."""
 
-    def __init__(self, rows: list[tuple[int, int, float, float, float]]):
-        sums = np.zeros((3, 256, 256))
-        for latest, decision, a, b, pw in rows:
-            sums[:, latest, decision] = a, b, pw
+    def __init__(self, keys: np.ndarray, sums: np.ndarray):
+        """keys: two bytes (latest first) and a decision, sorted; sums: zeros, ones and ln P_w below."""
+        self.keys2 = keys
         a, b, deeper = sums
         pe = block_probability(a, b)
         pw = weighted(pe, deeper)
+        self.kt2, self.weight2 = (b + 0.5) / (a + b + 1), np.exp(pe - LN2 - pw)
+        place = (keys >> 16) << 8 | keys & 255
+        a, b, deeper = (np.bincount(place, weights=v, minlength=1 << 16).reshape(256, 256) for v in (a, b, pw))
+        pe = block_probability(a, b)
+        pw = weighted(pe, deeper)
         self.kt1, self.weight1 = (b + 0.5) / (a + b + 1), np.exp(pe - LN2 - pw)
         a, b = a.sum(0), b.sum(0)
         pe = block_probability(a, b)
         self.kt0, self.weight0 = (b + 0.5) / (a + b + 1), np.exp(pe - LN2 - weighted(pe, pw.sum(0)))
 
 
-SCAN = "kind string, bucket int, block long, payload binary, doc_ids array<long>, learn array<boolean>"
-
-
 def _scan(docs: DataFrame, buckets: int) -> DataFrame:
-    def emit(block: int, texts: list[bytes], ids: list, learn: list[bool]) -> Iterator[pa.RecordBatch]:
+    def emit(block: int, texts: list[bytes], ids: list, learn: list[bool], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = [("text", 0, block, pack_texts(texts), ids, learn)]
         counts: Counter[bytes] = Counter()
         for text, y in zip(texts, learn, strict=True):
@@ -235,20 +249,15 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                 for w in text.translate(LOWER).split():
                     if w not in counts:
                         counts[w] = 0
-        for b, words in enumerate(dealt(counts, buckets)):
-            if words:
-                rows.append(("word", b, block, pack_words(words, [counts[w] for w in words]), None, None))
-        yield _batch(rows)
+        for b, words in dealt(counts, buckets).items():
+            rows.append(("word", b, block, pack_words(words, [counts[w] for w in words]), None, None))
+        yield _batch(rows, id_type)
         del counts
         codes, counted = block_codes(texts, learn)
-        bucket = _bucket_of(codes, buckets)
-        rows = []
-        for b in range(buckets):
-            own = bucket == b
-            if own.any():
-                rows.append(("code", b, block, pack_codes(codes[own], counted[own]), None, None))
+        order, ranges = _dealt_codes(codes, buckets)
+        rows = [("code", b, block, pack_codes(codes[order[at:end]], counted[order[at:end]]), None, None) for b, at, end in ranges]
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -256,12 +265,13 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
         ids: list = []
         learn: list[bool] = []
         size = 0
+        id_type = pa.int64()
         for batch in batches:
-            raw = batch.column("text").cast(pa.binary())
+            raw, id_type = batch.column("text").cast(pa.binary()), batch.schema.field("doc_id").type
             for k, (doc_id, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist(), strict=True)):
                 text = raw[k].as_py() or b""
                 if texts and size + len(text) > BLOCK_BYTES:
-                    yield from emit(block, texts, ids, learn)
+                    yield from emit(block, texts, ids, learn, id_type)
                     release()
                     block, size, texts, ids, learn = block + 1, 0, [], [], []
                 texts.append(text)
@@ -269,21 +279,21 @@ def _scan(docs: DataFrame, buckets: int) -> DataFrame:
                 learn.append(bool(y))
                 size += len(text)
         if texts:
-            yield from emit(block, texts, ids, learn)
+            yield from emit(block, texts, ids, learn, id_type)
 
-    return docs.mapInArrow(run, SCAN)
+    return docs.mapInArrow(run, f"kind string, bucket int, block long, payload binary, doc_ids array<{any_type(docs)}>, learn array<boolean>")
 
 
-def dealt(words, buckets: int) -> list[list[bytes]]:
+def dealt(words, buckets: int) -> dict[int, list[bytes]]:
     """Distinct words, sorted, by bucket."""
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    out: dict[int, list[bytes]] = {}
     for w in sorted(words):
-        out[zlib.crc32(w) % buckets].append(w)
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
     return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(id_type), pa.list_(pa.bool_())]
     names = ["kind", "bucket", "block", "payload", "doc_ids", "learn"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -321,7 +331,7 @@ def _count_words(table: pa.Table) -> pa.Table:
     )
 
 
-#: Subtrees are worked on together up to so many codes (one pair of latest bytes may have more).
+#: Subtrees are worked on together up to so many codes (the contexts below MET latest bytes may be more).
 TOGETHER = 300_000
 
 
@@ -329,14 +339,14 @@ def _subtrees(table: pa.Table) -> tuple[np.ndarray, Iterator[Subtrees], list[np.
     """A bucket's distinct codes, its subtrees some at a time, and each block's codes."""
     parts, counts = zip(*(unpack_codes(p.as_py()) for p in table.column("payload")), strict=True)
     codes, counted = add_up(list(parts), list(counts))
-    pair = codes >> 8 * (DEPTH - 1)
-    ends = np.append(np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(codes))
+    met = codes >> 8 * (DEPTH + 1 - MET)
+    ends = np.append(np.flatnonzero(met[1:] != met[:-1]) + 1, len(codes))
 
     def some() -> Iterator[Subtrees]:
         at = 0
         while at < len(codes):
-            fitting = ends[(ends > at) & (ends <= at + TOGETHER)]
-            end = int(fitting[-1]) if len(fitting) else int(ends[ends > at][0])
+            next_, last = np.searchsorted(ends, [at, at + TOGETHER], "right")
+            end = int(ends[max(next_, last - 1)])
             yield Subtrees(codes[at:end], counted[at:end])
             at = end
 
@@ -345,26 +355,22 @@ def _subtrees(table: pa.Table) -> tuple[np.ndarray, Iterator[Subtrees], list[np.
 
 def _roots(table: pa.Table) -> pa.Table:
     _, trees, _ = _subtrees(table)
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for tree in trees:
-        for key, values in tree.roots().items():
-            found[key] = found.get(key, 0) + values
-    rows = [(x, y, *map(float, v)) for (x, y), v in found.items()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["latest", "decision", "a", "b", "pw"])
+    parts = [tree.roots() for tree in trees]
+    keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)])
+    sums = np.concatenate([v for _, v in parts] or [np.zeros((3, 0))], 1)
+    return pa.table({"key": pa.array(keys, pa.int64()), "a": sums[0], "b": sums[1], "pw": sums[2]})
 
 
 def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     """Scores all whole texts, learning from those where `learn` is true.
 
-    Returns doc_id, learned, n_tokens, n_known, train_tokens (long), base_score and score (log10, double). Tokens are
+    Returns doc_id (of any type), learned, n_tokens, n_known, train_tokens (long), base_score and score (log10, double). Tokens are
     words with A-Z lower-cased and one end per text; base_score is the add-one unigram score of the tokens, score the log10
     probability of the text's bytes and end under the context tree. A null text is empty (its end alone is scored), a
     null `learn` false; repeated rows are scored, and learned from, each; an empty table gives an empty result. Without
     texts to learn from, every byte has probability 2**-8.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size, learned = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("learn").cast("long"))).first()
     buckets = max(12, (size or 0) // BUCKET_BYTES)
     scan = stage(_scan(rows, buckets), "blocks")
@@ -375,8 +381,9 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     n = ends + sum(int(s[0]) for s in sums)
     v = (ends > 0) + sum(int(s[1]) for s in sums)
     codes = asked.where("kind = 'code'")
-    roots = codes.groupBy("bucket").applyInArrow(_roots, "latest int, decision int, a double, b double, pw double")
-    top = Top([tuple(r) for r in roots.groupBy("latest", "decision").agg(F.sum("a"), F.sum("b"), F.sum("pw")).collect()])
+    roots = codes.groupBy("bucket").applyInArrow(_roots, "key long, a double, b double, pw double")
+    summed = roots.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("a", "b", "pw"))).toArrow().sort_by("key")
+    top = Top(summed.column("key").to_numpy(), np.stack([summed.column(c).to_numpy() for c in ("a", "b", "pw")]))
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -388,10 +395,10 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     answered = codes.groupBy("bucket").applyInArrow(answer, ANSWER)
     all_ = (
         scan.where("kind = 'text'")
-        .unionAll(words.where("block >= 0").unionAll(answered).select("*", F.lit(None).cast("array<long>"), F.lit(None).cast("array<boolean>")))
+        .unionAll(words.where("block >= 0").unionAll(answered).select("*", F.lit(None).cast(f"array<{any_type(docs)}>"), F.lit(None).cast("array<boolean>")))
     )
     return all_.groupBy("block").applyInArrow(
-        _scorer(buckets, n, v, ends), "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _scorer(buckets, n, v, ends), f"doc_id {any_type(docs)}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
@@ -406,9 +413,8 @@ def _scorer(buckets: int, n: int, v: int, ends: int):
         distinct: set[bytes] = set()
         for t in texts:
             distinct.update(t.translate(LOWER).split())
-        for b, words in enumerate(dealt(distinct, buckets)):
-            if words:
-                counts.update(zip(words, np.frombuffer(answers.pop(("word", b)), np.int64).tolist(), strict=True))
+        for b, words in dealt(distinct, buckets).items():
+            counts.update(zip(words, np.frombuffer(answers.pop(("word", b)), np.int64).tolist(), strict=True))
         del distinct
         get, all_tokens = counts.__getitem__, float(np.log10(n + v + 1))
         tokens, known, base = [], [], []
@@ -419,18 +425,17 @@ def _scorer(buckets: int, n: int, v: int, ends: int):
             base.append(float(np.log10(own + 1.0).sum() - len(own) * all_tokens))
         del counts
         codes, _ = block_codes(texts, [True] * len(texts))
-        by = _bucket_of(codes, buckets)
+        order, ranges = _dealt_codes(codes, buckets)
         p = np.zeros(len(codes))
-        for b in range(buckets):
-            if ("code", b) in answers:
-                p[by == b] = np.frombuffer(answers.pop(("code", b)), np.float32)
+        for b, at, end in ranges:
+            p[order[at:end]] = np.frombuffer(answers.pop(("code", b)), np.float32)
         places = Lookup(codes)
         score = np.concatenate([_sums(some, places, p) for some in _slices(texts)]) / np.log(10.0)
-        del places, codes, by, p, answers
+        del places, codes, order, p, answers
         release()
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()),
+                "doc_id": pa.array(ids, table.schema.field("doc_ids").type.value_type),
                 "learned": pa.array(learn, pa.bool_()),
                 "n_tokens": pa.array(tokens, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
