@@ -18,8 +18,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gridloom.llm.common import ALNUM
+from gridloom.llm.common import ALNUM, stage
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ class Band:
 #: Distinct terms of so many bytes of text meet in one bucket; documents of so many in one range of doc_ids.
 BUCKET_BYTES = 48 << 20
 RANGE_BYTES = 16 << 20
+#: Ranges are cut in two steps, of so many each.
+FINE = 1024
 
 
 def terms(text: bytes) -> set[bytes]:
@@ -82,12 +85,10 @@ def document_frequencies(docs: DataFrame, total_bytes: int, least: int, most: fl
             df: Counter[bytes] = Counter()
             for text in batch.column("text").cast(pa.binary()):
                 df.update(terms(text.as_py() or b""))
-            lists: list[list[bytes]] = [[] for _ in range(buckets)]
+            lists: dict[int, list[bytes]] = {}
             for t in sorted(df):
-                lists[zlib.crc32(t) % buckets].append(t)
-            rows = [
-                (k, zstandard.compress(np.array([len(x), *(df[t] for t in x)], np.int64).tobytes() + b" ".join(x), 3)) for k, x in enumerate(lists) if x
-            ]
+                lists.setdefault(zlib.crc32(t) % buckets, []).append(t)
+            rows = [(k, zstandard.compress(np.array([len(x), *(df[t] for t in x)], np.int64).tobytes() + b" ".join(x), 3)) for k, x in lists.items()]
             if rows:
                 k, packed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
@@ -114,13 +115,51 @@ def lexicon_of(docs: DataFrame, band: Band = Band()) -> dict[bytes, tuple[int, .
     return {(t := bytes(r.term)): subsets_of(t, band) for r in found}
 
 
+def _ranges(rows: DataFrame, many: int) -> list[int]:
+    """Greatest doc_ids of about `many` ranges of like size, sorted: first of up to FINE ranges, then within each. The cuts
+    within one range are made where its ids are; the driver gets 8 bytes for RANGE_BYTES of text."""
+    def cuts(n: int):
+        return F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)
+
+    ids = rows.select("doc_id").where("doc_id is not null")
+    coarse = min(many, FINE)
+    if coarse < 2:
+        return []
+    found = ids.agg(cuts(coarse)).first()[0] or []
+    fine = -(-many // coarse)
+    if fine > 1:
+        edges = np.array(sorted(set(found)), np.int64)
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.searchsorted(edges, batch.column("doc_id").to_numpy(), "left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at)], names=["doc_id", "range"])
+
+        within = ids.mapInArrow(number, "doc_id long, range int").groupBy("range").agg(cuts(fine).alias("cuts"))
+        found = [*found, *(c for r in within.collect() for c in r["cuts"])]  # up to FINE rows
+    return sorted(set(found))
+
+
+def _following(heads: DataFrame) -> DataFrame:
+    """From (range, head): each range's head with the range before it (to), the last for the first. Ranges are looked at by
+    blocks of FINE, and blocks by one row each, so no task orders all of them."""
+    block = F.floor(F.col("range") / FINE)
+    blocks = heads.groupBy(block.alias("block")).agg(F.max("range").alias("last"))
+    whole = blocks.agg(F.max("last").alias("end"))
+    blocks = blocks.select("block", F.lag("last").over(Window.orderBy("block")).alias("earlier"))
+    near = F.lag("range").over(Window.partitionBy("block").orderBy("range"))
+    found = heads.withColumn("block", block).withColumn("near", near).join(blocks, "block").join(F.broadcast(whole))  # one row
+    return found.select(F.coalesce("near", "earlier", "end").alias("to"), "head")
+
+
 def fingerprints(docs: DataFrame, band: Band = Band()) -> DataFrame:
     """Per row: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document's, in descending order of doc_id (null last, then the text's hash); the first follows the last. A null text
     is empty. Equal texts have equal fingerprints. Likeness is the share of equal subset hashes. A single document follows
-    itself; of equal rows each has the other, or the following document, as next. An empty table gives an empty result.
+    itself; of equal rows each has the other, or the following document, as next. An empty table gives an empty result. A
+    doc_id is an integer (text of one is read as it; any other raises).
 
     Documents move once, compressed, to ranges of doc_id; each range also gets the first document of the one after it.
     """
@@ -130,12 +169,9 @@ def fingerprints(docs: DataFrame, band: Band = Band()) -> DataFrame:
     out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not n:
         return spark.createDataFrame([], out)
-    ranges = max(1, (size or 0) // RANGE_BYTES)
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-    bounds = sorted(set(cuts or []))
     lexicon = spark.sparkContext.broadcast(lexicon_of(docs, band))
     # Range 0 has the greatest doc_ids; the last has the least, and null.
-    edges = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+    edges = spark.sparkContext.broadcast(np.array(_ranges(rows, max(1, (size or 0) // RANGE_BYTES)), np.int64))
 
     def number(ids: list[int | None]) -> list[int]:
         at = np.searchsorted(edges.value, np.array([i if i is not None else -(2**63) for i in ids], np.int64), "left")
@@ -146,26 +182,24 @@ def fingerprints(docs: DataFrame, band: Band = Band()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(number(batch.column("doc_id").to_pylist()), pa.int32())], names=["doc_id", "hash", "range"])
 
     first = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "hash"))
-    heads = rows.select("doc_id", "hash").mapInArrow(range_only, "doc_id long, hash long, range int").groupBy("range").agg(first.alias("head")).orderBy("range").collect()  # one row a range
-    before = {(r["head"]["doc_id"], r["head"]["hash"]): heads[k - 1]["range"] for k, r in enumerate(heads)}
-    carried = spark.sparkContext.broadcast(before)
+    heads = rows.select("doc_id", "hash").mapInArrow(range_only, "doc_id long, hash long, range int").groupBy("range").agg(first.alias("head"))
+    heads = stage(_following(heads).select("to", F.struct("head.doc_id").alias("id"), F.col("head.hash").alias("hash")), "heads")
+    # A struct of a null is not null. Where the heads are few, Spark broadcasts them.
+    carried = rows.withColumn("id", F.struct("doc_id")).join(heads, ["id", "hash"]).select("doc_id", "hash", "text", "to")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            columns: list[list] = [[], [], [], [], []]
-            for doc_id, h, text, own in zip(ids, hashes, texts, number(ids), strict=True):
-                packed = pack(text.as_py() or b"")
-                places = [(own, False)]
-                if (to := carried.value.get((doc_id, h))) is not None:
-                    places.append((to, True))
-                for place, head in places:
-                    for c, v in zip(columns, (place, head, doc_id, h, packed), strict=True):
-                        c.append(v)
-            types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["range", "head", "doc_id", "hash", "packed"])
+            given = batch.column("to").to_pylist()
+            own = number(batch.column("doc_id").to_pylist())
+            columns = [
+                pa.array([k if t is None else t for k, t in zip(own, given, strict=True)], pa.int32()),
+                pa.array([t is not None for t in given]),
+                batch.column("doc_id"),
+                batch.column("hash"),
+                pa.array([pack(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "head", "doc_id", "hash", "packed"])
 
     def mark(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -190,4 +224,5 @@ def fingerprints(docs: DataFrame, band: Band = Band()) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*result, strict=True), types, strict=True)], names=names)
 
-    return rows.mapInArrow(deal, "range int, head boolean, doc_id long, hash long, packed binary").groupBy("range").applyInArrow(mark, out)
+    both = rows.select("doc_id", "hash", "text", F.lit(None).cast("int").alias("to")).unionAll(carried)
+    return both.mapInArrow(deal, "range int, head boolean, doc_id long, hash long, packed binary").groupBy("range").applyInArrow(mark, out)
