@@ -15,9 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import discard, stage
+
 WIDTH, WINDOW, STEP, BANDS = 3, 12, 4, 32
-#: So many bytes of templates at most are joined by broadcast: license texts are a library of the user's, not of the corpus.
-MAX_TEMPLATE_BYTES = 4 << 20
+#: So many bytes of templates, about, are part of a query's plan; a larger library is looked for in parts, one pass each.
+PART_BYTES = 256 << 10
 
 #: Names and wordings of common license notices.
 TEMPLATES = (
@@ -58,35 +60,58 @@ def least_hashes(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """license, words and distinct shingles of each template; raises ValueError beyond MAX_TEMPLATE_BYTES. Templates of
-    fewer than WIDTH words have no shingles and are left out."""
-    if sum(len(t.encode()) for _, t in templates) > MAX_TEMPLATE_BYTES:
-        raise ValueError(f"templates may have {MAX_TEMPLATE_BYTES} bytes")
+    """license, words and distinct shingles of each template. Templates of fewer than WIDTH words have no shingles and are
+    left out."""
     table = spark.createDataFrame(list(templates), "license string, text string").withColumn("words", words_of(F.col("text")))
     table = table.withColumn("shingles", F.array_distinct(shingles_of(F.col("words"), F.lit(0), F.size("words"))))
     return table.where(F.size("shingles") > 0).select("license", "words", "shingles")
 
 
+def parts_of(templates) -> list[list[tuple[str, str]]]:
+    parts, size = [[]], 0
+    for t in templates:
+        if parts[-1] and size + len(t[1].encode()) > PART_BYTES:
+            parts.append([])
+            size = 0
+        parts[-1].append(t)
+        size += len(t[1].encode())
+    return parts
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     """docs with `licenses`, the sorted names of the templates that the text contains.
 
     A template counts as contained if at least `percent` of its distinct shingles are in the windows that retrieve it. A
-    null or empty text has none, as has any text of fewer than three words; very long texts are scanned whole. Repeated
-    rows get equal results, an empty table an empty one. A column named licenses is replaced; all others stay. Nothing is
-    shuffled: windows, retrieval and verification happen within a row, against the broadcast templates.
+    null or empty text has none, as has any text of fewer than three words, and a template of fewer is never found; very
+    long texts are scanned whole; templates may share a name. Repeated rows get equal results, an empty table an empty one. A
+    column named licenses is replaced; all others stay. Nothing is shuffled: windows, retrieval and verification happen within
+    a row, against templates that are part of the plan. A library of more than PART_BYTES is searched for part by part; each
+    pass but the last is written to the shared folder.
     """
+    found = docs.drop("licenses").withColumn("licenses", F.array().cast("array<string>"))
+    parts = parts_of(templates)
+    for k, part in enumerate(parts):
+        last = found
+        found = _scan_part(found, part, percent)
+        if k < len(parts) - 1:
+            found = stage(found, "licenses")
+            if k:
+                discard(last)
+    return found
+
+
+def _scan_part(docs: DataFrame, templates, percent: int) -> DataFrame:
+    """docs with the names of these templates added to `licenses`."""
     spark = docs.sparkSession
-    found = template_table(spark, templates).persist()
-    rows = found.collect()  # the templates alone
-    found.unpersist()
+    numbered = [(str(k), t) for k, (_, t) in enumerate(templates)]
+    rows = template_table(spark, numbered).collect()  # the templates alone
     known = [s for r in rows for s in r["shingles"]]
-    kept = docs.drop("licenses")
-    none = F.array().cast("array<string>")
     if not known:
-        return kept.withColumn("licenses", none)
+        return docs
     index = _band_index(spark, rows)
     names_of = F.expr(f"map({', '.join(f'{k}L, array({_quoted(v)})' for k, v in index.items())})")
     shingle_sets = F.expr(f"map({', '.join(_quoted([r['license']]) + f', array({_quoted(r['shingles'])})' for r in rows)})")
+    titles = F.expr(f"map({', '.join(_quoted([k, name]) for (k, _), (name, _) in zip(numbered, templates, strict=True))})")
     hashes, keys = _shingle_hashes(spark, known), list(index)
 
     def windows(words: Column) -> Column:
@@ -118,10 +143,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
             template = F.element_at(shingle_sets, name)
             return 100 * F.size(F.array_intersect(template, shingles)) >= percent * F.size(template)
 
-        return F.array_sort(F.filter(names, enough))
+        return F.transform(F.filter(names, enough), lambda k: F.element_at(titles, k))
 
     matched = let(words_of(F.col("text").cast("string")), lambda words: let(retrieved(words), contained))
-    return kept.withColumn("licenses", F.coalesce(matched, none))
+    return docs.withColumn("licenses", F.array_sort(F.array_union("licenses", F.coalesce(matched, F.array().cast("array<string>")))))
 
 
 def _quoted(texts: list[str]) -> str:

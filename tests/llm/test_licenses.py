@@ -1,6 +1,7 @@
 import random
 import re
 
+from gridloom.llm import licenses
 from gridloom.llm.licenses import STEP, TEMPLATES, WIDTH, WINDOW, scan
 from tests.conftest import SF
 
@@ -30,6 +31,15 @@ def test_real_table(spark):
     assert found(scan(docs)) == expected and any(x for _, x in expected)
 
 
+def test_parts_and_templates_of_one_name(spark, monkeypatch):
+    templates = [*TEMPLATES, ("MIT", dict(TEMPLATES)["MIT-grant"])]
+    docs = spark.createDataFrame([(k, f"so {t} it is", "x") for k, (_, t) in enumerate(templates)], "doc_id long, text string, licenses string")
+    whole = found(scan(docs, templates))
+    assert [x for k, x in whole if k in (8, 9)] == [["MIT"], ["MIT", "MIT-grant"]]
+    monkeypatch.setattr(licenses, "PART_BYTES", 300)
+    assert len(licenses.parts_of(templates)) > 3 and found(scan(docs, templates)) == whole
+
+
 def test_planted_notices(spark):
     rng = random.Random(3)
     rows = []
