@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from gridloom.llm.common import ALNUM
+from gridloom.llm.common import ALNUM, any_type, discard, stage
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: A benchmark is a fixed evaluation suite; beyond so many bytes it isn't sent to the executors.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: So many bytes of benchmark, about, are looked for at a time; a larger one is dealt into parts, one pass over the documents each.
+PART_BYTES = 4 << 20
 SAMPLE = 8
+SPANS, ITEMS = "gridloom_spans", "gridloom_items"
 
 
 class WaveletMatrix:
@@ -114,43 +116,43 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """The benchmark's windows: word numbers by window length, and the items of each window."""
+    """The benchmark's windows: word numbers by window length, and of each window the items, as the ends of its run in one
+    array of item numbers."""
 
     words: dict[bytes, int]
     patterns: dict[int, np.ndarray]
-    items: dict[int, list[list[int]]]
+    items: dict[int, tuple[np.ndarray, np.ndarray]]
     names: list[str]
     shortest: int
 
 
-def windows_of(benchmark: DataFrame, width: int = 10) -> Windows:
-    """All windows of `width` consecutive words of each item; an item of fewer words, but not none, is one window.
-
-    Raises ValueError if the benchmark is larger than MAX_BENCHMARK_BYTES. Items of one id count as one; a null id
-    counts as the empty id.
-    """
-    small = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = small.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; {MAX_BENCHMARK_BYTES} are allowed")
+def windows_of(rows: Iterable[tuple[str | None, str | None]], width: int = 10) -> Windows:
+    """All windows of `width` consecutive words of each (item, text); an item of fewer words, but not none, is one window.
+    Items of one id count as one; a null id counts as the empty id."""
     words: dict[bytes, int] = {}
     names: dict[str, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
-    for row in small.toLocalIterator():
-        ids = [words.setdefault(w, len(words) + 1) for w in (row["text"] or "").encode().translate(ALNUM).split()]
-        item = names.setdefault(row["item_id"] or "", len(names))
-        for k in range(max(1, len(ids) - width + 1) if ids else 0):
-            found.setdefault(tuple(ids[k : k + width]), set()).add(item)
-    patterns: dict[int, list[tuple[int, ...]]] = {}
-    for window in found:
-        patterns.setdefault(len(window), []).append(window)
-    return Windows(
-        words,
-        {n: np.array(p, np.int64) for n, p in patterns.items()},
-        {n: [sorted(found[x]) for x in p] for n, p in patterns.items()},
-        list(names),
-        min(patterns, default=0),
-    )
+    found: dict[int, list[np.ndarray]] = {}  # the item's number stands after its words
+    for item_id, text in rows:
+        ids = np.array([words.setdefault(w, len(words) + 1) for w in (text or "").encode().translate(ALNUM).split()], np.int32)
+        item = names.setdefault(item_id or "", len(names))
+        if n := min(width, len(ids)):
+            windows = np.lib.stride_tricks.sliding_window_view(ids, n)
+            found.setdefault(n, []).append(np.concatenate([windows, np.full((len(windows), 1), item, np.int32)], 1))
+    patterns, items = {}, {}
+    for n, parts in found.items():
+        every = np.unique(np.concatenate(parts), axis=0)
+        first = np.flatnonzero(np.concatenate([[True], (every[1:, :-1] != every[:-1, :-1]).any(1)]))
+        patterns[n], items[n] = every[first, :-1].astype(np.int64), (np.append(first, len(every)), every[:, -1])
+    return Windows(words, patterns, items, list(names), min(patterns, default=0))
+
+
+def parts_of(benchmark: DataFrame, width: int) -> Iterator[tuple[bool, Windows]]:
+    """The benchmark's windows in parts of about PART_BYTES, and whether a part is the last."""
+    small = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    many = max(1, -(-int(small.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    for k in range(many):
+        part = small if many == 1 else small.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k)
+        yield k == many - 1, windows_of((tuple(r) for r in part.toLocalIterator()), width)
 
 
 def occurrences(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -196,44 +198,71 @@ def occurrences(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, np.nd
         np.add.at(cover, places, 1)
         np.add.at(cover, places + n, -1)
         where = np.searchsorted(first, places, "right") - 1
+        ends, numbers = windows.items[n]
         for doc, window in set(zip(where.tolist(), which.tolist(), strict=True)):
-            items.setdefault(doc, set()).update(windows.items[n][window])
+            items.setdefault(doc, set()).update(numbers[ends[window] : ends[window + 1]].tolist())
     hit = np.cumsum(cover[:-1]) > 0
     return first, hit, items
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        yield batch, [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+Finish = Callable[[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray, dict[int, set[str]]], pa.RecordBatch]
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, width: int, finish: Finish, schema: StructType | str) -> DataFrame:
+    """docs, searched for each part of the benchmark; finish() makes the result of a batch, its texts, the place of each
+    one's first word, which words are hit, and the items by text. Between parts, what is found so far is written beside the rows."""
+    names = docs.columns
+    marked = StructType(docs.schema.fields[:]).add(SPANS, ArrayType(LongType())).add(ITEMS, ArrayType(StringType()))
+    before = None
+    for last, windows in parts_of(benchmark, width):
+        shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last, again=before is not None) -> Iterator[pa.RecordBatch]:
+            windows = shared.value
+            for batch in batches:
+                texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                first, hit, numbers = occurrences(texts, windows)
+                items = {k: {windows.names[i] for i in found} for k, found in numbers.items()}
+                if again:
+                    for k, (spans, known) in enumerate(zip(batch.column(SPANS).to_pylist(), batch.column(ITEMS).to_pylist(), strict=True)):
+                        for begin, end in zip(spans[::2], spans[1::2], strict=True):
+                            hit[first[k] + begin : first[k] + end] = True
+                        if known:
+                            items.setdefault(k, set()).update(known)
+                own = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names)
+                if last:
+                    yield finish(own, texts, first, hit, items)
+                else:
+                    edges = [np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))) for a, b in zip(first[:-1], first[1:], strict=True)]
+                    more = [pa.array(edges, pa.list_(pa.int64())), pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*names, SPANS, ITEMS])
+
+        if last:
+            return docs.mapInArrow(scan, schema)
+        docs = stage(docs.mapInArrow(scan, marked), "marked")
+        if before is not None:
+            discard(before)
+        before = docs
+    raise AssertionError("no part is the last")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window) and items (the sorted ids found).
+    """Per document: doc_id (of any type), n_words, n_hit (words inside any occurrence of a window) and items (the sorted
+    ids found).
 
     Words are lower-cased runs of letters, digits and non-ASCII characters. A null or empty text has no words; repeated
-    rows give repeated results; an empty benchmark hits nothing. Nothing is shuffled.
+    rows give repeated results; an empty benchmark hits nothing. Nothing is shuffled; a benchmark of more than PART_BYTES
+    is searched for part by part, each pass written to the shared folder.
     """
-    windows = windows_of(benchmark, width)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        for batch, texts in _shards(batches):
-            first, hit, items = occurrences(texts, windows)
-            hits = np.concatenate([[0], np.cumsum(hit)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(hits[first[1:]] - hits[first[:-1]], pa.int64()),
-                    pa.array([sorted(windows.names[i] for i in items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "n_words", "n_hit", "items"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        scan, "doc_id long, n_words long, n_hit long, items array<string>"
-    )
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], first: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        found = pa.array([sorted(items.get(k, ())) for k in range(len(texts))], pa.list_(pa.string()))
+        counts = [pa.array(np.diff(first), pa.int64()), pa.array(hits[first[1:]] - hits[first[:-1]], pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, found], names=["doc_id", "n_words", "n_hit", "items"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _searched(rows, benchmark, width, finish, f"doc_id {any_type(rows)}, n_words long, n_hit long, items array<string>")
 
 
 def removal_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -255,35 +284,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     Each maximal run of hit words goes, from its first word to its last. A document without hits, null texts included,
     stays as it is; no row goes.
     """
-    windows = windows_of(benchmark, width)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = docs.schema
-    names = [f.name for f in schema.fields]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        for batch, texts in _shards(batches):
-            first, hit, items = occurrences(texts, windows)
-            if not items:
-                yield batch
-                continue
-            new = batch.column("text").to_pylist()
-            chars = batch.column("n_chars").to_pylist() if "n_chars" in names else None
-            for k in items:
-                parts, at = [], 0
-                for begin, end in removal_spans(texts[k], hit[first[k] : first[k + 1]]):
-                    parts.append(texts[k][at:begin])
-                    at = end
-                new[k] = b"".join([*parts, texts[k][at:]]).decode()
-                if chars is not None:
-                    chars[k] = len(new[k])
-            columns = {n: batch.column(n) for n in names}
-            columns["text"] = pa.array(new, batch.schema.field("text").type)
+    names = docs.columns
+
+    def cut(batch: pa.RecordBatch, texts: list[bytes], first: np.ndarray, hit: np.ndarray, items: dict[int, set[str]]) -> pa.RecordBatch:
+        if not items:
+            return batch
+        new = batch.column("text").to_pylist()
+        chars = batch.column("n_chars").to_pylist() if "n_chars" in names else None
+        for k in items:
+            parts, at = [], 0
+            for begin, end in removal_spans(texts[k], hit[first[k] : first[k + 1]]):
+                parts.append(texts[k][at:begin])
+                at = end
+            new[k] = b"".join([*parts, texts[k][at:]]).decode()
             if chars is not None:
-                columns["n_chars"] = pa.array(chars, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return docs.mapInArrow(cut, schema)
+                chars[k] = len(new[k])
+        columns = {n: batch.column(n) for n in names}
+        columns["text"] = pa.array(new, batch.schema.field("text").type)
+        if chars is not None:
+            columns["n_chars"] = pa.array(chars, batch.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return _searched(docs, benchmark, width, cut, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

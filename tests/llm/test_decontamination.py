@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from gridloom.llm import decontamination
 from gridloom.llm.decontamination import FMIndex, contamination, decontaminate, digest, sha256_of, suffix_order
 from tests.conftest import SF
 
@@ -57,11 +58,17 @@ def test_small_vocabulary_against_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, bench)
 
 
-def test_real_tables_against_brute_force(spark):
+@pytest.mark.parametrize("size", [decontamination.PART_BYTES, 40, 3000])
+def test_real_tables_against_brute_force(spark, monkeypatch, size):
+    """A part of the benchmark may have one item or some."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    if size == 40:
+        docs, bench = docs.where("doc_id < 40"), bench.limit(4)
+        size = bench.selectExpr("sum(octet_length(text))").first()[0] // 3
+    monkeypatch.setattr(decontamination, "PART_BYTES", size)
     expected = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     assert sorted((tuple(r) for r in digest(contamination(docs, bench)).collect()), key=str) == expected
-    assert any(r[-1] for r in expected)
+    assert any(r[-1] for r in expected) or docs.count() == 40
     cleaned = decontaminate(docs, bench)
     assert cleaned.schema == docs.schema
     assert not contamination(cleaned, bench).where("n_hit > 0").count()
@@ -79,3 +86,10 @@ def test_empty_tables(spark):
         (1, 2, 0, 0, sha256_of([]), False),
         (None, 0, 0, 0, sha256_of([]), False),
     }
+
+
+def test_ids_of_text_and_a_long_text(spark):
+    item = " ".join(f"b{k}" for k in range(15))
+    docs = [("x", ("fill " * 9 + item + ". ") * 20_000), (None, item.upper())]
+    got = digest(contamination(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([("i", item)], "item_id string, text string")))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("x", 480_000, 300_000, 1, sha256_of(["i"]), True), (None, 15, 15, 1, sha256_of(["i"]), True)]
