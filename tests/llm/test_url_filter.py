@@ -36,7 +36,8 @@ def classed(path, depth):
             return "<x>"
         return x
 
-    return tuple(kind(x) for x in parts[:depth]) + (("**",) if len(parts) > depth else ())
+    found = [kind(x) for x in parts]
+    return tuple(found) if len(found) <= depth else (*found[: depth - 1], "/".join(found[depth - 1 :]))
 
 
 def brute(rows, s=Settings()):
@@ -49,12 +50,12 @@ def brute(rows, s=Settings()):
         c[1] += action == "allow"
         c[2] += action == "block"
     template = {k: () for k in counts}
-    for level in range(s.depth):
+    for level in range(max((len(k[1]) for k in counts), default=0)):
         forms, sums = defaultdict(Counter), defaultdict(lambda: [0, 0, 0])
         for (h, segs), c in counts.items():
             if len(segs) > level:
                 child = (h, template[h, segs], segs[level])
-                forms[child]["/".join(x if x[0] == "<" or x == "**" else "w" for x in segs[level + 1 : s.depth + 2 + level])] += c[0]
+                forms[child]["/".join(x if x[0] == "<" else "w" for x in segs[level + 1 :])] += c[0]
                 for k in range(3):
                     sums[child][k] += c[k]
         form = {c: max((n, f) for f, n in x.items())[1] for c, x in forms.items()}
@@ -62,14 +63,17 @@ def brute(rows, s=Settings()):
         for child, (n, good, bad) in sums.items():
             siblings = [c for c in sums if c[:2] == child[:2]]
             peers = [c for c in siblings if form[c] == form[child]]
-            g, b = sum(sums[c][1] for c in peers), sum(sums[c][2] for c in peers)
-            pooled, labels = b / max(g + b, 1), good + bad
-            error = sqrt(max(pooled * (1 - pooled), 0.05) / max(labels, 1))
-            similar = labels == 0 or abs(bad / max(labels, 1) - pooled) < s.z * error
-            rare = len(siblings) > s.fan_out and n < s.share * sum(sums[c][0] for c in siblings)
-            steps[child] = "*" if rare or (len(peers) > 1 and similar) else child[2]
+            labels = good + bad
+
+            def similar(among):
+                g, b = sum(sums[c][1] for c in among), sum(sums[c][2] for c in among)
+                pooled = b / max(g + b, 1)
+                return labels == 0 or abs(bad / max(labels, 1) - pooled) < s.z * sqrt(max(pooled * (1 - pooled), 0.05) / max(labels, 1))
+
+            total = sum(sums[c][0] for c in siblings)
+            rare = [c for c in siblings if len(siblings) > s.fan_out and sums[c][0] < s.share * total]
+            steps[child] = "*" if (child in rare and similar(rare)) or (len(peers) > 1 and similar(peers)) else child[2]
         template = {k: t + ((steps[k[0], t, k[1][level]],) if len(k[1]) > level else ()) for k, t in template.items()}
-    template = {k: t + (("**",) if len(k[1]) > s.depth else ()) for k, t in template.items()}
     keys = {k: [("site", ".".join(k[0].split(".")[-2:])), ("host", k[0])] + [(n, k[0], template[k][:n]) for n in range(1, len(template[k]) + 1)] for k in counts}
     good, bad = Counter(), Counter()
     for k, c in counts.items():
@@ -79,7 +83,7 @@ def brute(rows, s=Settings()):
     g, b = (sum(c[k] for c in counts.values()) for k in (1, 2))
     out = []
     for i, h, p, rule, action, segs in labelled:
-        share = (b + 1) / (g + b + 2)
+        share = (b + 1) / (g + b + 2) if g + b else 0.0
         for x in keys[h, segs]:
             share = (bad[x] + s.strength * share) / (good[x] + bad[x] + s.strength)
         out.append((i, h, p, rule, action or ("block" if share >= s.reject_from else "allow"), "/" + "/".join(template[h, segs]), round(share, 9)))
@@ -109,5 +113,23 @@ def test_many_shapes(spark):
     assert by[200].rule == "example.org/es/" and by[201].rule == "example.org/en/1" or by[201].rule == "org/"
 
 
+def test_deep_paths_and_rare_children(spark):
+    """Sections at the sixth level have templates; a rare child that is blocked stays apart from those that are allowed;
+    segments from the last level on are one."""
+    rows = [(k, f"http://com/fr/a/b/c/{'bad' if k % 2 else 'good'}/{k}/x") for k in range(40)]
+    rows += [(100 + k, f"http://s{k % 2}.com/{'de' if k < 20 else 'fr'}/k{k}/p") for k in range(200)]
+    rows += [(400, "http://deep.net/" + "/".join("abcdefg")), (401, "http://deep.net/" + "/".join("abcdefh"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for settings in (Settings(), Settings(depth=3)):
+        same(filter_urls(pages, settings=settings).collect(), brute(rows, settings))
+    by = {r.page_id: r.template for r in filter_urls(pages).collect()}
+    assert by[0] == "/fr/a/b/c/*/<n>/x" and by[400].count("/") == 7
+
+
+def test_without_labels_all_is_allowed(spark):
+    rows = [(1, "http://a.net/x"), (2, "http://b.net/"), (3, None)]
+    assert {r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()} == {"allow"}
+
+
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, host int")).count() == 0
