@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each works on all that the one before it kept.
 
 1. toxicity: documents that the classifier rejects go.
-2. line dedup: repeated multi-line chunks go from the texts.
+2. line dedup: repeated passages go from the texts; a text that mostly repeats others is a copy, left to the next stage.
 3. near duplicates: one document of each group stays (five-word shingles, similarity 0.8).
 4. decontamination: benchmark passages are cut from the texts.
 5. packing: the documents become sequences of at most 4096 tokens.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stage, table
+from gridloom.llm.common import discard, stage, table
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.near_dup import keep_one
@@ -23,6 +23,8 @@ from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.toxicity import fit, score
 
 REJECTED_FROM = 0.7
+#: A text of whose words so large a share repeats is a copy.
+COPIES_FROM = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs)
+    return dedup_lines(docs, copies_from=COPIES_FROM)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents, each one's result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
