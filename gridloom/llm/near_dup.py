@@ -204,9 +204,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
 
 
-def _may_link(na: Column, nb: Column, at_a: Column, at_b: Column, percent: int) -> Column:
-    """Whether sizes and places of a first common token leave room for a large enough intersection."""
-    room = F.least(na - at_a, nb - at_b)
+def _may_link(na: Column, nb: Column, at_a: Column, at_b: Column, percent: int, ma: Column | None = None, mb: Column | None = None, k: int = 1) -> Column:
+    """Whether sizes and places of the first k consecutive common tokens leave room for a large enough intersection. Of
+    their m shared tokens (or all) the sets may have common ones before, but no k consecutive ones: at most r with
+    r <= (k - 1) (d + 1), d being those before that aren't common, and 2 r + d = at_a + at_b."""
+    room = F.least((na if ma is None else ma) - at_a, (nb if mb is None else mb) - at_b)
+    if k > 1:
+        room = room + F.least(at_a, at_b, F.floor((k - 1) * (at_a + at_b + 1) / (2 * k - 1)))
     return (room * (100 + percent) >= percent * (na + nb)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
@@ -236,9 +240,9 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(ordered: DataFrame) -> DataFrame:
-    """The prefixes, one token longer than needed: sid, n, least, central, at (place in the order), token."""
+    """The prefixes, one token longer than needed: sid, n, m, least, central, at (place in the order), token."""
     cut = ordered.select("sid", "n", "m", "least", "central", F.posexplode(F.slice("tokens", F.lit(1), F.col("m") - F.col("least") + 2)).alias("k", "token"))
-    return cut.select("sid", "n", "least", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), "token")
+    return cut.select("sid", "n", "m", "least", "central", (F.col("n") - F.col("m") + F.col("k")).alias("at"), "token")
 
 
 def _classed(prefix: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -266,23 +270,24 @@ def _met(classed: DataFrame, percent: int, first: bool) -> DataFrame:
     return met.groupBy("sid").agg(best.alias("hubs")).select(F.col("sid").alias("a"), F.explode("hubs.sid").alias("b"))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """From (sid, n, class, last, pos, key, at): the keys of more than one class, with their number of classes (classes), their
+def _keyed(rows: DataFrame, k: int) -> DataFrame:
+    """From (sid, n, m, class, last, at, key), with at the place among the m shared tokens: the keys of more than one class, with their number of classes (classes), their
     largest class (major), whether any set can't be extended beyond the key (ends), and rare keys that the set has too (before).
 
     Two sets need to meet at one key alone. A rare key that they share before a rare one, or at all besides a frequent one,
-    tells that it isn't this; such keys add no candidate if BEFORE keys suffice to tell."""
+    tells that it isn't this; such keys add no candidate if BEFORE keys suffice to tell. The longest count as rare."""
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("size"), F.max("last").alias("ends"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("size", "class")).alias("major"), F.max("ends").alias("ends")).where("classes > 1")
     open_ = rows.join(mixed.select("key", "classes", F.col("major.class").alias("major"), "ends"), "key")
-    own = open_.groupBy("sid", "n", "class", "last").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "at", "classes", "major", "ends"))).alias("o"))
-    own = own.withColumn("r", F.filter("o", lambda x: x["classes"] <= RARE)).withColumn("f", F.filter("o", lambda x: x["classes"] > RARE))
-    keys = F.transform("r", lambda x: x["key"])
+    own = open_.groupBy("sid", "n", "m", "class", "last").agg(F.array_sort(F.collect_list(F.struct("at", "key", "classes", "major", "ends"))).alias("o"))
+    rare_key = lambda x: F.lit(True) if k == LONGEST else x["classes"] <= RARE
+    own = own.withColumn("r", F.filter("o", rare_key)).withColumn("f", F.filter("o", lambda x: ~rare_key(x)))
+    own = own.withColumn("keys", F.transform("r", lambda x: x["key"]))
     one = lambda x, before: F.struct(*(x[c].alias(c) for c in ("key", "at", "classes", "major", "ends")), before.alias("before"))
-    rare = F.transform("r", lambda x, i: one(x, F.slice(F.transform(F.col("r"), lambda y: y["key"]), F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))))
-    frequent = F.transform("f", lambda x: one(x, F.slice(keys, F.lit(1), F.lit(BEFORE))))
-    found = own.select("sid", "n", "class", "last", F.explode(F.concat(rare, frequent)).alias("x"))
-    return found.select("x.key", "sid", "n", "x.at", "class", "last", "x.classes", "x.major", "x.ends", "x.before")
+    rare = F.transform("r", lambda x, i: one(x, F.slice("keys", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))))
+    frequent = F.transform("f", lambda x: one(x, F.slice("keys", F.lit(1), F.lit(BEFORE))))
+    found = own.select("sid", "n", "m", "class", "last", F.explode(F.concat(rare, frequent)).alias("x"))
+    return found.select("x.key", "sid", "n", "m", "x.at", "class", "last", "x.classes", "x.major", "x.ends", "x.before")
 
 
 def _last(n: Column, k: int, percent: int) -> Column:
@@ -291,26 +296,25 @@ def _last(n: Column, k: int, percent: int) -> Column:
 
 
 def _extended(index: DataFrame, ordered: DataFrame, classes: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Combinations of k consecutive tokens of the sets that have a frequent key of k - 1, as rows for _keyed(). The first
-    token of one need not be the first that two sets share, so its place tells nothing (at is 0)."""
+    """Combinations of k consecutive tokens of the sets that have a frequent key of k - 1, as rows for _keyed()."""
     more = index.where((F.col("classes") > RARE) & ~F.col("last")).select("sid").distinct()
     reach = k * (_differ(F.col("n"), percent) + 1) - (F.col("n") - F.col("m")).cast("int")  # of the shared tokens
     rows = _classed(ordered.join(more, "sid", "left_semi"), classes).withColumn("t", F.slice("tokens", F.lit(1), F.greatest(reach, F.lit(0)))).where(F.size("t") >= k)
     keys = F.transform(F.sequence(F.lit(1), F.size("t") - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.slice("t", i, F.lit(k))))
-    return rows.select("sid", "n", "class", _last(F.col("n"), k, percent).alias("last"), F.posexplode(keys).alias("pos", "key"), F.lit(0).cast("long").alias("at"))
+    return rows.select("sid", "n", "m", "class", _last(F.col("n"), k, percent).alias("last"), F.posexplode(keys).alias("at", "key"))
 
 
-def _candidates(index: DataFrame, percent: int) -> DataFrame:
+def _candidates(index: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of sets of different classes that share a key and may link. Sets outside a key's largest class meet all
     others of the key; those of the largest class only these. At a frequent key only sets meet of which one has no longer one."""
     used = index.where((F.col("classes") <= RARE) | F.col("ends"))
-    outside = used.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "at", "class", "before", "last")))
+    outside = used.where(F.col("class") != F.col("major")).select("key", *(F.col(c).alias(f"{c}1") for c in ("sid", "n", "m", "at", "class", "before", "last")))
     return (
         used.join(outside, "key")
         .where(F.col("class") != F.col("class1"))
         .where((F.col("class") == F.col("major")) | (F.col("sid") < F.col("sid1")))
         .where((F.col("classes") <= RARE) | F.col("last") | F.col("last1"))
-        .where(_may_link(F.col("n"), F.col("n1"), F.col("at"), F.col("at1"), percent))
+        .where(_may_link(F.col("n"), F.col("n1"), F.col("at"), F.col("at1"), percent, F.col("m"), F.col("m1"), k))
         .where(~F.arrays_overlap("before", "before1"))
         .select(F.least("sid", "sid1").alias("a"), F.greatest("sid", "sid1").alias("b"))
         .distinct()
@@ -320,17 +324,17 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
 def _between(ordered: DataFrame, prefix: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
     """Candidates among sets of different classes: all pairs that may link, by tokens and then by ever longer combinations."""
     single = _classed(prefix, classes).where(F.col("at") <= F.col("n") - F.col("least"))
-    rows = single.select("sid", "n", "class", _last(F.col("n"), 1, percent).alias("last"), F.col("at").alias("pos"), F.col("token").alias("key"), F.col("at").cast("long").alias("at"))
+    rows = single.select("sid", "n", "m", "class", _last(F.col("n"), 1, percent).alias("last"), (F.col("at") - F.col("n") + F.col("m")).cast("int").alias("at"), F.col("token").alias("key"))
     found = []
     for k in range(1, LONGEST + 1):
         if k > 1:
             rows = _extended(found[-1], ordered, classes, k, percent)
-        found.append(stage(_keyed(rows), "index"))
+        found.append(stage(_keyed(rows, k), "index"))
         if found[-1].where((F.col("classes") > RARE) & ~F.col("last")).isEmpty():
             break
     pairs = None
-    for index in found:
-        pairs = _candidates(index, percent) if pairs is None else pairs.unionAll(_candidates(index, percent))
+    for k, index in enumerate(found, 1):
+        pairs = _candidates(index, k, percent) if pairs is None else pairs.unionAll(_candidates(index, k, percent))
     out = stage(pairs.distinct(), "candidates")
     discard(*found)
     return out
