@@ -54,6 +54,12 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files that no plan refers to any more. It does so when the driver's JVM collects
+    garbage, which a driver with little to do puts off while the executors' disks fill."""
+    spark._jvm.System.gc()
+
+
 #: Over so many tasks the rows of one key are dealt in join_one().
 SALTS = 8
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import join_one, stage
+from gridloom.llm.common import discard, join_one, release_shuffles, stage
 
 KEY = "gridloom_key"
 FOUND = "gridloom_found"
@@ -133,6 +133,8 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
         named.select(KEY, "text").join(chosen, KEY).select(KEY, F.explode(around(F.col("text"), F.col(FOUND))).alias("x")).select(KEY, "x.*"),
         "repeated",
     )
+    discard(seen)
+    release_shuffles(docs.sparkSession)  # those of the texts among them, which are dealt once more below
     keepers = looked_at.where("keeper").groupBy("hash").agg(F.min(F.struct("at", "lines")).alias("kept"))
     pairs = join_one(looked_at.where("not keeper"), keepers, ["hash"], by=[KEY, "first"])
     own, kept = F.col("lines"), F.col("kept.lines")
@@ -145,7 +147,9 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
     apart = F.col("begin") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     runs = grown.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy(KEY, "run").agg(F.min("begin").alias("first"), (F.max("end") - F.min("begin")).alias("n"))
-    gone = runs.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias(FOUND))
+    gone = stage(runs.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias(FOUND)), "gone")
+    discard(looked_at)
+    release_shuffles(docs.sparkSession)
     result = named.join(gone, KEY, "left")
 
     def enough(lines: Column) -> Column:
