@@ -108,60 +108,72 @@ def _poisson_counts(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
     return drawn.withColumn("c", sum((F.when(u > float(s), 1).otherwise(0) for s in steps), F.lit(0)))
 
 
-def bootstrap_mean_difference(rows: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0, max_rows: int = 5_000_000) -> DataFrame:
-    """Mean of b - a over rows where both are finite, with a percentile interval from resampling rows.
+def _resampled(rows: DataFrame, columns: list[str], n_boot: int, seed: int) -> np.ndarray:
+    """Means of the columns in each resample, one row each: rows drawn with Poisson(1) counts, which is the bootstrap for any
+    number of rows, summed where the rows are. The same at every size."""
+    drawn = _poisson_counts(rows, n_boot, seed)
+    sums = drawn.groupBy("k").agg(*(F.try_divide(F.sum(F.col(c) * F.col("c")), F.sum("c")).alias(c) for c in columns)).toArrow()  # n_boot rows
+    return np.stack([sums.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
 
-    Up to max_rows differences are resampled exactly on the driver; beyond that, each row draws a Poisson(1) count in each
-    resample, which Spark sums. Both are seeded."""
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def bootstrap_mean_difference(rows: DataFrame, a: str, b: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+    """Mean of b - a over rows where both are finite, with a percentile interval from n_boot resamples."""
     spark = rows.sparkSession
-    d = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)).select((F.col(b) - F.col(a)).cast("double").alias("d"))
+    both = [F.col(c).cast("double") for c in (a, b)]
+    d = rows.where(_finite(both[0]) & _finite(both[1])).select((both[1] - both[0]).alias("d"))
     schema = "n long, mean double, low double, high double"
-    n = d.count()
+    n, mean = d.agg(F.count("*"), F.avg("d")).first()
     if n == 0:
         return spark.createDataFrame([], schema)
-    if n <= max_rows:
-        x = d.orderBy("d").toArrow().column("d").to_numpy()
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, n, n)].mean() for _ in range(n_boot)])
-        mean = float(x.mean())
-    else:
-        sums = _poisson_counts(d, n_boot, seed).groupBy("k").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
-        means = np.array([r["m"] for r in sums.collect()])
-        mean = d.agg(F.avg("d")).first()[0]
-    low, high = np.quantile(means, [0.025, 0.975])
+    means = _resampled(d, ["d"], n_boot, seed)[:, 0]
+    low, high = np.quantile(means[np.isfinite(means)], [0.025, 0.975])
     return spark.createDataFrame([(n, float(mean), float(low), float(high))], schema)
 
 
-def bootstrap_relative_improvement(rows: DataFrame, baseline: str, method: str, n_boot: int = 2000, seed: int = 0, max_rows: int = 5_000_000) -> DataFrame:
+def bootstrap_relative_improvement(rows: DataFrame, baseline: str, method: str, n_boot: int = 2000, seed: int = 0) -> DataFrame:
     """(mean(baseline) - mean(method)) / mean(baseline) over rows where both are finite, with a percentile interval from
     resampling rows in pairs, as in bootstrap_mean_difference. Null where the baseline's mean is zero; such resamples count
     as null and leave the interval null too."""
     spark = rows.sparkSession
     b, m = F.col(baseline).cast("double"), F.col(method).cast("double")
-    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    pairs = rows.where(finite(b) & finite(m)).select(b.alias("b"), m.alias("m"))
+    pairs = rows.where(_finite(b) & _finite(m)).select(b.alias("b"), m.alias("m"))
     schema = "n long, rel_improvement double, low double, high double, excludes_zero boolean"
-    n = pairs.count()
+    n, *whole = pairs.agg(F.count("*"), F.avg("b"), F.avg("m")).first()
     if n == 0:
         return spark.createDataFrame([], schema)
-    if n <= max_rows:
-        table = pairs.orderBy("b", "m").toArrow()
-        x = np.stack([table.column("b").to_numpy(), table.column("m").to_numpy()], 1)
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, n, n)].mean(0) for _ in range(n_boot)])
-        whole = x.mean(0)
-    else:
-        drawn = _poisson_counts(pairs, n_boot, seed)
-        sums = drawn.groupBy("k").agg(*((F.sum(F.col(c) * F.col("c")) / F.sum("c")).alias(c) for c in ("b", "m")))
-        means = np.array([(r["b"], r["m"]) for r in sums.collect()])
-        whole = np.array(pairs.agg(F.avg("b"), F.avg("m")).first())
+    means = _resampled(pairs, ["b", "m"], n_boot, seed)
+    means = means[np.isfinite(means).all(1)]
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratios, point = (means[:, 0] - means[:, 1]) / means[:, 0], (whole[0] - whole[1]) / whole[0]
+        ratios, point = (means[:, 0] - means[:, 1]) / means[:, 0], np.float64(whole[0] - whole[1]) / whole[0]
     known = lambda v: float(v) if np.isfinite(v) else None
     low, high = map(known, np.quantile(ratios, [0.025, 0.975]) if np.isfinite(ratios).all() else (np.nan, np.nan))
     return spark.createDataFrame([(n, known(point), low, high, None if low is None else low > 0 or high < 0)], schema)
 
 
+def over_seeds(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and population deviation of a figure over runs, with their number."""
+    return runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count(value).alias("n"))
+
+
+def alignment(stored: DataFrame, built: DataFrame, keys: list[str], value: str, tolerance: float = 1e-4) -> DataFrame:
+    """How many rows either side has (n), and in how many they differ or one is missing (n_off): one row."""
+    both = stored.select(*keys, F.col(value).alias("a")).join(built.select(*keys, F.col(value).alias("b")), keys, "full")
+    off = F.coalesce(F.abs(F.col("a") - F.col("b")) > tolerance * (1 + F.abs("b")), F.col("a").isNull() != F.col("b").isNull())
+    return both.agg(F.count("*").alias("n"), F.count_if(off).alias("n_off"))
+
+
+def latency(backbone_ms: float, ratio: float, index_ms: float, speedup: float) -> dict[str, float]:
+    """What a forecast costs: the backbone's time, times what was measured for its longer input, and the index's time, less
+    by its speed-up."""
+    if min(ratio, speedup) <= 0:
+        raise ValueError("ratio and speedup must be positive")
+    return {"backbone_ms": backbone_ms * ratio, "index_ms": index_ms / speedup, "total_ms": backbone_ms * ratio + index_ms / speedup}
+
+
 def mean_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     """Distinct values of a column and the mean rank of their rows, from 1. Values are dealt over ranges, ranked within
     each, and shifted by the counts of the ranges before it, so no task orders all of them."""
@@ -231,14 +243,12 @@ def pool_adjacent(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _crossing(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
+    """Where the nondecreasing fit passes one half between two of the x; None if it is never below or never reaches it."""
     fit = pool_adjacent(y, w)
-    over = np.flatnonzero(fit >= 0.5)
-    if not len(over):
+    below = int((fit < 0.5).sum())  # all of these come first
+    if below in (0, len(fit)):
         return None
-    k = int(over[0])
-    if k == 0 or fit[k] == fit[k - 1]:
-        return float(x[k])
-    return float(x[k - 1] + (0.5 - fit[k - 1]) / (fit[k] - fit[k - 1]) * (x[k] - x[k - 1]))
+    return float(np.interp(0.5, fit[below - 1 : below + 1], x[below - 1 : below + 1]))
 
 
 def band(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:

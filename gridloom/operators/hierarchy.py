@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions import metrics as M
 from gridloom.functions.metrics import scaled
 
 #: The levels and the keys of their groups.
@@ -94,3 +95,13 @@ def level_bias(panel: DataFrame, forecast: DataFrame, train_end: int, horizon: i
     return scored.groupBy("level").agg(
         F.sum(e).alias("bias"), F.try_divide(F.sum(e), F.sum("y")).alias("relative_bias"), F.try_divide(F.sum(F.abs(e)), F.sum(F.abs("y"))).alias("relative_error")
     )
+
+
+def summary(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """From (method, id, y, y_pred) and the series' naive scales: per method MAE and WAPE over all rows, and the means over
+    series of MASE and RMSSE where they are defined."""
+    y, p = F.col("y"), F.col("y_pred")
+    whole = rows.groupBy("method").agg(M.mae(y, p).alias("mae"), M.wape(y, p).alias("wape"))
+    per = rows.groupBy("method", "id").agg(M.mae(y, p).alias("mae"), M.mse(y, p).alias("mse")).join(scales, "id", "left")
+    scaled = per.groupBy("method").agg(F.avg(M.scaled(F.col("mae"), F.col("scale_abs"))).alias("mase"), F.avg(F.sqrt(M.scaled(F.col("mse"), F.col("scale_sq")))).alias("rmsse"))
+    return whole.join(scaled, "method")

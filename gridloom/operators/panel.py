@@ -17,6 +17,13 @@ def require_columns(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of `names`, under their new names: a view of another source in the words of this package."""
+    if missing := sorted(set(names) - set(df.columns)):
+        raise SchemaError(f"no column {', '.join(missing)}")
+    return df.select(*(F.col(f"`{old}`").alias(new) for old, new in names.items()))
+
+
 def day_number(label: Column) -> Column:
     """The number of a label d_<n>, n from 1; anything else raises."""
     digits = F.regexp_extract(label, r"^d_(\d+)$", 1)

@@ -47,7 +47,8 @@ def topk(
 ) -> DataFrame:
     """queries (qid, vec, ...) with their k nearest candidates (cand_id, cvec, ...): columns of both, dist and rank.
 
-    `on` are equality keys that both have: without one, all pairs are formed, so give one whenever pools are large. `guard`
+    `on` are equality keys that both have; without one, all pairs are formed, which is for tiny pools (topk_vectors() and
+    topk_panel() search in blocks). `guard`
     is a residual condition such as t_r + H < origin. `allowed` (on[0], ...) semi-joins the candidates and takes the place of
     the keys it lacks.
     """
@@ -61,6 +62,56 @@ def topk(
     return rank_within(pairs.withColumn("dist", distance(F.col("vec"), F.col("cvec"), metric)), "qid", [F.col("dist"), F.col("cand_id")], k)
 
 
+def topk_vectors(queries: DataFrame, candidates: DataFrame, k: int, metric: str, normalise: bool = False, queries_per_block: int = 2000, vectors_per_block: int = 20_000) -> DataFrame:
+    """The k nearest of all candidates (cand_id, cvec) for each query (qid, vec): qid, cand_id, dist and rank. Vectors are
+    z-normalised first with `normalise`. Null vectors, and for cosine vectors of length zero, find and are nothing.
+
+    Both sides are dealt into blocks of bounded size; a block of queries meets each block of candidates in a group that
+    multiplies matrices and keeps k rows a query."""
+    if metric not in ("sql2", "l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+    pool = candidates.select(F.col("cand_id").cast("long").alias("cand_id"), F.col("cvec").cast("array<double>").alias("cvec")).where("cvec is not null")
+    q_blocks, c_blocks = (max(1, -(-df.count() // size)) for df, size in ((asked, queries_per_block), (pool, vectors_per_block)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("qid", "vec", place("qid", q_blocks).alias("q_q"), every(c_blocks).alias("q_c"))
+    pool = pool.select("cand_id", "cvec", place("cand_id", c_blocks).alias("c_c"), every(q_blocks).alias("c_q"))
+
+    def ready(column: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(column.to_pylist(), float)
+        if normalise:
+            sd = x.std(1)
+            x = (x - x.mean(1)[:, None]) / np.where(sd == 0, 1.0, sd)[:, None]
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = x / np.sqrt((x * x).sum(1))[:, None]
+        return x
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("qid", pa.int64()), ("cand_id", pa.int64()), ("dist", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("cand_id")
+        q, c, ids = ready(left.column("vec")), ready(right.column("cvec")), right.column("cand_id").to_numpy()
+        known_q, known_c = np.isfinite(q).all(1), np.isfinite(c).all(1)
+        q, c, ids, qids = q[known_q], c[known_c], ids[known_c], left.column("qid").to_numpy()[known_q]
+        if not len(q) or not len(c):
+            return schema.empty_table()
+        # Unit vectors are in the same order by either distance.
+        found = _nearest(q, c, np.ones((len(q), len(c)), bool), k)
+        row, place_ = np.repeat(np.arange(len(q)), [len(p) for p, _ in found]), np.concatenate([p for p, _ in found])
+        d = np.concatenate([d for _, d in found])
+        if metric == "l2":
+            d = np.sqrt(d)
+        elif metric == "cosine":
+            d = -(q[row] * c[place_]).sum(1)
+        return pa.table([pa.array(qids[row]), pa.array(ids[place_]), pa.array(np.round(d, 9))], schema=schema)
+
+    found = asked.groupBy("q_q", "q_c").cogroup(pool.groupBy("c_q", "c_c")).applyInArrow(search, "qid long, cand_id long, dist double")
+    return rank_within(found, "qid", [F.col("dist"), F.col("cand_id")], k)
+
+
 def phase_of(day: Column, season: int) -> Column:
     return F.pmod(day, F.lit(season))
 

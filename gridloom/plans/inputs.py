@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.panel import dense_grid, series_from_facts
 
-DAYS, HORIZON, CONTEXT, STRIDE, K = 2400, 28, 56, 28, 20
-TEST, VAL, VAL_M1, VAL_M2 = 2372, 2344, 2316, 2288
-WEEKS, WEEK_END = 340, 336
+#: The orders' days, all of them: the last is the same in every scale of the tables. STRIDE is that of a deployed pool.
+DAYS, HORIZON, CONTEXT, STRIDE, K = 2500, 28, 56, 7, 20
+TEST, VAL, VAL_M1, VAL_M2 = (DAYS - k * HORIZON for k in range(1, 5))
+WEEKS = (DAYS - 1) // 7 + 1
+WEEK_END = WEEKS - 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

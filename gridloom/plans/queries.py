@@ -39,8 +39,6 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 LEVELS = R.LEVELS
-#: The deployed stride of the pool, for the queries without SQL; STRIDE is that of the SQL.
-DEPLOYED = 7
 LEVEL_LIST = "[" + ", ".join(map(str, LEVELS)) + "]"
 
 
@@ -57,26 +55,25 @@ def series_arrays(spark, sf):
     return supplier_series(spark, sf).select("id", F.size("ys").alias("n"), F.aggregate("ys", F.lit(0.0), lambda a, v: a + v).alias("total"), F.get("ys", F.lit(1999)).alias("y2000"), F.array_max("ys").alias("top"))
 
 
-@query(sql("SELECT id, 'd_' || day_idx AS d, day_idx, sales FROM panel WHERE day_idx BETWEEN 2001 AND 2014", "id:l d:s day_idx:l sales:d", FACT, PANEL))
+@query(sql("SELECT id, 'd_' || day_idx AS d, day_idx, sales FROM panel", "id:l d:s day_idx:l sales:d", FACT, PANEL))
 def unpivot_long(spark, sf):
-    days = range(2001, 2015)
-    wide = supplier_panel(spark, sf).where(F.col("day_idx").between(2001, 2014)).groupBy("id").pivot("day_idx", list(days)).agg(F.first("sales"))
-    wide = wide.select("id", *(F.col(str(d)).alias(f"d_{d}") for d in days))
+    """All days as columns, and back."""
+    wide = supplier_series(spark, sf).select("id", *(F.get("ys", F.lit(d)).alias(f"d_{d + 1}") for d in range(DAYS)))
     return P.unpivot_days(wide, ["id"]).withColumn("day_idx", P.day_number(F.col("d"))).select("id", "d", "day_idx", "sales")
 
 
-@query(sql("""SELECT i.item_id, i.store_id, CASE i.store_id WHEN 0 THEN i.ca WHEN 1 THEN i.tx ELSE i.wi END AS snap, c.wm_yr_wk, p.sell_price FROM
-(SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS day_idx, CAST(l_linenumber = 1 AS INT) AS ca, CAST(l_linenumber = 2 AS INT) AS tx, CAST(l_linenumber = 3 AS INT) AS wi FROM lineitem WHERE l_orderkey % 7 = 0) i
-LEFT JOIN (SELECT CAST(range AS INT) AS day_idx, CAST((range - 1) // 7 + 1 AS INT) AS wm_yr_wk FROM range(1, 2401)) c USING (day_idx)
-LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, AVG(l_extendedprice / l_quantity) AS sell_price FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY ALL) p
+@query(sql(f"""SELECT i.item_id, i.store_id, CASE i.store_id WHEN 0 THEN i.ca WHEN 1 THEN i.tx ELSE i.wi END AS snap, c.wm_yr_wk, p.sell_price FROM
+(SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS day_idx, CAST(l_linenumber = 1 AS INT) AS ca, CAST(l_linenumber = 2 AS INT) AS tx, CAST(l_linenumber = 3 AS INT) AS wi FROM lineitem) i
+LEFT JOIN (SELECT CAST(range AS INT) AS day_idx, CAST((range - 1) // 7 + 1 AS INT) AS wm_yr_wk FROM range(1, {DAYS + 1})) c USING (day_idx)
+LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, AVG(l_extendedprice / l_quantity) AS sell_price FROM lineitem GROUP BY ALL) p
 ON p.item_id = i.item_id AND p.store_id = i.store_id AND p.wm_yr_wk = c.wm_yr_wk""", "item_id:l store_id:l snap:l wm_yr_wk:l sell_price:d"))
 def calendar_price_join(spark, sf):
-    lines = table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("item_id"), (F.col("l_suppkey") % 4).alias("store_id"), day_of("l_shipdate").alias("day_idx"), "l_linenumber", (F.col("l_orderkey") % 7 == 0).alias("own"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
+    lines = table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("item_id"), (F.col("l_suppkey") % 4).alias("store_id"), day_of("l_shipdate").alias("day_idx"), "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     calendar = spark.range(1, DAYS + 1).select(F.col("id").cast("int").alias("day_idx"), (F.floor((F.col("id") - 1) / 7) + 1).cast("int").alias("wm_yr_wk"))
-    prices = lines.where("not own").groupBy("item_id", "store_id", (F.floor((F.col("day_idx") - 1) / 7) + 1).cast("int").alias("wm_yr_wk")).agg(F.avg("unit").alias("sell_price"))
+    prices = lines.groupBy("item_id", "store_id", (F.floor((F.col("day_idx") - 1) / 7) + 1).cast("int").alias("wm_yr_wk")).agg(F.avg("unit").alias("sell_price"))
     flags = [(F.col("l_linenumber") == k).cast("int") for k in (1, 2, 3)]
     state = F.when(F.col("store_id") == 0, "CA").when(F.col("store_id") == 1, "TX").otherwise("XX")
-    sales = lines.where("own").select("item_id", "store_id", "day_idx", P.snap_of(state, *flags).alias("snap"))
+    sales = lines.select("item_id", "store_id", "day_idx", P.snap_of(state, *flags).alias("snap"))
     return P.join_calendar_and_prices(sales, F.broadcast(calendar), prices).select("item_id", "store_id", "snap", "wm_yr_wk", "sell_price")  # DAYS rows
 
 
@@ -142,8 +139,8 @@ def seasonal_naive_rmsse(spark, sf):
     return H.score_series(scored, H.naive_scales(panel.where(F.col("day_idx") <= VAL), ["id"]), ["id"])
 
 
-@query(sql("""SELECT id, AVG(ABS(diff)) AS scale_abs, AVG(diff * diff) AS scale_sq FROM (SELECT id, CASE WHEN first IS NULL OR prev_day >= first THEN diff END AS diff FROM
-(SELECT id, sales - lag(sales, 7) OVER w AS diff, lag(day_idx, 7) OVER w AS prev_day, MIN(CASE WHEN sales <> 0 THEN day_idx END) OVER (PARTITION BY id) AS first FROM panel WHERE day_idx <= 2344 WINDOW w AS (PARTITION BY id ORDER BY day_idx))) GROUP BY id""", "id:l scale_abs:d scale_sq:d", FACT, PANEL))
+@query(sql(f"""SELECT id, AVG(ABS(diff)) AS scale_abs, AVG(diff * diff) AS scale_sq FROM (SELECT id, CASE WHEN first IS NULL OR prev_day >= first THEN diff END AS diff FROM
+(SELECT id, sales - lag(sales, 7) OVER w AS diff, lag(day_idx, 7) OVER w AS prev_day, MIN(CASE WHEN sales <> 0 THEN day_idx END) OVER (PARTITION BY id) AS first FROM panel WHERE day_idx <= {VAL} WINDOW w AS (PARTITION BY id ORDER BY day_idx))) GROUP BY id""", "id:l scale_abs:d scale_sq:d", FACT, PANEL))
 def seasonal_naive_scale(spark, sf):
     return H.naive_scales(supplier_panel(spark, sf).where(F.col("day_idx") <= VAL), ["id"], season=7)
 
@@ -189,10 +186,10 @@ def coverage_width(spark, sf):
 
 @query(sql(f"""SELECT * FROM (SELECT id, day_idx, lag_28, lag_35, lag_42, CASE WHEN COUNT(lag_28) OVER a = 7 THEN AVG(lag_28) OVER a END AS roll_mean_7, CASE WHEN COUNT(lag_28) OVER b = 28 THEN AVG(lag_28) OVER b END AS roll_mean_28 FROM
 (SELECT id, day_idx, lag(sales, 28) OVER w AS lag_28, lag(sales, 35) OVER w AS lag_35, lag(sales, 42) OVER w AS lag_42 FROM panel WINDOW w AS (PARTITION BY id ORDER BY day_idx))
-WINDOW a AS (PARTITION BY id ORDER BY day_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), b AS (PARTITION BY id ORDER BY day_idx ROWS BETWEEN 27 PRECEDING AND CURRENT ROW)) WHERE day_idx BETWEEN 30 AND 60 OR day_idx > {TEST}""",
+WINDOW a AS (PARTITION BY id ORDER BY day_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), b AS (PARTITION BY id ORDER BY day_idx ROWS BETWEEN 27 PRECEDING AND CURRENT ROW))""",
            "id:l day_idx:l lag_28:d lag_35:d lag_42:d roll_mean_7:d roll_mean_28:d", FACT, PANEL))
 def lag_rolling_features(spark, sf):
-    return X.lag_features(supplier_panel(spark, sf)).where(F.col("day_idx").between(30, 60) | (F.col("day_idx") > TEST)).drop("sales")
+    return X.lag_features(supplier_panel(spark, sf)).drop("sales")
 
 
 @query(sql(f"""SELECT m.item, m.store, m.day_idx, m.sell_price / i.price AS price_norm, s.mean AS series_mean FROM market m
@@ -217,9 +214,9 @@ def window_database_counts(spark, sf):
 def _scale_query(kind: str) -> None:
     loc, scale = params_sql(kind)
 
-    @query(sql(f"SELECT sid AS id, t_r, {loc} AS loc, {scale} AS scale FROM win WHERE t_r > 2000", "id:l t_r:l loc:d scale:d", *BASE, windows_sql()))
+    @query(sql(f"SELECT sid AS id, t_r, {loc} AS loc, {scale} AS scale FROM win", "id:l t_r:l loc:d scale:d", *BASE, windows_sql()))
     def scale_params_(spark, sf):
-        windows = W.window_database(supplier_series(spark, sf), CONTEXT, HORIZON, VAL, STRIDE).where("t_r > 2000")
+        windows = W.window_database(supplier_series(spark, sf), CONTEXT, HORIZON, VAL, STRIDE)
         return windows.select("id", "t_r", scale_params(F.col("ctx"), kind).alias("p")).select("id", "t_r", "p.loc", "p.scale")
 
     QUERIES[f"scale_params_{kind}"] = QUERIES.pop("scale_params_")
@@ -319,10 +316,11 @@ def _vectors(spark, sf):
     return queries, rows.select(F.col("vec_id").alias("cand_id"), "label", F.col("v").alias("cvec"))
 
 
-@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(-(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x))))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 10 = 0 QUALIFY rank <= 5)", "qid:l cand_id:l rank:l dist:d", EMB))
+@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(-(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x))))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q, e c WHERE q.vec_id % 10 = 0 QUALIFY rank <= 5)", "qid:l cand_id:l rank:l dist:d", EMB))
 def topk_cosine(spark, sf):
+    """Of every tenth vector, against all."""
     queries, candidates = _vectors(spark, sf)
-    return T.topk(queries, candidates, 5, on=["label"], metric="cosine").select("qid", "cand_id", "rank", "dist")
+    return T.topk_vectors(queries, candidates, 5, "cosine")
 
 
 @query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 10 = 0 QUALIFY rank <= 10)", "qid:l cand_id:l rank:l dist:d", EMB))
@@ -331,10 +329,20 @@ def topk_meta_filter(spark, sf):
     return T.topk(queries, candidates, 10, on=["label"]).select("qid", "cand_id", "rank", "dist")
 
 
-@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 10 = 0 QUALIFY rank <= 4)", "qid:l cand_id:l rank:l dist:d", EMB))
+EMB_Z = "z AS (SELECT vec_id, list_transform(v, lambda x: (x - m) / s) AS v FROM (SELECT vec_id, v, m, CASE WHEN sd = 0 THEN 1.0 ELSE sd END AS s FROM (SELECT vec_id, v, list_sum(v) / len(v) AS m, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / len(v)) * (x - list_sum(v) / len(v)))) / len(v)) AS sd FROM e)))"
+
+
+@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM z q, z c WHERE q.vec_id % 10 = 0 QUALIFY rank <= 4)", "qid:l cand_id:l rank:l dist:d", EMB, EMB_Z))
 def euclidean_retriever(spark, sf):
+    """Of every tenth vector, z-normalised, against all."""
     queries, candidates = _vectors(spark, sf)
-    return T.topk(queries, candidates, 4, on=["label"], metric="l2").select("qid", "cand_id", "rank", "dist")
+    return T.topk_vectors(queries, candidates, 4, "l2", normalise=True)
+
+
+@query(sql("SELECT qid, rank, sid, t_r, dist FROM top", "qid:l rank:l sid:l t_r:l dist:d", *BASE, windows_sql(), queries_sql(), *topk_sql("mean", 5, on="TRUE")))
+def topk_global(spark, sf):
+    """Without a key: the windows of all series, block by block."""
+    return found(spark, sf, "mean", k=5, key=None).select("qid", "rank", "sid", "t_r", "dist")
 
 
 @query(sql(f"""SELECT id AS qid, id AS sid, t_r, row_number() OVER (PARTITION BY id ORDER BY t_r DESC) AS rank FROM series, (SELECT CAST(range AS INT) AS t_r FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) WHERE (SELECT MAX(range) FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) - t_r < 28 * 6 AND ((SELECT MAX(range) FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) - t_r) % 28 = 0""", "qid:l sid:l t_r:l rank:l", *BASE))
@@ -347,7 +355,7 @@ def seasonal_retriever(spark, sf):
 @query()
 def random_retriever(spark, sf):
     series = supplier_series(spark, sf)
-    windows = W.window_database(series, CONTEXT, HORIZON, VAL, DEPLOYED).select(F.col("id").alias("sid"), "store", "t_r", F.struct("id", "t_r").alias("cand_id"))
+    windows = W.window_database(series, CONTEXT, HORIZON, VAL).select(F.col("id").alias("sid"), "store", "t_r", F.struct("id", "t_r").alias("cand_id"))
     queries = W.query_windows(series, CONTEXT, VAL).select("qid", "store", "origin")
     return T.random_choice(queries, windows, 5, HORIZON, 7, ["store"]).select("qid", "rank", "sid", "t_r")
 
@@ -390,11 +398,11 @@ def k_sweep(spark, sf):
     return values.withColumn("k", F.explode(F.array(*map(F.lit, (1, 3, 5, 10, 20))))).where("rank <= k").groupBy("qid", "k").agg(F.avg("v").alias("mean"))
 
 
-@query(sql(f"""SELECT s.id AS qid, h.h, COALESCE(f.point, GREATEST(list_sum(s.ys[{TEST - 55}:{TEST}]) / 56, 0.0)) AS point, f.point IS NULL AS fallback FROM series s CROSS JOIN (SELECT CAST(range AS INT) AS h FROM range(1, {HORIZON + 1})) h LEFT JOIN (SELECT qid, h, AVG(v) AS point FROM vals WHERE qid % 2 = 0 GROUP BY qid, h) f ON f.qid = s.id AND f.h = h.h""",
+@query(sql(f"""SELECT s.id AS qid, h.h, COALESCE(f.point, GREATEST(list_sum(s.ys[{TEST - 55}:{TEST}]) / 56, 0.0)) AS point, f.point IS NULL AS fallback FROM series s CROSS JOIN (SELECT CAST(range AS INT) AS h FROM range(1, {HORIZON + 1})) h LEFT JOIN (SELECT qid, h, AVG(v) AS point FROM vals GROUP BY qid, h) f ON f.qid = s.id AND f.h = h.h""",
            "qid:l h:l point:d fallback:b", *BASE, windows_sql(TEST), queries_sql(TEST), *topk_sql("mean"), VALUES(RESTORED)))
 def knn_fallback(spark, sf):
-    """Queries of odd id have no neighbours."""
-    rows = found(spark, sf, "mean", TEST).where("qid % 2 = 0")
+    """Every query has neighbours in these tables; the tests have some without."""
+    rows = found(spark, sf, "mean", TEST)
     return R.with_fallback(R.combine(R.restored_values(rows, clip=True)), W.query_windows(supplier_series(spark, sf), CONTEXT, TEST), HORIZON).select("qid", "h", "point", "fallback")
 
 
@@ -449,10 +457,10 @@ def gated_fusion(spark, sf):
 
     frames = []
     for te in (VAL_M2, VAL_M1):
-        scored = _three(spark, sf, te, DEPLOYED).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone"))
-        frames.append(_gate_features(spark, sf, te, DEPLOYED).join(U.gate_labels(scored), "id"))
-    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1])), _gate_features(spark, sf, VAL, DEPLOYED))
-    fused = _three(spark, sf, VAL, DEPLOYED).join(weights, "id").withColumn("fused", U.fuse(F.col("c"), F.col("r"), F.col("weight")))
+        scored = _three(spark, sf, te).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone"))
+        frames.append(_gate_features(spark, sf, te).join(U.gate_labels(scored), "id"))
+    weights = gate_weight(fit_gate(frames[0].unionAll(frames[1])), _gate_features(spark, sf, VAL))
+    fused = _three(spark, sf, VAL).join(weights, "id").withColumn("fused", U.fuse(F.col("c"), F.col("r"), F.col("weight")))
     e = lambda c: F.sqrt(F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))))
     return fused.groupBy("id").agg(F.first("weight").alias("weight"), e("c").alias("backbone"), e("r").alias("retrieval"), e("fused").alias("fused"))
 
@@ -721,6 +729,45 @@ def sql_over_views(spark, sf):
     return spark.sql("SELECT sum(sales) AS total, count(*) AS n FROM gridloom_panel WHERE id IN (SELECT id FROM gridloom_series WHERE cat = 1)")
 
 
+@query(sql("SELECT 'seasonal_naive' AS method, AVG(mae) AS mean, stddev_pop(mae) AS deviation, COUNT(*) AS n FROM (SELECT id % 5 AS seed, AVG(ABS(y - y_pred)) AS mae FROM act JOIN sn USING (id, h) GROUP BY 1)", "method:s mean:d deviation:d n:l", FACT, PANEL, SN, ACT))
+def seed_summary(spark, sf):
+    """Mean and population deviation over runs; here each fifth of the series stands for a run of another seed."""
+    panel = supplier_panel(spark, sf)
+    rows = R.actuals(panel, VAL, HORIZON).join(R.seasonal_naive(panel, VAL, HORIZON), ["id", "h"])
+    runs = rows.groupBy((F.col("id") % 5).alias("seed")).agg(M.mae(F.col("y"), F.col("y_pred")).alias("mae")).withColumn("method", F.lit("seasonal_naive"))
+    return D.over_seeds(runs, ["method"], "mae")
+
+
+@query(sql("""SELECT 'seasonal_naive' AS method, mae, wape, mase, rmsse FROM (SELECT AVG(ABS(y - y_pred)) AS mae, SUM(ABS(y - y_pred)) / NULLIF(SUM(ABS(y)), 0) AS wape FROM act JOIN sn USING (id, h)),
+(SELECT AVG(e.mae / NULLIF(scale_abs, 0)) AS mase, AVG(sqrt(e.mse / NULLIF(scale_sq, 0))) AS rmsse FROM (SELECT id, AVG(ABS(y - y_pred)) AS mae, AVG((y - y_pred) * (y - y_pred)) AS mse FROM act JOIN sn USING (id, h) GROUP BY id) e LEFT JOIN scale USING (id))""",
+           "method:s mae:d wape:d mase:d rmsse:d", FACT, PANEL, SN, ACT, SCALE))
+def summary_bundle(spark, sf):
+    panel = supplier_panel(spark, sf)
+    rows = R.actuals(panel, VAL, HORIZON).join(R.seasonal_naive(panel, VAL, HORIZON), ["id", "h"]).withColumn("method", F.lit("seasonal_naive"))
+    return H.summary(rows, H.naive_scales(panel.where(F.col("day_idx") <= VAL), ["id"]))
+
+
+@query(sql("SELECT id, h, level, y_pred AS q FROM sn, (SELECT unnest([0.1, 0.5, 0.9]) AS level)", "id:l h:l level:d q:d", FACT, PANEL, SN))
+def point_quantiles(spark, sf):
+    """A method without a law: the point at every level."""
+    rows = R.seasonal_naive(supplier_panel(spark, sf), VAL, HORIZON)
+    return rows.select("id", "h", F.explode(U.point_law(F.col("y_pred"), [0.1, 0.5, 0.9])).alias("x")).select("id", "h", "x.level", "x.q")
+
+
+@query(sql("SELECT s_suppkey AS id, n_name AS store_id, r_name AS cat_id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", "id:l store_id:s cat_id:s"))
+def renamed_entities(spark, sf):
+    """Suppliers under the names that the panel operators know."""
+    rows = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    return P.renamed(rows, {"s_suppkey": "id", "n_name": "store_id", "r_name": "cat_id"})
+
+
+@query(sql("SELECT COUNT(*) AS n, SUM(CASE WHEN a.y = b.y THEN 0 ELSE 1 END) AS n_off FROM act a JOIN act b USING (id, h)", "n:l n_off:l", FACT, PANEL, ACT))
+def aligned_truths(spark, sf):
+    """Truths read from the dense panel against those cut from the series' arrays."""
+    built = supplier_series(spark, sf).select("id", F.posexplode(F.slice("ys", VAL + 1, HORIZON)).alias("h0", "y")).select("id", (F.col("h0") + 1).alias("h"), "y")
+    return D.alignment(R.actuals(supplier_panel(spark, sf), VAL, HORIZON), built, ["id", "h"], "y")
+
+
 # Models and resampling: no SQL ----------------------------------------------------------------------------------
 
 
@@ -744,12 +791,12 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def spearman_correlates(spark, sf):
-    return D.utility_correlates(_regime(spark, sf, VAL, DEPLOYED), ["x"])
+    return D.utility_correlates(_regime(spark, sf), ["x"])
 
 
 @query()
 def isotonic_band(spark, sf):
-    found_ = D.band(_regime(spark, sf, VAL, DEPLOYED)) or {}
+    found_ = D.band(_regime(spark, sf)) or {}
     names = ("low", "low_from", "low_to", "high", "high_from", "high_to", "n")
     row = tuple(v if v is None or c == "n" else float(v) for c, v in ((c, found_.get(c)) for c in names))
     return spark.createDataFrame([row], "crossing double, low double, high double, upper double, upper_low double, upper_high double, n long")

@@ -177,8 +177,66 @@ def test_diagnostics(spark):
     out = one(D.bootstrap_mean_difference(pairs, "a", "b", 200))
     assert (out.n, out.mean) == (2, 1.5) and 1 <= out.low <= out.high <= 2
     many = spark.range(400).select(F.lit(0.0).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
-    exact, poisson = one(D.bootstrap_mean_difference(many, "a", "b", 300)), one(D.bootstrap_mean_difference(many, "a", "b", 300, max_rows=10))
-    assert poisson.mean == pytest.approx(exact.mean) and poisson.low == pytest.approx(exact.low, abs=0.06) and poisson.high == pytest.approx(exact.high, abs=0.06)
+    got, values = one(D.bootstrap_mean_difference(many, "a", "b", 300)), np.arange(400) % 7
+    exact = np.quantile([values[rng.integers(0, 400, 400)].mean() for _ in range(2000)], [0.025, 0.975])  # rows drawn with replacement
+    assert got.mean == pytest.approx(values.mean()) and (got.low, got.high) == pytest.approx(tuple(exact), abs=0.06)
+
+
+def test_crossing_lies_between_two_points():
+    """No crossing where the fit never is below one half or never reaches it; else by interpolation, on a plain fit."""
+
+    def plain(x, y):
+        fit = list(map(float, y))
+        for _ in range(len(fit)):  # pools neighbours until none falls
+            for k in range(len(fit) - 1):
+                if fit[k] > fit[k + 1] + 1e-15:
+                    block = [i for i in range(len(fit)) if fit[i] in (fit[k], fit[k + 1])]
+                    mean = sum(fit[i] for i in block) / len(block)
+                    for i in block:
+                        fit[i] = mean
+        if fit[0] >= 0.5 or fit[-1] < 0.5:
+            return None
+        k = next(i for i, v in enumerate(fit) if v >= 0.5)
+        return x[k - 1] + (0.5 - fit[k - 1]) / (fit[k] - fit[k - 1]) * (x[k] - x[k - 1])
+
+    assert D._crossing(np.arange(3.0), np.array([0.6, 0.7, 0.9]), np.ones(3)) is None
+    assert D._crossing(np.arange(3.0), np.array([0.1, 0.2, 0.3]), np.ones(3)) is None
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = np.sort(rng.random(9))
+        y = rng.random(9)
+        got, expected = D._crossing(x, y, np.ones(9)), plain(x, y)
+        assert (got is None) == (expected is None) and (got is None or got == pytest.approx(expected))
+
+
+def test_vectors_in_blocks(spark):
+    from gridloom.operators.retrieval import topk_vectors
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (120, 4)).astype(float)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(500, None)], "id long, v array<double>")
+    queries, pool = rows.select(F.col("id").alias("qid"), F.col("v").alias("vec")), rows.select(F.col("id").alias("cand_id"), F.col("v").alias("cvec"))
+    for metric in ("sql2", "l2", "cosine"):
+        got = sorted((r.qid, r.rank, r.cand_id) for r in topk_vectors(queries, pool, 3, metric, queries_per_block=50, vectors_per_block=17).collect())
+        expected = []
+        for i, q in enumerate(v):
+            n = np.sqrt((v * v).sum(1))
+            if metric == "cosine":
+                known = [j for j in range(120) if n[j] and n[i]]
+                d = {j: round(-float(q @ v[j]) / (n[i] * n[j]), 9) for j in known}
+            else:
+                d = {j: float(((q - v[j]) ** 2).sum()) for j in range(120)}
+            expected += [(i, k + 1, j) for k, j in enumerate(sorted(d, key=lambda j: (d[j], j))[:3])]
+        assert got == sorted(expected), metric
+
+
+def test_small_helpers(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "id long, y double")
+    b = spark.createDataFrame([(1, 1.00001), (2, 2.5), (4, 1.0)], "id long, y double")
+    assert tuple(one(D.alignment(a, b, ["id"], "y"))) == (4, 2)
+    assert D.latency(10.0, 1.5, 8.0, 4.0) == {"backbone_ms": 15.0, "index_ms": 2.0, "total_ms": 17.0}
+    with pytest.raises(ValueError):
+        D.latency(1.0, 0.0, 1.0, 1.0)
 
 
 def test_gate(spark):

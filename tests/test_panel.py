@@ -13,7 +13,7 @@ from tests.conftest import SF
 def test_series_from_facts_equals_the_dense_grid(spark):
     dense = {r.id: r.ys for r in panel.series(supplier_panel(spark, SF)).collect()}
     direct = {r.id: r.ys for r in supplier_series(spark, SF).collect()}
-    assert dense == direct and all(len(y) == 2400 for y in dense.values())
+    assert dense == direct and all(len(y) == 2500 for y in dense.values())
     edge = spark.createDataFrame([(1, 1, 5.0), (1, 4, 7.0), (2, 5, 1.0), (3, 9, 1.0)], "id int, day_idx int, sales double")
     assert {r.id: r.ys for r in panel.series_from_facts(edge, 1, 5).collect()} == {1: [5, 0, 0, 7, 0], 2: [0, 0, 0, 0, 1]}
 
@@ -58,11 +58,15 @@ def test_features_ignore_the_future(spark, tmp_path):
 
 
 def test_splits_and_guards(spark):
-    made = splits.validate_splits(splits.rolling_splits(1941))
-    assert [s.train_end for s in made] == [1829, 1857, 1885, 1913]
-    assert splits.split_by_name(made, "val").h_end == 1913
+    made = splits.check_splits(splits.rolling_splits(spark, 1941))
+    assert sorted(r.origin for r in made.collect()) == [1829, 1857, 1885, 1913]
+    assert splits.split_of(made, "val").last == 1913
+    with pytest.raises(KeyError):
+        splits.split_of(made, "other")
     with pytest.raises(splits.LeakageError):
-        splits.validate_splits([splits.RollingSplit("val", 100), splits.RollingSplit("test", 110)])
+        splits.check_splits(spark.createDataFrame([("val", 100, 101, 128), ("test", 110, 111, 138)], made.schema), 0)
+    with pytest.raises(splits.LeakageError):
+        splits.check_splits(splits.rolling_splits(spark, 1941, earlier=1))
     with pytest.raises(splits.LeakageError):
         splits.require_horizon(72, 28, 100)
     splits.require_horizon(71, 28, 100)
