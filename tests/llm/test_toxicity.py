@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -52,3 +53,34 @@ def test_query_on_held_out_rows(spark):
     toxic, clean = [s for s, y in held if y], [s for s, y in held if not y]
     if toxic and clean:
         assert np.mean([a > b for a in toxic for b in clean]) > 0.6
+
+
+def test_training_against_a_plain_version():
+    """FTRL-proximal with a dictionary for each coordinate's sums, one coordinate at a time."""
+    rng = np.random.default_rng(4)
+    settings = Settings(bits=6, alpha=0.5, beta=1.0, l1=0.4, l2=0.1, epochs=3)
+    rows = [np.unique(rng.integers(0, 64, rng.integers(1, 12))) for _ in range(80)]
+    labels = [int(7 in r or rng.random() < 0.1) for r in rows]
+    z, n = {}, {}
+
+    def weight(i):
+        l1, l2 = (settings.l1, settings.l2) if i != "bias" else (0.0, settings.l2)
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - (l1 if zi > 0 else -l1)) / ((settings.beta + math.sqrt(n.get(i, 0.0))) / settings.alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(settings.epochs):
+        for k in order.permutation(len(rows)):
+            used = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in used}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i in used:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / settings.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    buckets, weights, bias = train(rows, labels, settings)
+    expected = {i: weight(i) for i in range(64) if weight(i)}
+    assert buckets.tolist() == sorted(expected) and 0 < len(expected) < 64
+    assert np.allclose(weights, [expected[i] for i in sorted(expected)]) and abs(bias - weight("bias")) < 1e-9
