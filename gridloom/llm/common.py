@@ -60,17 +60,26 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Over so many tasks the rows of one key are dealt in join_one().
+#: Over so many tasks the rows of one key are dealt in join_one(), if their number isn't known.
 SALTS = 8
+#: So many rows of a key make a salt, where it is.
+SALT_ROWS, MOST_SALTS = 256, 4096
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
-    """many joined with one, which has one row a key: that row is repeated SALTS times, and the rows of `many` are dealt over
-    the copies by a hash of their columns `by`, so a frequent key isn't met in one task."""
+def salts_of(n: Column) -> Column:
+    """Over how many tasks to deal n rows of one key."""
+    return F.least(F.ceil(n / SALT_ROWS), F.lit(MOST_SALTS)).cast("int")
+
+
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: str | None = None) -> DataFrame:
+    """many joined with one, which has one row a key: that row is repeated, and the rows of `many` are dealt over the copies
+    by a hash of their columns `by`, so a frequent key isn't met in one task. There are SALTS copies, or as many as the column
+    `salts`, the same in both tables for a key, says."""
     salt = "gridloom_salt"
-    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    copies = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(copies, [*keys, salt], how).drop(salt)
+    copies = F.col(salts) if salts else F.lit(SALTS)
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*by), copies).cast("int"))
+    spread = one.withColumn(salt, F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.join(spread.drop(salts) if salts else spread, [*keys, salt], how).drop(salt)
 
 
 def any_type(docs: DataFrame, column: str = "doc_id") -> str:

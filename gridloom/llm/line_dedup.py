@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import discard, join_one, release_shuffles, stage
+from gridloom.llm.common import discard, join_one, release_shuffles, salts_of, stage
 
 KEY = "gridloom_key"
 FOUND = "gridloom_found"
@@ -83,7 +83,7 @@ def around(text: Column, found: Column) -> Column:
         own = lambda inner, outer: F.when(c["keeper"], outer).otherwise(inner)
         low = own(F.greatest(c["low"], F.coalesce(F.get(found, k - 1)["first"] + F.get(found, k - 1)["n"], F.lit(0))), c["low"])
         high = own(F.least(c["high"], F.coalesce(F.get(found, k + 1)["first"], c["high"])), c["high"])
-        return F.struct(c["hash"].alias("hash"), c["keeper"].alias("keeper"), c["first"].alias("first"), c["n"].alias("n"), (c["first"] - low).alias("at"), F.slice(lines, low + 1, high - low).alias("lines"))
+        return F.struct(c["hash"].alias("hash"), c["keeper"].alias("keeper"), c["salts"].alias("salts"), c["first"].alias("first"), c["n"].alias("n"), (c["first"] - low).alias("at"), F.slice(lines, low + 1, high - low).alias("lines"))
 
     return let(lines_of(text), lambda lines: F.transform(found, lambda c, k: one(lines, c, k)))
 
@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
     n_lines and n_removed (lines) follow.
 
     Only hashes are grouped; texts are dealt by document. Joins on chunk hashes have one row a hash on one side, and are
-    salted, so a chunk that a third of all documents share is dealt over tasks.
+    salted, so a chunk that a third of all documents share is dealt over tasks. Lines are copied once for 256 occurrences.
     """
     identity = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("text"))
     # The length of the id tells where it ends, and whether there is one.
@@ -125,9 +125,10 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
         named.select("doc_id", KEY, F.explode(chunks(F.col("text"), mean_lines)).alias("chunk")).select("doc_id", KEY, "chunk.*"),
         "chunks",
     )
-    repeated = seen.groupBy("hash").agg(F.min(place).alias("keeper"), F.max(place).alias("last")).where("keeper != last").drop("last")
+    repeated = seen.groupBy("hash").agg(F.min(place).alias("keeper"), F.count("*").alias("many")).where("many > 1")
+    repeated = repeated.select("hash", "keeper", salts_of(F.col("many")).alias("salts"))
     # By document: the chunks to look at. (The hash says which they may equal; the bytes decide.)
-    entry = F.struct("first", "n", "low", "high", "hash", (place == F.col("keeper")).alias("keeper"))
+    entry = F.struct("first", "n", "low", "high", "hash", (place == F.col("keeper")).alias("keeper"), "salts")
     chosen = join_one(seen, repeated, ["hash"], by=[KEY, "first"]).groupBy(KEY).agg(F.sort_array(F.collect_set(entry)).alias(FOUND))
     looked_at = stage(
         named.select(KEY, "text").join(chosen, KEY).select(KEY, F.explode(around(F.col("text"), F.col(FOUND))).alias("x")).select(KEY, "x.*"),
@@ -135,8 +136,8 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
     )
     discard(seen)
     release_shuffles(docs.sparkSession)  # those of the texts among them, which are dealt once more below
-    keepers = looked_at.where("keeper").groupBy("hash").agg(F.min(F.struct("at", "lines")).alias("kept"))
-    pairs = join_one(looked_at.where("not keeper"), keepers, ["hash"], by=[KEY, "first"])
+    keepers = looked_at.where("keeper").groupBy("hash").agg(F.min(F.struct("at", "lines")).alias("kept"), F.first("salts").alias("salts"))
+    pairs = join_one(looked_at.where("not keeper"), keepers, ["hash"], by=[KEY, "first"], salts="salts")
     own, kept = F.col("lines"), F.col("kept.lines")
     at, kept_at, n = F.col("at"), F.col("kept.at"), F.col("n")
     back = equal_from(F.least(at, kept_at), lambda i: F.get(own, at - 1 - i) != F.get(kept, kept_at - 1 - i))
