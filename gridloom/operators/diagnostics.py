@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,15 +189,36 @@ def mean_ranks(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
     return placed.select(column, (F.col("offset") + F.col("below") + (F.col("count") + 1) / 2).alias(f"r{column}"))
 
 
+#: Steps of Simpson's rule in correlation_p; even.
+P_STEPS = 2000
+
+
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs under independence, that of Student's t with n - 2 degrees of freedom.
+    With rho = sin(a) its density goes as cos(a) ** (n - 3), integrated by Simpson's rule as far as it is of any size.
+    Null for a null correlation and for fewer than three pairs."""
+    reach = F.least(F.lit(math.pi / 2), 12 / F.sqrt(n))
+
+    def tail(start: Column) -> Column:
+        width = F.least(reach, math.pi / 2 - start)
+        weight = lambda i: F.when((i == 0) | (i == P_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        height = lambda i: F.pow(F.greatest(F.cos(start + width * i / P_STEPS), F.lit(0.0)), n - 3)
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(P_STEPS)), F.lit(0.0), lambda acc, i: acc + weight(i) * height(i))
+        return width / (3 * P_STEPS) * total
+
+    return F.when((n >= 3) & rho.isNotNull(), F.least(tail(F.asin(F.least(F.abs(rho), F.lit(1.0)))) / tail(F.lit(0.0)), F.lit(1.0)))
+
+
 def utility_correlates(rows: DataFrame, features: list[str], target: str = "utility") -> DataFrame:
-    """Spearman's rank correlation of each feature with the target; null for a constant column. Ties get their mean rank."""
+    """Spearman's rank correlation of each feature with the target, with its two-sided p-value; both null for a constant
+    column. Ties get their mean rank."""
     out = None
     for f in features:
         ranked = rows.select(F.col(f).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
         ranked = ranked.join(mean_ranks(ranked, "x"), "x").join(mean_ranks(ranked, "y"), "y")
         one = ranked.agg(F.lit(f).alias("feature"), F.nanvl(F.corr("rx", "ry"), F.lit(None)).alias("rho"), F.count("*").alias("n"))
         out = one if out is None else out.unionAll(one)
-    return out
+    return out.select("feature", "rho", correlation_p(F.col("rho"), F.col("n")).alias("p"), "n")
 
 
 #: Bins of x in the isotonic fit.

@@ -789,7 +789,14 @@ def bootstrap_ci(spark, sf):
     return D.bootstrap_mean_difference(per, "a", "b").crossJoin(relative)  # one row each
 
 
-@query()
+def _tail_sql(start: str) -> str:
+    """The integral of cos(a) ** (n - 3) from start, by Simpson's rule, as in diagnostics.correlation_p."""
+    width = f"LEAST(LEAST(pi() / 2, 12 / sqrt(n)), pi() / 2 - {start})"
+    return f"{width} / {3 * D.P_STEPS} * list_sum(list_transform(range({D.P_STEPS + 1}), lambda i: CASE WHEN i IN (0, {D.P_STEPS}) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * pow(GREATEST(cos({start} + {width} * i / {D.P_STEPS}), 0), n - 3)))"
+
+
+@query(sql(f"""SELECT 'x' AS feature, rho, CASE WHEN n >= 3 AND rho IS NOT NULL THEN LEAST({_tail_sql("asin(LEAST(abs(rho), 1))")} / ({_tail_sql("0")}), 1) END AS p, n FROM (SELECT corr(rx, ry) AS rho, COUNT(*) AS n FROM
+(SELECT rank() OVER (ORDER BY x) + (COUNT(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY utility) + (COUNT(*) OVER (PARTITION BY utility) - 1) / 2.0 AS ry FROM reg))""", "feature:s rho:d p:d n:l", *BLEND, LSQ, REGIME))
 def spearman_correlates(spark, sf):
     return D.utility_correlates(_regime(spark, sf), ["x"])
 

@@ -173,6 +173,12 @@ def test_diagnostics(spark):
     rho = one(D.utility_correlates(planted, ["x"])).rho
     rx, ry = np.argsort(np.argsort(x)) + 1.0, np.where(u > 0, 0.5, -0.5)
     assert rho == pytest.approx(np.corrcoef(rx, ry)[0, 1], abs=1e-9)
+    # Student's t at its tabled points (the two-sided 5 % and 1 % points), and its closed forms for one and two degrees.
+    for t, df, p in [(2.228139, 10, 0.05), (3.169273, 10, 0.01), (1.983972, 100, 0.05), (1.0, 1, 0.5), (2.0, 2, 1 - 2 / np.sqrt(6))]:
+        pair = spark.createDataFrame([(-t / float(np.sqrt(df + t * t)), df + 2)], "rho double, n long")
+        assert one(pair.select(D.correlation_p(F.col("rho"), F.col("n")).alias("p"))).p == pytest.approx(p, abs=1e-6)
+    edges = spark.createDataFrame([(0.0, 9), (1.0, 9), (None, 9), (0.5, 2)], "rho double, n long")
+    assert [r.p for r in edges.select(D.correlation_p(F.col("rho"), F.col("n")).alias("p")).collect()] == [1.0, pytest.approx(0, abs=1e-12), None, None]
     pairs = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (None, 2.0)], "a double, b double")
     out = one(D.bootstrap_mean_difference(pairs, "a", "b", 200))
     assert (out.n, out.mean) == (2, 1.5) and 1 <= out.low <= out.high <= 2
