@@ -78,7 +78,10 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("byte", "short", "integer"):
             c = c.cast("long")
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            d = c.cast("double")
+            # Halves of the last place as they are in the product, like the SQL engine; round() goes by the shortest decimal.
+            near = F.signum(d) * F.floor(F.abs(d) * 1e6 + 0.5) / 1e6
+            c = F.when(F.abs(d) < 1e9, near).otherwise(F.round(d, 6)) + F.lit(0.0)
         out.append(c.alias(f.name))
     return df.select(out)
 
