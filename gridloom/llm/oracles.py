@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from gridloom.llm.licenses import TEMPLATES, WIDTH
 from gridloom.llm.line_dedup import ORACLE as LINE_DEDUP
+from gridloom.llm.mixing import ORACLE as MIX
+from gridloom.llm.repair import ORACLE as REPAIR
+from gridloom.llm.resampling import ORACLE as RESAMPLING
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM_WORDS = f"list_filter(string_split_regex({LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -50,4 +53,7 @@ ORACLES = {
     "op7_license_scan": LICENSES,
     "op8_ngram_jaccard_join": JACCARD,
     "op9_benchmark_decontamination": DECONTAMINATION,
+    "op11_source_mix": MIX,
+    "op12_conversation_repair": REPAIR,
+    "op13_importance_resampling": RESAMPLING,
 }

@@ -90,6 +90,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.repair import damage, digests
+
+    conversations = table(spark, sf_dir, "conversations")
+    return digests(damage(conversations), conversations)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.resampling import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -102,6 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_source_mix": op11_source_mix,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
