@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each works on all that the one before it kept.
 
 1. toxicity: documents that the classifier rejects go.
-2. line dedup: repeated passages go from the texts; a text that mostly repeats others is a copy, left to the next stage.
+2. line dedup: repeated passages go from all texts but the first that has them.
 3. near duplicates: one document of each group stays (five-word shingles, similarity 0.8).
 4. decontamination: benchmark passages are cut from the texts.
 5. packing: the documents become sequences of at most 4096 tokens.
@@ -23,8 +23,6 @@ from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.toxicity import fit, score
 
 REJECTED_FROM = 0.7
-#: A text of whose words so large a share repeats is a copy.
-COPIES_FROM = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs, copies_from=COPIES_FROM)
+    return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
