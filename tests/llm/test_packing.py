@@ -29,13 +29,35 @@ def test_plan_is_near_the_bound():
     assert plan({}) == []
 
 
+def special_tokens():
+    import json
+
+    with open(tokenizer_path()) as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 def test_pack_equals_the_tokenizer(spark):
+    """Ids (by their crc32), lengths and starts of every piece against the tokenizer on the whole text, with special tokens, in mixed case
+    too, cuts at 4096, and random joins of awkward parts."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    texts = [None, "", "Hello, world. It's 42!", "x " * 9001, "Äpfel ÉTÉ\n\n...", "same", "same", " \t "]
+    special = special_tokens()
+    assert special
+    rng = random.Random(0)
+    parts = [*special, *(t.lower() for t in special), *(t.title() for t in special), *(t.upper() for t in special), "Hello", "wORLD", " ", "  ", "\n", "\n\n", "\t", "It's", "42", "...", "ÉTÉ", "日本", "🙂", "a" * 50, "é", "\x00", "\u00a0", "<", ">", "|"]
+    texts = [None, "", "Hello, world. It's 42!", "x " * 9001, "Äpfel ÉTÉ\n\n...", "same", "same", " \t ", *parts, *("a" + t + "b" for t in special)]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(200)] + [" ".join(rng.choices(parts, k=9000))]
+    exact = next(n for n in range(4000, 4200) if len(whole.encode("x " * n, add_special_tokens=False).ids) == 4095)
+    texts += ["x " * exact, "x " * (exact + 1)]  # with the end token, 4096 and one more
     docs = spark.createDataFrame([(i if i != 5 else None, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, length string")
     rows = pack(docs, tokenizer_path()).collect()
+    expected = []
+    for i, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        expected += [(i if i != 5 else -1, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)]
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert found == sorted(expected) and max(p for _, p, *_ in found) > 1
     by_sequence = {}
     for r in rows:
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
