@@ -101,14 +101,12 @@ def without(lines: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, end(k) + 1, begin(k) - end(k)))), "\n")
 
 
-def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copies_from: float | None = None, count_columns: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, count_columns: bool = False) -> DataFrame:
     """docs with repeated passages removed from the texts; n_chars, if there, is counted anew.
 
     Chunks end after one line in mean_lines. Of all occurrences of a chunk, the one of least (doc_id, first line) stays, a null
     doc_id being the least of all, and so does each line that an occurrence has grown by: every line that goes has an equal
     line further up in this order, so none is lost from the whole. Runs of repeated lines of fewer than min_words words stay.
-    With copies_from, a text of whose words so large a share would go stays as it is: it is a copy, which is for the
-    detection of near duplicates to judge.
 
     Null and empty texts stay as they are; a text of which all lines go becomes
     empty; no row goes. Rows of the same doc_id and text count as one document and get the same result. With count_columns,
@@ -155,11 +153,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 2, min_words: int = 20, copie
 
     def enough(lines: Column) -> Column:
         words = lambda c: words_in(F.array_join(F.slice(lines, c["first"] + 1, c["n"]), "\n"))
-        kept_ = F.filter(FOUND, lambda c: words(c) >= min_words)
-        if copies_from is None:
-            return kept_
-        total = F.aggregate(kept_, F.lit(0), lambda a, c: a + words(c))
-        return F.when(total < copies_from * words_in(F.col("text")), kept_).otherwise(F.array().cast("array<struct<first:int,n:int>>"))
+        return F.filter(FOUND, lambda c: words(c) >= min_words)
 
     cut = let(lines_of(F.col("text")), lambda lines: let(enough(lines), lambda g: F.struct(without(lines, g).alias("text"), F.size(g).alias("runs"), F.aggregate(g, F.lit(0), lambda a, c: a + c["n"]).alias("n"))))
     result = result.withColumn(FOUND, F.when(F.col(FOUND).isNotNull(), cut))

@@ -32,7 +32,7 @@ def words(text):
     return len(re.findall(r"[^\x09-\x0D ]+", text))
 
 
-def brute(rows, mean=2, min_words=20, copies_from=None):
+def brute(rows, mean=2, min_words=20):
     """rows: distinct (doc_id, text). (doc_id, text) -> new text."""
     raw = {r: lines_of(r[1]) for r in rows if r[1] is not None}
     docs = raw
@@ -74,17 +74,15 @@ def brute(rows, mean=2, min_words=20, copies_from=None):
         for run in runs:
             if words("\n".join(raw[r][i] for i in run)) >= min_words:
                 removed += run
-        if copies_from is not None and sum(words(raw[r][i]) for i in removed) >= copies_from * words(r[1]):
-            removed = []
         result[r] = "\n".join(x for i, x in enumerate(raw[r]) if i not in set(removed))
     return result
 
 
-def check(spark, rows, mean=2, min_words=20, copies_from=None):
+def check(spark, rows, mean=2, min_words=20):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, hash string")
-    got = dedup_lines(docs, mean, min_words, copies_from)
+    got = dedup_lines(docs, mean, min_words)
     assert got.columns == docs.columns and got.dtypes == docs.dtypes
-    expected = brute({(r[0], r[1]) for r in rows}, mean, min_words, copies_from)
+    expected = brute({(r[0], r[1]) for r in rows}, mean, min_words)
     out = got.collect()
     want = sorted(((d, expected.get((d, t)) if t is not None else None, h) for d, t, _, h in rows), key=repr)
     assert sorted(((r.doc_id, r.text, r.hash) for r in out), key=repr) == want
@@ -110,7 +108,7 @@ def passage(rng, many):
 
 
 def test_planted_passages_go_and_clean_texts_stay(spark):
-    """Passages of over 50 words, in several documents each, between texts of their own; and near copies, left as they are."""
+    """Passages of over 50 words, in several documents each, between texts of their own; and copies, of which the first stays."""
     rng = random.Random(11)
     passages = [passage(rng, 51) for _ in range(40)]
     rows, where = [], []
@@ -121,7 +119,7 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
         where.append(k)
     base = passage(rng, 300)
     copies = [(1000 + k, base if k < 3 else base.replace(base.split(" ")[10 * k], "changed"), None, "c") for k in range(6)]
-    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows + copies, "doc_id long, text string, n_chars int, hash string"), copies_from=0.5).collect()}
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows + copies, "doc_id long, text string, n_chars int, hash string")).collect()}
     first, total, gone = set(), 0, 0
     for (doc, text, *_), k in zip(rows, where, strict=True):
         if k >= 40 or k not in first:
@@ -131,7 +129,20 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
             total += 1
             gone += out[doc] == text.replace(passages[k], "")
     assert total > 30 and gone >= 0.97 * total
-    assert all(out[d] == t for d, t, *_ in copies)
+    assert out[1000] == base and out[1001] == out[1002] == ""
+    assert all("changed" in out[1000 + k] and words(out[1000 + k]) < 0.5 * words(base) for k in range(3, 6))
+
+
+def test_a_text_stitched_from_others_loses_what_they_have(spark):
+    rng = random.Random(5)
+    parts = [passage(rng, 300) for _ in range(3)]
+    rows = [(k, passage(rng, 60) + "\n" + p + "\n" + passage(rng, 60), None, "x") for k, p in enumerate(parts)]
+    taken = ["\n".join(p.split("\n")[: len(p.split("\n")) * 2 // 3]) for p in parts]
+    own = passage(rng, sum(map(words, taken)) * 2 // 3)  # so three fifths of the text are of others
+    rows.append((9, "\n".join([*taken, own]), None, "x"))
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_chars int, hash string")).collect()}
+    assert all(out[k] == rows[k][1] for k in range(3))
+    assert own in out[9] and words(out[9]) <= words(own) + 20 and not any(t in out[9] for t in taken)
 
 
 def test_keys_of_null_ids_and_of_ids_within_texts(spark):
@@ -158,7 +169,7 @@ def test_edges(spark):
     out = {r.hash: r for r in check(spark, rows)}
     assert out["n"].text == body and out["e"].text == out["f"].text == "" and out["g"].text == out["h"].text == "single"
     assert out["i"].n_chars == 1 and out["a"].text is None
-    check(spark, rows, copies_from=0.5)
+    check(spark, rows)
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string, n_chars int, hash string")).count() == 0
 
 

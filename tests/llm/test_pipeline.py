@@ -1,5 +1,11 @@
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from gridloom.llm.common import shared_dir
+from gridloom.llm.queries import tokenizer_path
 from tests.conftest import SF
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_line_dedup import brute as deduplicated
@@ -19,7 +25,7 @@ def test_stages_against_plain_versions(spark):
     assert gone and all(labels.get(i, 1) == 1 for i in gone)
 
     lines = steps["line dedup"](spark, clean, SF).checkpoint()
-    expected = deduplicated({(r.doc_id, r.text) for r in clean.collect()}, copies_from=0.5)
+    expected = deduplicated({(r.doc_id, r.text) for r in clean.collect()})
     assert {r.doc_id: r.text for r in lines.collect()} == {i: t for (i, _), t in expected.items()}
     assert all(r.n_chars == len(r.text) for r in lines.collect())
 
@@ -33,7 +39,10 @@ def test_stages_against_plain_versions(spark):
     assert not any(r[-1] for r in contaminated([(r.doc_id, r.text) for r in cut.collect()], bench))
 
     packed = steps["best-fit packing"](spark, cut, SF)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    expected = [(r.doc_id, [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in cut.collect()]
+    pieces = [(i, k // 4096, k, ids[k : k + 4096]) for i, ids in expected for k in range(0, len(ids), 4096)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect()) == sorted((i, p, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, p, s, x in pieces)
 
 
 def test_run_is_the_stages(spark):
