@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.draws import poisson_counts, scrambled
+from gridloom.sources.staging import discard, stage
+
 
 def oracle_rescale(rows: DataFrame, value: str = "r", truth: str = "y") -> DataFrame:
     """Per window the least-squares line from value to truth, and the truth's mean where the value is constant: columns of
@@ -101,21 +107,31 @@ def constrained_best(grid: DataFrame, slack: float = 1.02) -> DataFrame:
     return grid.join(F.broadcast(limit)).where(F.col("mae") <= slack * F.col("best")).orderBy("mse", "name", "k", "w").limit(1).drop("best")
 
 
-def _poisson_counts(rows: DataFrame, n_boot: int, seed: int) -> DataFrame:
-    """rows for each resample k, with c: a uniform number from each row and resample, turned into a Poisson(1) count by its
-    distribution function."""
-    drawn = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "row", "k"), F.lit(1 << 52)) / float(1 << 52)
-    steps = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 9)]))
-    return drawn.withColumn("c", sum((F.when(u > float(s), 1).otherwise(0) for s in steps), F.lit(0)))
+#: So many distinct rows are drawn for at a time.
+CHUNK = 1024
 
 
 def _resampled(rows: DataFrame, columns: list[str], n_boot: int, seed: int) -> np.ndarray:
-    """Means of the columns in each resample, one row each: rows drawn with Poisson(1) counts, which is the bootstrap for any
-    number of rows, summed where the rows are. The same at every size."""
-    drawn = _poisson_counts(rows, n_boot, seed)
-    sums = drawn.groupBy("k").agg(*(F.try_divide(F.sum(F.col(c) * F.col("c")), F.sum("c")).alias(c) for c in columns)).toArrow()  # n_boot rows
-    return np.stack([sums.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+    """Means of the columns in each resample, one row each. Equal rows are counted first; a row that is there c times is drawn Poisson(c)
+    times, by a generator that counts up from the row's values, so the same rows have the same resamples however they are partitioned.
+    A task keeps one sum a resample and column."""
+    cells = rows.groupBy(*columns).agg(F.count("*").alias("times")).withColumn("key", F.xxhash64(*columns))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_boot, 1 + len(columns)))
+        for batch in batches:
+            values = np.stack([np.ones(batch.num_rows), *(batch.column(c).to_numpy(zero_copy_only=False) for c in columns)], 1)
+            keys, times = batch.column("key").to_numpy().view(np.uint64), batch.column("times").to_numpy()
+            for at in range(0, batch.num_rows, CHUNK):
+                part = slice(at, at + CHUNK)
+                total += poisson_counts(keys[part], times[part], n_boot, seed).T @ values[part]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *(pa.array(x) for x in total.T)], names=["k", "w", *(f"s{i}" for i in range(len(columns)))])
+
+    names = ["w", *(f"s{i}" for i in range(len(columns)))]
+    sums = cells.mapInArrow(add, "k long, " + ", ".join(f"{c} double" for c in names)).groupBy("k").agg(*(F.sum(c).alias(c) for c in names)).toArrow().sort_by("k")  # n_boot rows
+    w, *found = (sums.column(c).to_numpy() for c in names)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.stack([np.where(w > 0, s / w, np.nan) for s in found], 1) if len(w) else np.full((n_boot, len(columns)), np.nan)
 
 
 def _finite(c: Column) -> Column:
@@ -221,62 +237,136 @@ def utility_correlates(rows: DataFrame, features: list[str], target: str = "util
     return out.select("feature", "rho", correlation_p(F.col("rho"), F.col("n")).alias("p"), "n")
 
 
-#: Bins of x in the isotonic fit.
-BINS = 10_000
-
-
-def isotonic_crossing(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
-    """From (x, utility): where the isotonic fit of P(utility > 0) first reaches one half, by interpolation, with a bootstrap
-    interval if enough resamples cross. None for fewer than 20 rows. Equal x are averaged first; the fit runs on the driver
-    over at most BINS bins of x, exact while there are no more distinct values. Beyond, bins have equal width and their mean x."""
-    known = rows.agg(F.count_distinct("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
-    x = F.col("x")
-    if known["n"] > BINS:
-        width = (known["high"] - known["low"]) / BINS
-        number = F.least(F.floor((F.col("x") - known["low"]) / width), F.lit(BINS - 1))
-        rows = rows.select("x", "utility", number.alias("bin"))
-        x = F.col("bin")
-    binned = rows.groupBy(x.alias("group")).agg(F.avg("x").alias("mean_x"), F.min("x").alias("least"), F.sum((F.col("utility") > 0).cast("double")).alias("wins"), F.count("*").alias("n")).orderBy("group").toArrow()
-    x, wins, n = (binned.column(c).to_numpy() for c in ("mean_x" if known["n"] > BINS else "least", "wins", "n"))
-    if n.sum() < 20:
-        return None
-    rng = np.random.default_rng(seed)
-    crossings = []
-    for _ in range(n_boot):
-        drawn = rng.multinomial(int(n.sum()), n / n.sum())
-        won = rng.binomial(drawn, wins / n)
-        kept = drawn > 0
-        if (c := _crossing(x[kept], won[kept] / drawn[kept], drawn[kept])) is not None:
-            crossings.append(c)
-    enough = len(crossings) >= max(20, n_boot // 10)
-    low, high = np.quantile(crossings, [0.025, 0.975]) if enough else (None, None)
-    return {"crossing": _crossing(x, wins / n, n), "low": low, "high": high, "n": int(n.sum())}
-
-
-def pool_adjacent(y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The nondecreasing fit of y with weights w."""
-    blocks: list[list[float]] = []
-    for value, weight in zip(y, w, strict=True):
-        blocks.append([float(value), float(weight), 1])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b = blocks.pop()
-            a = blocks[-1]
-            a[0], a[1], a[2] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]
-    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
-
-
-def _crossing(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
-    """Where the nondecreasing fit passes one half between two of the x; None if it is never below or never reaches it."""
-    fit = pool_adjacent(y, w)
-    below = int((fit < 0.5).sum())  # all of these come first
-    if below in (0, len(fit)):
+#: Ranges of x at most in the isotonic fit, values of x a range is meant to have, and values from which the ranges' edges are chosen.
+RANGES, RANGE_SIZE, SAMPLE = 256, 2048, 4096
+
+
+@dataclass(frozen=True)
+class _Crossing:
+    """Where the nondecreasing fit of P(win) passes one half, for the data and all resamples at once.
+
+    The fit lies below one half for just the values of x up to the first at which the running sum of wins less losses is least. Its height
+    there is the greatest mean of the wins over any stretch that ends there, and its height after it the least over any that begins
+    there. Sums and minima of ranges of x add up, so each range is read twice, and the driver sees some figures a range and resample."""
+
+    n_boot: int
+    seed: int
+
+    def drawn(self, table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks of a range in order of x: x, wins and numbers of rows, for the data (column 0) and the resamples."""
+        table = table.sort_by("x")
+        x, wins, n = (table.column(c).to_numpy() for c in ("x", "wins", "n"))
+        keys = scrambled(x.view(np.uint64))
+        for at in range(0, len(x), CHUNK):
+            part = slice(at, at + CHUNK)
+            won = np.column_stack([wins[part], poisson_counts(keys[part], wins[part], self.n_boot, self.seed)])
+            lost = np.column_stack([n[part] - wins[part], poisson_counts(~keys[part], n[part] - wins[part], self.n_boot, self.seed)])
+            yield x[part], won, won + lost
+
+    def summary(self, table: pa.Table) -> pa.Table:
+        """Of a range, for each resample: rows, wins and the first x with rows; the least running sum of wins less losses, with the rows, the
+        wins and x up to there, and the first x with rows after it."""
+        size = self.n_boot + 1
+        rows, wins, least = np.zeros(size), np.zeros(size), np.full(size, np.inf)
+        first, at, after = (np.full(size, np.nan) for _ in range(3))
+        rows_at, wins_at = np.zeros(size), np.zeros(size)
+        columns = np.arange(size)
+        for x, won, n in self.drawn(table):
+            w, c = rows + np.cumsum(n, 0), wins + np.cumsum(won, 0)
+            there = n > 0
+            some, start = there.any(0), x[there.argmax(0)]
+            first = np.where(np.isnan(first) & some, start, first)
+            after = np.where(np.isnan(after) & some, start, after)  # of a minimum before this chunk
+            level = 2 * c - w
+            k = level.argmin(0)
+            lower = level[k, columns] < least
+            later = there & (np.arange(len(x))[:, None] > k)
+            following = np.where(later.any(0), x[later.argmax(0)], np.nan)
+            least, at = np.where(lower, level[k, columns], least), np.where(lower, x[k], at)
+            rows_at, wins_at = np.where(lower, w[k, columns], rows_at), np.where(lower, c[k, columns], wins_at)
+            after = np.where(lower, following, after)
+            rows, wins = w[-1], c[-1]
+        names = ("rows", "wins", "first", "least", "at", "rows_at", "wins_at", "after")
+        bucket = pa.array(np.full(size, table.column("bucket")[0].as_py()), pa.int32())
+        return pa.table([bucket, pa.array(columns), *(pa.array(v) for v in (rows, wins, first, least, at, rows_at, wins_at, after))], names=["bucket", "k", *names])
+
+    def heights(self, table: pa.Table, before: dict[int, np.ndarray], place: np.ndarray, rows_at: np.ndarray, wins_at: np.ndarray) -> pa.Table:
+        """Of a range, for each resample: the greatest mean over a stretch from here to the place, and the least from after it to here.
+        `before` has the rows and wins of the ranges before each."""
+        rows, wins = before[table.column("bucket")[0].as_py()]
+        low, high = np.full(len(place), -np.inf), np.full(len(place), np.inf)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for x, won, n in self.drawn(table):
+                w, c = rows + np.cumsum(n, 0), wins + np.cumsum(won, 0)
+                mean = (c - wins_at) / (w - rows_at)
+                starts = np.vstack([rows, w[:-1]]), np.vstack([wins, c[:-1]])
+                until = (wins_at - starts[1]) / (rows_at - starts[0])
+                low = np.maximum(low, np.where((x[:, None] <= place) & (starts[0] < rows_at), until, -np.inf).max(0))
+                high = np.minimum(high, np.where((x[:, None] > place) & (w > rows_at), mean, np.inf).min(0))
+                rows, wins = w[-1], c[-1]
+        return pa.table({"k": pa.array(np.arange(len(place))), "low": pa.array(low), "high": pa.array(high)})
+
+    def found(self, cells: DataFrame) -> np.ndarray:
+        """From cells (bucket, x, wins, n), the crossing for the data and each resample; not a number where the fit is nowhere below one half, or nowhere above."""
+        size = self.n_boot + 1
+        schema = "bucket int, k long, rows double, wins double, first double, least double, at double, rows_at double, wins_at double, after double"
+        table = cells.groupBy("bucket").applyInArrow(lambda t: self.summary(t), schema).toArrow().sort_by([("bucket", "ascending"), ("k", "ascending")])  # RANGES * (n_boot + 1) rows at most
+        buckets = table.column("bucket").to_numpy()[::size].tolist()
+        of = {c: table.column(c).to_numpy().reshape(-1, size) for c in table.column_names[2:]}
+        rows, wins = (np.vstack([np.zeros(size), np.cumsum(of[c], 0)[:-1]]) for c in ("rows", "wins"))
+        level = 2 * wins - rows + of["least"]
+        b, k = level.argmin(0), np.arange(size)
+        place, rows_at, wins_at = of["at"][b, k], (rows + of["rows_at"])[b, k], (wins + of["wins_at"])[b, k]
+        # The next x with rows: in the same range, or the first of a later one.
+        following = np.full((len(buckets) + 1, size), np.nan)
+        for i in range(len(buckets) - 1, -1, -1):
+            following[i] = np.where(np.isnan(of["first"][i]), following[i + 1], of["first"][i])
+        after = np.where(np.isnan(of["after"][b, k]), following[b + 1, k], of["after"][b, k])
+        known = (level[b, k] < 0) & ~np.isnan(after)
+        before = {bucket: np.stack([rows[i], wins[i]]) for i, bucket in enumerate(buckets)}
+        heights = lambda t: self.heights(t, before, place, rows_at, wins_at)
+        both = cells.groupBy("bucket").applyInArrow(heights, "k long, low double, high double").groupBy("k").agg(F.max("low").alias("low"), F.min("high").alias("high")).toArrow().sort_by("k")
+        low, high = (both.column(c).to_numpy() for c in ("low", "high"))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(known, place + (0.5 - low) / (high - low) * (after - place), np.nan)
+
+
+def _by_range(cells: DataFrame) -> DataFrame:
+    """cells (x, wins, n) with `bucket`, a range of x: the edges come from a bounded sample of the values, drawn by hash."""
+    ranges = min(RANGES, -(-cells.count() // RANGE_SIZE))
+    sample = sorted(r["x"] for r in cells.select("x").orderBy(F.xxhash64("x")).limit(SAMPLE).collect())  # at most SAMPLE values
+    edges = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)})
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("x"))) if edges else F.lit(0)
+    return cells.withColumn("bucket", bucket.cast("int"))
+
+
+def isotonic_crossing(rows: DataFrame, n_boot: int = 1000, seed: int = 0) -> dict | None:
+    """From (x, utility): where the isotonic fit of P(utility > 0) first reaches one half, by interpolation (None if it doesn't), with a
+    percentile interval if enough of n_boot resamples cross, and the share of wins and number of rows below and from the crossing on;
+    without one, of the median. None for fewer than 20 rows. Rows without x or utility are left out.
+
+    Exact for any number of distinct x: no binning, and no fit in one place."""
+    cells = rows.where(_finite(F.col("x")) & F.col("utility").isNotNull()).select((F.col("x").cast("double") + 0.0).alias("x"), (F.col("utility") > 0).cast("long").alias("win"))
+    cells = stage(cells.groupBy("x").agg(F.sum("win").alias("wins"), F.count("*").alias("n")), "crossing")
+    n = cells.agg(F.sum("n")).first()[0] or 0
+    if n < 20:
+        discard(cells)
         return None
-    return float(np.interp(0.5, fit[below - 1 : below + 1], x[below - 1 : below + 1]))
-
-
-def band(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
-    """Lower edge from the crossing over x and upper edge from that over -x, with their intervals. An edge that isn't reached
-    is None; so is the upper one if it isn't above the lower. None for fewer than 20 rows."""
+    point, *resamples = _Crossing(n_boot, seed).found(_by_range(cells))
+    crossings = np.array(resamples)[np.isfinite(resamples)]
+    low, high = np.quantile(crossings, [0.025, 0.975]) if len(crossings) >= max(20, n_boot // 10) else (None, None)
+    point = float(point) if np.isfinite(point) else None
+    split = F.lit(point) if point is not None else F.lit(cells.agg(F.percentile("x", F.lit(0.5), F.col("n"))).first()[0])
+    below = F.col("x") < split
+    total = lambda c, side: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
+    sides = cells.agg(total("n", below).alias("n_below"), total("n", ~below).alias("n_above"), F.try_divide(total("wins", below), total("n", below)).alias("win_rate_below"), F.try_divide(total("wins", ~below), total("n", ~below)).alias("win_rate_above")).first()
+    discard(cells)
+    return {"crossing": point, "low": low, "high": high, "n": int(n)} | sides.asDict()
+
+
+def band(rows: DataFrame, n_boot: int = 1000, seed: int = 0) -> dict | None:
+    """Lower edge from the crossing over x and upper edge from that over -x, with their intervals, and the share of wins inside (both edges
+    included) and outside. An edge that isn't reached is None; so is the upper one if it isn't above the lower. None for fewer than 20 rows."""
     lower = isotonic_crossing(rows, n_boot, seed)
     upper = isotonic_crossing(rows.withColumn("x", -F.col("x")), n_boot, seed + 1)
     if lower is None or upper is None:
@@ -285,10 +375,19 @@ def band(rows: DataFrame, n_boot: int = 200, seed: int = 0) -> dict | None:
     if edge is not None and lower["crossing"] is not None and edge <= lower["crossing"]:
         edge = None
     interval = edge is not None and upper["low"] is not None
+    inside = F.lit(True)
+    if lower["crossing"] is not None:
+        inside = inside & (F.col("x") >= lower["crossing"])
+    if edge is not None:
+        inside = inside & (F.col("x") <= edge)
+    win = (F.col("utility") > 0).cast("double")
+    sides = rows.where(_finite(F.col("x")) & F.col("utility").isNotNull()).agg(
+        F.avg(F.when(inside, win)).alias("win_rate_inside"), F.avg(F.when(~inside, win)).alias("win_rate_outside"), F.count_if(inside).alias("n_inside"), F.count_if(~inside).alias("n_outside")
+    )
     return {
         "low": lower["crossing"], "low_from": lower["low"], "low_to": lower["high"],
         "high": edge, "high_from": -upper["high"] if interval else None, "high_to": -upper["low"] if interval else None, "n": lower["n"],
-    }
+    } | sides.first().asDict()
 
 
 def spread_against_error(rows: DataFrame) -> DataFrame:

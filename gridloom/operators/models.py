@@ -1,63 +1,79 @@
-"""Trained pieces: the gate and a tree baseline, by Spark's own learners."""
+"""Trained pieces: the gate between backbone and retrieval, and a tree baseline, by the boosted trees of this package."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.arrays import clip_low
+from gridloom.operators.boosting import Model, Settings, fit
+from gridloom.operators.diagnostics import mean_ranks
 from gridloom.operators.features import FEATURE_COLUMNS, training_rows
+from gridloom.sources.staging import discard, stage
 
 GATE_FEATURES = ("nn_dist", "disagreement", "zero_fraction", "log_volume", "quantile_width", "scale_spread")
+GATE = Settings("logistic", rounds=200, leaves=15, rate=0.05, min_rows=50)
+#: Sales of intermittent demand: Tweedie deviance; each tree sees four fifths of the rows and features.
+BASELINE = Settings("tweedie", rounds=200, leaves=31, rate=0.05, min_rows=20, power=1.1, row_share=0.8, feature_share=0.8, seed=42)
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """rows computed once, with their plan cut off: training reads them many times. Cached where there is no shared folder."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-
-
-def fit_gate(rows: DataFrame, features: tuple[str, ...] = GATE_FEATURES, rounds: int = 200, min_rows: int = 50) -> PipelineModel | float:
+def fit_gate(rows: DataFrame, features: tuple[str, ...] = GATE_FEATURES, rounds: int = 200, min_rows: int = 50) -> Model | float:
     """A classifier of label (1: retrieval is better) on gate features; with one label only, that label's constant."""
-    rows = _settled(rows.select("label", *features))
+    rows = stage(rows.select("label", *features), "gate-rows")
     rates = rows.agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
-    if rates["low"] == rates["high"]:
-        return float(rates["low"] or 0)
-    trees = GBTClassifier(labelCol="label", featuresCol="x", maxIter=rounds, maxDepth=4, stepSize=0.05, minInstancesPerNode=min_rows, seed=0)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), trees]).fit(rows)
+    found = float(rates["low"] or 0) if rates["low"] == rates["high"] else fit(rows, list(features), "label", replace(GATE, rounds=rounds, min_rows=min_rows))
+    discard(rows)
+    return found
 
 
-def gate_weight(gate: PipelineModel | float, rows: DataFrame) -> DataFrame:
-    """id and weight: the probability that retrieval is better."""
+def gate_weight(gate: Model | float, rows: DataFrame) -> DataFrame:
+    """id and weight: the probability that retrieval is better. The gate may come from another panel: only its features' names count."""
     if isinstance(gate, float):
         return rows.select("id", F.lit(gate).alias("weight"))
-    return gate.transform(rows).select("id", vector_to_array("probability")[1].alias("weight"))
+    return gate.predict(rows, "weight").select("id", "weight")
 
 
-def gate_quality(gate: PipelineModel, rows: DataFrame) -> dict[str, float]:
-    """AUC, accuracy, Brier score and the majority's share on other rows."""
-    scored = gate.transform(rows).withColumn("p", vector_to_array("probability")[1])
-    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability").evaluate(scored)
+def gate_quality(gate: Model | float, rows: DataFrame) -> dict[str, float | None]:
+    """AUC (None with one label only), accuracy, Brier score and the majority's share on other rows (id, label, features)."""
+    scored = rows.select("id", "label").join(gate_weight(gate, rows), "id").select(F.col("label").cast("double").alias("label"), F.col("weight").alias("p"))
+    ranked = scored.join(mean_ranks(scored, "p"), "p")
     y, p = F.col("label"), F.col("p")
-    one = scored.agg(F.avg(((p >= 0.5).cast("int") == y).cast("double")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("rate")).first()
-    return {"auc": auc, "accuracy": one["accuracy"], "brier": one["brier"], "majority": max(one["rate"], 1 - one["rate"])}
-
-
-def gate_summary(weights: DataFrame) -> DataFrame:
-    return weights.agg(F.avg("weight").alias("mean"), F.stddev_pop("weight").alias("sd"), F.avg((F.col("weight") < 0.5).cast("double")).alias("backbone_share"))
-
-
-def gbt_forecast(frame: DataFrame, train_end: int, horizon: int, rounds: int = 200, max_depth: int = 5) -> DataFrame:
-    """Direct forecast by gradient-boosted trees on the feature columns; missing values are -1, forecasts at least zero.
-    It minimises squared error; other losses need another learner."""
-    filled = frame.select("id", "day_idx", "sales", *(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURE_COLUMNS), F.col("lag_28").isNotNull().alias("known"))
-    assembler = VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol="x")
-    train = assembler.transform(training_rows(frame.select("day_idx", "lag_28", "id"), train_end).select("id", "day_idx").join(filled, ["id", "day_idx"]))
-    model = GBTRegressor(labelCol="sales", featuresCol="x", maxIter=rounds, maxDepth=max_depth, stepSize=0.05, seed=0).fit(_settled(train.select("sales", "x")))
-    future = filled.where(F.col("day_idx").between(train_end + 1, train_end + horizon))
-    return model.transform(assembler.transform(future)).select("id", "day_idx", clip_low(F.col("prediction")).alias("y_pred"))
+    one = ranked.agg(F.avg(((p >= 0.5).cast("double") == y).cast("double")).alias("accuracy"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(y).alias("rate"), F.sum(y).alias("ones"), F.count("*").alias("n"), F.sum(F.when(y == 1, F.col("rp"))).alias("ranks")).first()
+    pairs = (one["ones"] or 0) * (one["n"] - (one["ones"] or 0))
+    auc = (one["ranks"] - one["ones"] * (one["ones"] + 1) / 2) / pairs if pairs else None
+    return {"auc": auc, "accuracy": one["accuracy"], "brier": one["brier"], "majority": max(one["rate"], 1 - one["rate"]) if one["n"] else None}
+
+
+def gate_summary(weights: DataFrame, features: DataFrame | None = None, names: tuple[str, ...] = GATE_FEATURES) -> DataFrame:
+    """One row: mean and population deviation of the weights and the share below one half; with features (id, ...), also the correlation of
+    the weight with each, null for a constant one."""
+    figures = [F.avg("weight").alias("mean"), F.stddev_pop("weight").alias("sd"), F.avg((F.col("weight") < 0.5).cast("double")).alias("backbone_share")]
+    if features is None:
+        return weights.agg(*figures)
+    both = weights.select("id", "weight").join(features.select("id", *names), "id")
+    return both.agg(*figures, *(F.nanvl(F.corr("weight", c), F.lit(None)).alias(f"corr_{c}") for c in names))
+
+
+def ablations(train: DataFrame, test: DataFrame, features: tuple[str, ...] = GATE_FEATURES, rounds: int = 200, min_rows: int = 50) -> DataFrame:
+    """How good the gate is on other rows with all features and without each: dropped (null for none), auc, accuracy, brier, majority. The
+    rows are computed once; one gate is fitted for each feature."""
+    spark = train.sparkSession
+    train, test = stage(train.select("label", *features), "ablation-train"), stage(test.select("id", "label", *features), "ablation-test")
+    out = []
+    for dropped in (None, *features):
+        kept = tuple(f for f in features if f != dropped)
+        found = gate_quality(fit_gate(train, kept, rounds, min_rows), test)
+        out.append((dropped, *(None if v is None else float(v) for v in found.values())))
+    discard(train, test)
+    return spark.createDataFrame(out, "dropped string, auc double, accuracy double, brier double, majority double")
+
+
+def gbt_forecast(frame: DataFrame, train_end: int, horizon: int, rounds: int = 200, settings: Settings = BASELINE) -> DataFrame:
+    """Direct forecast by boosted trees on the feature columns, fitted on days up to train_end whose lags are known; missing features are
+    -1, forecasts at least zero."""
+    train = training_rows(frame, train_end).select("sales", *FEATURE_COLUMNS)
+    model = fit(train, list(FEATURE_COLUMNS), "sales", replace(settings, rounds=rounds))
+    future = frame.where(F.col("day_idx").between(train_end + 1, train_end + horizon)).select("id", "day_idx", *FEATURE_COLUMNS)
+    return model.predict(future).select("id", "day_idx", clip_low(F.col("prediction")).alias("y_pred"))

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.arrays import dot, l2_normalise, scale_params, squared_l2, standardise
+from gridloom.functions.draws import permuted
+from gridloom.sources.staging import stage
+
+#: Series whose windows are counted one after the other in random_choice().
+SERIES_A_PART = 100_000
 
 FILTERS = ("store_id", "cat_id", "dept_id", "seasonal")
 
@@ -249,9 +254,193 @@ def seasonal(queries: DataFrame, candidates: DataFrame, k: int, season: int, hor
     return chosen.select(F.col("sid").alias("qid"), "sid", "t_r", (F.col("rank") + 1).alias("rank"))
 
 
-def random_choice(queries: DataFrame, candidates: DataFrame, k: int, horizon: int, seed: int, on: list[str]) -> DataFrame:
-    """k legal candidates of each query, uniform without replacement: those of least hash of seed, origin, query and
-    candidate. Reported in order of candidate."""
-    pairs = candidates.join(queries, on).where(F.col("t_r") + horizon < F.col("origin"))
-    drawn = rank_within(pairs.withColumn("draw", F.xxhash64(F.lit(seed), "origin", "qid", "cand_id")), "qid", [F.col("draw"), F.col("cand_id")], k)
-    return drawn.drop("draw").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("cand_id")))
+def random_choice(queries: DataFrame, series: DataFrame, k: int, context: int, horizon: int, train_end: int, stride: int, seed: int, on: list[str]) -> DataFrame:
+    """k legal windows (all, if there are fewer) of series (id, ys, ...) for each query (qid, origin, ...), uniform without replacement among
+    the series that agree with it in the columns `on`: qid, rank, sid, t_r, in the order of sid and t_r. Null keys agree with nothing.
+
+    No pair is formed. A series' legal windows are counted; the counts are added up, so that each has a place; a seeded permutation of the
+    places draws k of them, and a place is turned into its series by the block of places that it lies in, and into t_r by its rest."""
+    last = F.least(F.lit(train_end), F.size("ys")) - horizon
+    pool = series.select(*on, F.col("id").cast("long").alias("sid"), last.alias("last"))
+    groups = queries.select(*on, F.col("origin").cast("int").alias("origin")).distinct()
+    # The strict guard: t_r + horizon < origin.
+    until = F.least(F.col("last"), F.col("origin") - horizon - 1)
+    counted = pool.join(groups, on).withColumn("n", F.when(until >= context, F.floor((until - context) / stride) + 1).otherwise(0).cast("long")).where("n > 0").drop("last")
+    group = [*on, "origin"]
+    # Sums run within parts of a group, which are placed one after the other; a part's series are drawn by hash.
+    parts = counted.groupBy(*group).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.ceil(F.count("*") / SERIES_A_PART).cast("int").alias("parts"))
+    counted = counted.join(parts, group).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    sizes = counted.groupBy(*group, "part").agg(F.sum("n").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    counted = counted.join(sizes.select(*group, "part", before.alias("before")), [*group, "part"])
+    own = F.coalesce(F.sum("n").over(Window.partitionBy(*group, "part").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.withColumn("first", F.col("before") + own)
+    # A block has `most` places, so a series lies in two at most.
+    in_block = F.explode(F.sequence(F.floor(F.col("first") / F.col("most")), F.floor((F.col("first") + F.col("n") - 1) / F.col("most"))))
+    placed = placed.select(*group, "sid", "first", "n", in_block.alias("block"))
+    asked = queries.select("qid", *on, F.col("origin").cast("int").alias("origin")).join(parts, group)
+    asked = asked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("total")) - 1)))
+    asked = asked.withColumn("place", permuted(F.col("draw").cast("long"), F.col("total"), seed, F.col("qid"), F.col("origin"))).withColumn("block", F.floor(F.col("place") / F.col("most")))
+    found = asked.join(placed, [*group, "block"]).where((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n")))
+    t_r = (context + stride * (F.col("place") - F.col("first"))).cast("int")
+    drawn = found.select("qid", "sid", t_r.alias("t_r"))
+    return drawn.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("sid", "t_r"))).select("qid", "rank", "sid", "t_r")
+
+
+# Search with pruning --------------------------------------------------------------------------------------------
+
+#: Pieces of a vector whose means are kept; vectors a block is meant to have; blocks at most; vectors from which their shape is learned.
+PIECES, BLOCK_SIZE, MOST_BLOCKS, SAMPLE = 8, 1024, 1024, 8192
+
+
+def outline(vectors: np.ndarray) -> np.ndarray:
+    """A few numbers for each vector, whose distance is never above the vectors' own: the means of PIECES pieces, times the root of their
+    length, and the length of what the means leave."""
+    pieces = np.array_split(np.arange(vectors.shape[1]), min(PIECES, vectors.shape[1]))
+    means = np.stack([vectors[:, p].mean(1) * np.sqrt(len(p)) for p in pieces], 1)
+    rest = np.sqrt(np.maximum((vectors * vectors).sum(1) - (means * means).sum(1), 0.0))
+    return np.column_stack([means, rest])
+
+
+def space_tree(sample: np.ndarray, blocks: int) -> list[tuple[int, int, float]]:
+    """Cuts (block, coordinate, value) that divide a sample into `blocks` parts, the largest first at the middle of its widest
+    coordinate: points of the block above the value get the next free number. Fewer, where points can't be told apart."""
+    parts, cuts, whole = {0: sample}, [], set()
+    while len(parts) < blocks and len(whole) < len(parts):
+        b = max((k for k in parts if k not in whole), key=lambda k: len(parts[k]))
+        points = parts[b]
+        axis = int(np.argmax(points.max(0) - points.min(0))) if len(points) else 0
+        value = float(np.median(points[:, axis])) if len(points) else 0.0
+        above = points[:, axis] > value if len(points) else np.zeros(0, bool)
+        if len(points) and not above.any():  # half of them or more are the greatest: cut below those
+            lower = points[points[:, axis] < value, axis]
+            value = float(lower.max()) if len(lower) else value
+            above = points[:, axis] > value
+        if not above.any():
+            whole.add(b)
+            continue
+        cuts.append((b, axis, value))
+        parts[len(parts)], parts[b] = points[above], points[~above]
+    return cuts
+
+
+def block_of(points: np.ndarray, cuts: list[tuple[int, int, float]]) -> np.ndarray:
+    out = np.zeros(len(points), np.int32)
+    for k, (b, axis, value) in enumerate(cuts):
+        out[(out == b) & (points[:, axis] > value)] = k + 1
+    return out
+
+
+def _outlined(df: DataFrame, vector: str, cuts: list[tuple[int, int, float]] | None = None) -> DataFrame:
+    """df with the outline of a vector column (and its block, given the cuts), without rows whose vector isn't all numbers."""
+    more = "outline array<double>" + (", block int" if cuts is not None else "")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + more
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(vector)
+            x = np.array(flat.to_pylist(), float) if batch.num_rows else np.zeros((0, 1))
+            kept = np.isfinite(x).all(1)
+            batch, found = batch.filter(pa.array(kept)), outline(x[kept]) if kept.any() else np.zeros((0, 1))
+            columns = [*batch.columns, pa.array(found.tolist(), pa.list_(pa.float64()))]
+            names = [*batch.schema.names, "outline"]
+            if cuts is not None:
+                columns, names = [*columns, pa.array(block_of(found, cuts))], [*names, "block"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+class PrunedSearch:
+    """The k nearest of many candidates by squared l2, without most of the pairs.
+
+    Candidates lie in blocks of similar outlines, each with the range of its outlines' coordinates; the distance of a query's outline to
+    that box is never above that to a vector in the block. A query is first answered in the block of the least such bound; the k-th distance found is
+    a bound on what it looks for, and it is then sent to just those blocks whose box isn't farther. Candidates are dealt once, by block.
+
+    candidates (id, t_r, cvec), queries (qid, origin, vec); a candidate must have t_r + horizon < origin. Ids are whole numbers. Distances are
+    rounded to nine places; ties go to the smaller id and then t_r. Vectors that aren't all numbers neither ask nor are found."""
+
+    def __init__(self, candidates: DataFrame, horizon: int, blocks: int | None = None):
+        self.horizon = horizon
+        whole = candidates.select(F.col("id").cast("long").alias("id"), F.col("t_r").cast("int").alias("t_r"), F.col("cvec").cast("array<double>").alias("cvec")).where("cvec is not null")
+        sample = whole.orderBy(F.xxhash64("id", "t_r"), "id", "t_r").limit(SAMPLE).select("cvec").toArrow().column("cvec").to_pylist()  # at most SAMPLE vectors
+        wanted = min(MOST_BLOCKS, -(-whole.count() // BLOCK_SIZE)) if blocks is None else blocks
+        cuts = []
+        if sample:
+            vectors = np.array(sample, float)
+            cuts = space_tree(outline(vectors[np.isfinite(vectors).all(1)]), max(1, wanted))
+        self.candidates = stage(_outlined(whole, "cvec", cuts), "search-blocks")
+        boxes = self.candidates.select("block", "t_r", F.posexplode("outline").alias("axis", "v")).groupBy("block", "axis").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"), F.min("t_r").alias("first"))
+        boxes = boxes.toArrow().sort_by([("block", "ascending"), ("axis", "ascending")])  # MOST_BLOCKS * (PIECES + 1) rows at most
+        self.numbers = np.unique(boxes.column("block").to_numpy()) if len(boxes) else np.zeros(0, int)
+        shape = (len(self.numbers), -1)
+        self.low, self.high, n, first = (boxes.column(c).to_numpy().reshape(shape) for c in ("low", "high", "n", "first")) if len(boxes) else [np.zeros((0, 1))] * 4
+        self.sizes, self.first = n[:, 0], first[:, 0]
+        self.computed: DataFrame | None = None
+
+    def _sent(self, queries: DataFrame, k: int, known: bool) -> DataFrame:
+        """queries for each block that they go to: of the least bound, or, once their k-th distance `reach` is known, all others within it."""
+        numbers, low, high, first, horizon = self.numbers, self.low, self.high, self.first, self.horizon
+
+        def bounds(points: np.ndarray, origins: np.ndarray) -> np.ndarray:
+            """For each query and block, what no squared distance to a legal candidate of the block is below."""
+            off = np.maximum(low[None] - points[:, None], 0) + np.maximum(points[:, None] - high[None], 0)
+            return np.where(first[None] + horizon < origins[:, None], (off * off).sum(2), np.inf)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(numbers) else 0, 256):
+                    part = batch.slice(at, 256)
+                    least = bounds(np.array(part.column("outline").to_pylist(), float).reshape(part.num_rows, -1), part.column("origin").to_numpy())
+                    nearest = np.zeros(least.shape, bool)
+                    nearest[np.arange(len(least)), least.argmin(1)] = True
+                    nearest &= np.isfinite(least)
+                    if known:
+                        reach = part.column("reach").to_numpy(zero_copy_only=False)
+                        # The bound is rounded too: by less than a part in a thousand million.
+                        nearest = ~nearest & np.isfinite(least) & (least * (1 - 1e-9) <= (np.where(np.isnan(reach), np.inf, reach) + 2e-9)[:, None])
+                    row, block = np.nonzero(nearest)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("qid", "origin", "vec")), pa.array(numbers[block].astype(np.int32))], names=["qid", "origin", "vec", "block"])
+
+        return queries.mapInArrow(run, "qid long, origin int, vec array<double>, block int")
+
+    def _answered(self, sent: DataFrame, k: int, candidates_per_group: int, queries_per_group: int) -> DataFrame:
+        """The k nearest for each query in each block that it was sent to, and a row of n alone, the number of pairs computed for it there."""
+        horizon = self.horizon
+        # Blocks and the queries sent to one are dealt into groups of bounded size, of which each query meets all of a block's.
+        asked = sent.groupBy("block").agg(F.ceil(F.count("*") / queries_per_group).cast("int").alias("q_parts"))
+        held = self.candidates.groupBy("block").agg(F.ceil(F.count("*") / candidates_per_group).cast("int").alias("c_parts"))
+        sizes = F.broadcast(asked.join(held, "block"))  # MOST_BLOCKS rows at most
+        part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = sent.join(sizes, "block").select("qid", "origin", "vec", "block", part("q_parts", "qid").alias("q"), every("c_parts").alias("c"))
+        right = self.candidates.join(sizes, "block").select("id", "t_r", "cvec", F.col("block").alias("c_block"), part("c_parts", "id", "t_r").alias("c_c"), every("q_parts").alias("c_q"))
+        schema = pa.schema([("qid", pa.int64()), ("sid", pa.int64()), ("t_r", pa.int32()), ("dist", pa.float64()), ("n", pa.int64())])
+
+        def search(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return schema.empty_table()
+            right = right.sort_by([("id", "ascending"), ("t_r", "ascending")])
+            q, c = np.array(left.column("vec").to_pylist(), float), np.array(right.column("cvec").to_pylist(), float)
+            ids, t_r, qid = right.column("id").to_numpy(), right.column("t_r").to_numpy(), left.column("qid").to_numpy()
+            legal = (t_r[None] + horizon) < left.column("origin").to_numpy()[:, None]
+            found = _nearest(q, c, legal, k)
+            row, place = np.repeat(np.arange(len(q)), [len(p) for p, _ in found]), np.concatenate([p for p, _ in found])
+            out = pa.table([pa.array(qid[row]), pa.array(ids[place]), pa.array(t_r[place]), pa.array(np.concatenate([d for _, d in found])), pa.nulls(len(row), pa.int64())], schema=schema)
+            pairs = {c.name: pa.nulls(len(q), c.type) for c in schema} | {"qid": pa.array(qid), "n": pa.array(np.full(len(q), len(right)))}
+            return pa.concat_tables([out, pa.table(pairs, schema=schema)])
+
+        return left.groupBy("block", "c", "q").cogroup(right.groupBy("c_block", "c_c", "c_q")).applyInArrow(search, "qid long, sid long, t_r int, dist double, n long")
+
+    def search(self, queries: DataFrame, k: int, candidates_per_group: int = 20_000, queries_per_group: int = 2000) -> DataFrame:
+        """qid, sid, t_r, dist and rank. self.computed then has the number of pairs that were computed for each query (qid, n)."""
+        asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("origin").cast("int").alias("origin"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
+        asked = stage(_outlined(asked, "vec"), "search-queries")
+        near = stage(self._answered(self._sent(asked, k, False), k, candidates_per_group, queries_per_group), "search-near")
+        best = rank_within(near.where("n is null"), "qid", [F.col("dist"), F.col("sid"), F.col("t_r")], k)
+        reach = best.where(F.col("rank") == k).select("qid", F.col("dist").alias("reach"))
+        far = self._answered(self._sent(asked.join(reach, "qid", "left"), k, True), k, candidates_per_group, queries_per_group)
+        both = stage(near.unionAll(far), "search-found")
+        self.computed = both.where("n is not null").groupBy("qid").agg(F.sum("n").alias("n"))
+        return rank_within(both.where("n is null").drop("n"), "qid", [F.col("dist"), F.col("sid"), F.col("t_r")], k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.panel import dense_grid, series_from_facts
@@ -43,6 +43,11 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_from_facts(supplier_facts(spark, sf_dir), 1, DAYS).join(supplier_keys(spark, sf_dir), "id")
 
 
+def mean_price(unit: Column) -> Column:
+    """The mean of prices, summed as decimals: the same in any order of summation."""
+    return F.sum(unit.cast("decimal(18, 6)")).cast("double") / F.count("*")
+
+
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly quantity and mean price of a brand (item) in a supplier's nation (store), dense over WEEKS; day_idx is the
     week. dept and cat are the brand's number modulo ten and three."""
@@ -57,7 +62,7 @@ def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.floor((day_of("l_shipdate") - 1) / 7) + 1).cast("int").alias("day_idx"), "l_quantity", "l_extendedprice",
         )
     )
-    facts = rows.groupBy("item", "store", "state", "day_idx").agg(F.sum("l_quantity").alias("sales"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("sell_price"))
+    facts = rows.groupBy("item", "store", "state", "day_idx").agg(F.sum("l_quantity").alias("sales"), mean_price(F.col("l_extendedprice") / F.col("l_quantity")).alias("sell_price"))
     ids = facts.select("item", "store", "state").distinct()
     grid = ids.withColumn("day_idx", F.explode(F.sequence(F.lit(1), F.lit(WEEKS))))
     number = F.regexp_extract("item", r"(\d+)$", 1).cast("int")
@@ -145,7 +150,7 @@ def topk_sql(scale: str, k: int = K, on: str = "c.cat = q.cat", extra: str = "TR
 
 MARKET = (
     """mfact AS (SELECT p_brand AS item, n_name AS store, r_name AS state, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS INT) + 1 AS day_idx,
-  SUM(l_quantity) AS sales, AVG(l_extendedprice / l_quantity) AS sell_price
+  SUM(l_quantity) AS sales, CAST(SUM(CAST(l_extendedprice / l_quantity AS DECIMAL(18, 6))) AS DOUBLE) / COUNT(*) AS sell_price
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4)""",
     f"""market AS (SELECT i.item, i.store, i.state, d.day_idx, COALESCE(f.sales, 0.0) AS sales, f.sell_price,
   'D' || (CAST(regexp_extract(i.item, '(\\d+)$', 1) AS INT) % 10) AS dept, 'C' || (CAST(regexp_extract(i.item, '(\\d+)$', 1) AS INT) % 3) AS cat

@@ -20,7 +20,7 @@ from gridloom.operators import scales as N
 from gridloom.operators import windows as W
 from gridloom.plans.inputs import (
     BASE, CONTEXT, DAYS, FACT, HORIZON, K, MARKET, PANEL, STRIDE, TEST, VAL, VAL_M1, VAL_M2, WEEK_END,
-    day_of, market_panel, params_sql, queries_sql, sql, supplier_facts, supplier_panel, supplier_series, table, tidy, topk_sql, windows_sql,
+    day_of, market_panel, mean_price, params_sql, queries_sql, sql, supplier_facts, supplier_panel, supplier_series, table, tidy, topk_sql, windows_sql,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +65,12 @@ def unpivot_long(spark, sf):
 @query(sql(f"""SELECT i.item_id, i.store_id, CASE i.store_id WHEN 0 THEN i.ca WHEN 1 THEN i.tx ELSE i.wi END AS snap, c.wm_yr_wk, p.sell_price FROM
 (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS day_idx, CAST(l_linenumber = 1 AS INT) AS ca, CAST(l_linenumber = 2 AS INT) AS tx, CAST(l_linenumber = 3 AS INT) AS wi FROM lineitem) i
 LEFT JOIN (SELECT CAST(range AS INT) AS day_idx, CAST((range - 1) // 7 + 1 AS INT) AS wm_yr_wk FROM range(1, {DAYS + 1})) c USING (day_idx)
-LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, AVG(l_extendedprice / l_quantity) AS sell_price FROM lineitem GROUP BY ALL) p
+LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, CAST(SUM(CAST(l_extendedprice / l_quantity AS DECIMAL(18, 6))) AS DOUBLE) / COUNT(*) AS sell_price FROM lineitem GROUP BY ALL) p
 ON p.item_id = i.item_id AND p.store_id = i.store_id AND p.wm_yr_wk = c.wm_yr_wk""", "item_id:l store_id:l snap:l wm_yr_wk:l sell_price:d"))
 def calendar_price_join(spark, sf):
     lines = table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("item_id"), (F.col("l_suppkey") % 4).alias("store_id"), day_of("l_shipdate").alias("day_idx"), "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     calendar = spark.range(1, DAYS + 1).select(F.col("id").cast("int").alias("day_idx"), (F.floor((F.col("id") - 1) / 7) + 1).cast("int").alias("wm_yr_wk"))
-    prices = lines.groupBy("item_id", "store_id", (F.floor((F.col("day_idx") - 1) / 7) + 1).cast("int").alias("wm_yr_wk")).agg(F.avg("unit").alias("sell_price"))
+    prices = lines.groupBy("item_id", "store_id", (F.floor((F.col("day_idx") - 1) / 7) + 1).cast("int").alias("wm_yr_wk")).agg(mean_price(F.col("unit")).alias("sell_price"))
     flags = [(F.col("l_linenumber") == k).cast("int") for k in (1, 2, 3)]
     state = F.when(F.col("store_id") == 0, "CA").when(F.col("store_id") == 1, "TX").otherwise("XX")
     sales = lines.select("item_id", "store_id", "day_idx", P.snap_of(state, *flags).alias("snap"))
@@ -345,6 +345,29 @@ def topk_global(spark, sf):
     return found(spark, sf, "mean", k=5, key=None).select("qid", "rank", "sid", "t_r", "dist")
 
 
+def _pruned(spark, sf):
+    series = supplier_series(spark, sf).select("id", "ys").persist()
+    windows = T.scaled_candidates(W.window_database(series, CONTEXT, HORIZON, VAL, STRIDE), "mean").select(F.col("sid").alias("id"), "t_r", "cvec")
+    queries = T.scaled_queries(W.query_windows(series, CONTEXT, VAL), "mean").select("qid", "origin", "vec")
+    index = T.PrunedSearch(windows, HORIZON)
+    found = index.search(queries, 5)
+    series.unpersist()
+    return index, found
+
+
+@query(sql("SELECT qid, rank, sid, t_r, dist FROM top", "qid:l rank:l sid:l t_r:l dist:d", *BASE, windows_sql(), queries_sql(), *topk_sql("mean", 5, on="TRUE")))
+def topk_pruned(spark, sf):
+    """As topk_global, but only blocks that can hold a nearer window are searched."""
+    return _pruned(spark, sf)[1].select("qid", "rank", "sid", "t_r", "dist")
+
+
+@query()
+def pruned_share(spark, sf):
+    """Pairs of query and window, and how many of them topk_pruned computes."""
+    index, _ = _pruned(spark, sf)
+    return index.computed.agg((F.count("*") * int(index.sizes.sum())).alias("n_pairs"), F.sum("n").alias("n_computed")).withColumn("share", F.col("n_computed") / F.col("n_pairs"))
+
+
 @query(sql(f"""SELECT id AS qid, id AS sid, t_r, row_number() OVER (PARTITION BY id ORDER BY t_r DESC) AS rank FROM series, (SELECT CAST(range AS INT) AS t_r FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) WHERE (SELECT MAX(range) FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) - t_r < 28 * 6 AND ((SELECT MAX(range) FROM range({CONTEXT}, {VAL - HORIZON + 1}, 7)) - t_r) % 28 = 0""", "qid:l sid:l t_r:l rank:l", *BASE))
 def seasonal_retriever(spark, sf):
     series = supplier_series(spark, sf)
@@ -355,9 +378,8 @@ def seasonal_retriever(spark, sf):
 @query()
 def random_retriever(spark, sf):
     series = supplier_series(spark, sf)
-    windows = W.window_database(series, CONTEXT, HORIZON, VAL).select(F.col("id").alias("sid"), "store", "t_r", F.struct("id", "t_r").alias("cand_id"))
     queries = W.query_windows(series, CONTEXT, VAL).select("qid", "store", "origin")
-    return T.random_choice(queries, windows, 5, HORIZON, 7, ["store"]).select("qid", "rank", "sid", "t_r")
+    return T.random_choice(queries, series, 5, CONTEXT, HORIZON, VAL, STRIDE, 7, ["store"])
 
 
 VALUES = lambda expr: f"vals AS (SELECT qid, rank, h, {expr} AS v FROM (SELECT qid, rank, c_loc, c_scale, q_loc, q_scale, unnest(cont) AS x, generate_subscripts(cont, 1) AS h FROM top))"
@@ -438,7 +460,7 @@ def gate_labels(spark, sf):
     return U.gate_labels(_three(spark, sf).select("id", "y", F.col("r").alias("retrieval"), F.col("c").alias("backbone")))
 
 
-@query(sql(f"""SELECT p.id, nn_dist, disagreement, zero_fraction, log_volume, 0.0 AS quantile_width, scale_spread FROM (SELECT id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) AS zero_fraction, ln(AVG(sales) + 1) AS log_volume, stddev_pop(sales) / (AVG(sales) + 1e-6) AS scale_spread FROM panel WHERE day_idx > {VAL - 56} AND day_idx <= {VAL} GROUP BY id) p
+@query(sql(f"""SELECT p.id, nn_dist, disagreement, zero_fraction, log_volume, quantile_width, scale_spread FROM (SELECT id, quantile_cont(sales, 0.9) - quantile_cont(sales, 0.1) AS quantile_width, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) AS zero_fraction, ln(AVG(sales) + 1) AS log_volume, stddev_pop(sales) / (AVG(sales) + 1e-6) AS scale_spread FROM panel WHERE day_idx > {VAL - 56} AND day_idx <= {VAL} GROUP BY id) p
 JOIN (SELECT qid AS id, MIN(dist) AS nn_dist FROM top GROUP BY qid) USING (id) JOIN (SELECT qid AS id, AVG(sd) AS disagreement FROM (SELECT qid, h, stddev_pop(v) AS sd FROM vals GROUP BY qid, h) GROUP BY qid) USING (id)""", "id:l nn_dist:d disagreement:d zero_fraction:d log_volume:d quantile_width:d scale_spread:d", *SEARCH, VALUES(RESTORED)))
 def gate_features(spark, sf):
     return _gate_features(spark, sf, VAL)
@@ -447,7 +469,11 @@ def gate_features(spark, sf):
 def _gate_features(spark, sf, train_end, stride: int = STRIDE):
     rows = found(spark, sf, "mean", train_end, stride=stride).persist()
     summary = R.neighbour_summary(rows, R.combine(R.restored_values(rows, clip=True)), supplier_series(spark, sf).select(F.col("id").alias("qid")))
-    return U.gate_features(supplier_panel(spark, sf), summary, train_end)
+    panel = supplier_panel(spark, sf)
+    # The backbone is the recent mean; its law is that of the days it is the mean of.
+    recent = panel.where((F.col("day_idx") > train_end - CONTEXT) & (F.col("day_idx") <= train_end))
+    interval = recent.groupBy("id").agg((F.percentile("sales", 0.9) - F.percentile("sales", 0.1)).alias("width"))
+    return U.gate_features(panel, summary, train_end, interval=interval)
 
 
 @query()
@@ -481,9 +507,9 @@ def hierarchy_rollup_12(spark, sf):
     return H.rollup(market_panel(spark, sf), ["sales"], ["day_idx"]).groupBy("level", "key").agg(F.count("*").alias("n"), F.sum("sales").alias("total"), F.max("sales").alias("top"))
 
 
-@query(sql(_union_levels(f"(SELECT *, sales * COALESCE(sell_price, 0) AS w FROM market WHERE day_idx > {WEEK_END - 28} AND day_idx <= {WEEK_END})", "ROUND(SUM(w) + 0.00037, 2) AS weight"), "level:s key:s weight:d", *MARKET))
+@query(sql(_union_levels(f"(SELECT *, sales * COALESCE(sell_price, 0) AS w FROM market WHERE day_idx > {WEEK_END - 28} AND day_idx <= {WEEK_END})", "SUM(CAST(w AS DECIMAL(38, 6))) AS weight"), "level:s key:s weight:d", *MARKET))
 def dollar_weights(spark, sf):
-    return H.dollar_weights(market_panel(spark, sf), WEEK_END).withColumn("weight", F.round(F.col("weight") + 0.00037, 2))
+    return H.dollar_weights(market_panel(spark, sf), WEEK_END)
 
 
 def _market_forecast(panel: DataFrame) -> DataFrame:
@@ -597,13 +623,15 @@ def routing_band(spark, sf):
     return D.routing_band(_origin_profile(spark, sf))
 
 
-@query(sql("SELECT t.ts, t.te, e.es, e.ee FROM (SELECT CAST(range AS INT) AS ts, CAST(range + 83 AS INT) AS te FROM range(1, 2300, 37)) t JOIN (SELECT CAST(range AS INT) AS es, CAST(range + 27 AS INT) AS ee FROM range(2000, 2400, 55)) e ON t.ts <= e.ee AND e.es <= t.te", "ts:l te:l es:l ee:l"))
+@query(sql(f"""SELECT t.sid AS id, t.t_r - {CONTEXT - 1} AS ts, t.t_r + {HORIZON} AS te, e.es, e.es + {HORIZON - 1} AS ee FROM win t JOIN (SELECT id, unnest([{VAL_M1 + 1}, {VAL + 1}]) AS es FROM series) e ON e.id = t.sid AND t.t_r - {CONTEXT - 1} <= e.es + {HORIZON - 1} AND e.es <= t.t_r + {HORIZON}""", "id:l ts:l te:l es:l ee:l", *BASE, windows_sql(TEST)))
 def leakage_pairs(spark, sf):
+    """Windows of a pool built up to the test origin that meet the days evaluated at the two origins before it, series by series."""
     from gridloom.operators.splits import overlapping_windows
 
-    train = spark.range(1, 2300, 37).select(F.col("id").cast("int").alias("ts"), (F.col("id") + 83).cast("int").alias("te"))
-    evaluation = spark.range(2000, 2400, 55).select(F.col("id").cast("int").alias("es"), (F.col("id") + 27).cast("int").alias("ee"))
-    return overlapping_windows(train, evaluation)
+    series = supplier_series(spark, sf)
+    train = W.window_database(series, CONTEXT, HORIZON, TEST, STRIDE).select("id", (F.col("t_r") - (CONTEXT - 1)).alias("ts"), (F.col("t_r") + HORIZON).alias("te"))
+    evaluated = series.select("id", F.explode(F.array(F.lit(VAL_M1 + 1), F.lit(VAL + 1))).alias("es")).withColumn("ee", F.col("es") + (HORIZON - 1))
+    return overlapping_windows(train, evaluated, ["id"])
 
 
 @query(sql("""SELECT name, k, w, mse, mae FROM (SELECT *, MIN(mae) OVER () AS best FROM (SELECT 'mean' AS name, 20 AS k, w, AVG((y - (1 - w) * c - w * r) * (y - (1 - w) * c - w * r)) AS mse, AVG(ABS(y - (1 - w) * c - w * r)) AS mae FROM line, (SELECT unnest([0.25, 0.5, 0.75]) AS w) GROUP BY w)) WHERE mae <= 1.02 * best ORDER BY mse, name, k, w LIMIT 1""", "name:s k:l w:d mse:d mae:d", *BLEND, LSQ))
@@ -680,13 +708,13 @@ def exemplar(spark, sf):
     return D.exemplar(found(spark, sf, "mean"), R.actuals(supplier_panel(spark, sf), VAL, HORIZON))
 
 
-COHORT = f"""coh AS (SELECT te, id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE day_idx > te - 14) AS zero_fraction, MAX(sales) FILTER (WHERE day_idx > te - 14) <= 0 AS degenerate, MAX(sales) <= 0 AS never_launched
+COHORT = f"""coh AS (SELECT te, id, AVG(CASE WHEN sales = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE day_idx > te - {CONTEXT}) AS zero_fraction, MAX(sales) FILTER (WHERE day_idx > te - {CONTEXT}) <= 0 AS degenerate, MAX(sales) <= 0 AS never_launched
   FROM panel, (SELECT unnest({list(ORIGINS)}) AS te) WHERE day_idx <= te GROUP BY 1, 2)"""
 
 
 @query(sql("SELECT te AS origin, id, zero_fraction, degenerate, never_launched FROM coh", "origin:l id:l zero_fraction:d degenerate:b never_launched:b", FACT, PANEL, COHORT))
 def cohorts(spark, sf):
-    return D.cohorts(supplier_panel(spark, sf), list(ORIGINS), 14)
+    return D.cohorts(supplier_panel(spark, sf), list(ORIGINS), CONTEXT)
 
 
 @query(sql("""SELECT bin, SUM(n) AS n, COUNT(*) AS n_origins, AVG(naive) AS naive, stddev_samp(naive) / sqrt(COUNT(*)) AS naive_sem FROM (SELECT CAST(LEAST(floor(zero_fraction * 10 + 1e-12), 9) AS INT) AS bin, coh.te, COUNT(*) AS n, AVG(rm - naive) AS naive FROM coh JOIN
@@ -699,7 +727,7 @@ def identifiability(spark, sf):
         both = R.actuals(panel, te, HORIZON).join(R.seasonal_naive(panel, te, HORIZON).withColumnRenamed("y_pred", "n"), ["id", "h"]).join(R.recent_mean(panel, te, HORIZON).withColumnRenamed("y_pred", "c"), ["id", "h"])
         one = both.groupBy("id").agg(M.mae(F.col("y"), F.col("n")).alias("naive"), M.mae(F.col("y"), F.col("c")).alias("recent")).withColumn("origin", F.lit(te))
         errors = one if errors is None else errors.unionByName(one)
-    return D.identifiability(D.cohorts(panel, list(ORIGINS), 14).join(errors, ["origin", "id"]), ["naive"], "recent")
+    return D.identifiability(D.cohorts(panel, list(ORIGINS), CONTEXT).join(errors, ["origin", "id"]), ["naive"], "recent")
 
 
 @query(sql("SELECT event_id, COALESCE(CASE WHEN event_id % 3 <> 0 THEN event_type END, 'none') AS event_type, COALESCE(CASE WHEN event_id % 5 <> 0 THEN value END, -1.0) AS value FROM events", "event_id:l event_type:s value:d"))
@@ -771,12 +799,27 @@ def aligned_truths(spark, sf):
 # Models and resampling: no SQL ----------------------------------------------------------------------------------
 
 
-@query()
+def _cdf_sql(q: str) -> str:
+    at = f"len(list_filter({q}, lambda v: v <= x))"
+    return f"(CASE WHEN {at} = 0 THEN {LEVELS[0]} WHEN {at} = {len(LEVELS)} THEN {LEVELS[-1]} ELSE lv[{at}] + (x - {q}[{at}]) / ({q}[{at} + 1] - {q}[{at}]) * (lv[{at} + 1] - lv[{at}]) END)"
+
+
+MIXTURE = f"""WITH law AS (SELECT id, {LEVEL_LIST} AS lv, quantile_cont(sales, {LEVEL_LIST}) FILTER (WHERE day_idx > {VAL - 28}) AS b, quantile_cont(sales, {LEVEL_LIST}) AS r FROM panel WHERE day_idx > {VAL - 112} AND day_idx <= {VAL} GROUP BY id),
+knots AS (SELECT id, b, r, lv, list_sort(list_concat(b, r)) AS ks FROM law), pts AS (SELECT id, b, r, lv, unnest(ks) AS x, generate_subscripts(ks, 1) AS k FROM knots),
+mix AS (SELECT id, k, x, max(0.75 * {_cdf_sql("b")} + 0.25 * {_cdf_sql("r")}) OVER (PARTITION BY id ORDER BY k) AS m FROM pts),
+nxt AS (SELECT *, lead(x) OVER w AS x1, lead(m) OVER w AS m1 FROM mix WINDOW w AS (PARTITION BY id ORDER BY k)),
+tau AS (SELECT unnest({LEVEL_LIST}) AS level),
+low AS (SELECT id, level, max(k) FILTER (WHERE m <= level) AS k, min(x) FILTER (WHERE k = 1) AS first FROM nxt, tau GROUP BY ALL)
+SELECT low.id, level, CASE WHEN nxt.k IS NULL THEN first WHEN m1 IS NULL THEN x ELSE (x1 - x) / (m1 - m) * (level - m) + x END AS q FROM low LEFT JOIN nxt ON nxt.id = low.id AND nxt.k = low.k"""
+
+
+@query(sql(MIXTURE, "id:l level:d q:d", FACT, PANEL))
 def mixture_quantiles(spark, sf):
     panel = supplier_panel(spark, sf)
     levels = F.array(*map(F.lit, LEVELS))
     law = lambda days, name: panel.where((F.col("day_idx") > VAL - days) & (F.col("day_idx") <= VAL)).groupBy("id").agg(F.percentile("sales", levels).alias(name))
-    return U.mixture_quantiles(law(28, "backbone").join(law(112, "retrieval"), "id"), list(LEVELS), 0.25)
+    mixed = U.mixture_quantiles(law(28, "backbone").join(law(112, "retrieval"), "id"), list(LEVELS), 0.25)
+    return mixed.select("id", F.explode(F.arrays_zip(levels.alias("level"), F.col("mixture").alias("q"))).alias("x")).select("id", "x.level", "x.q")
 
 
 @query()
@@ -803,16 +846,49 @@ def spearman_correlates(spark, sf):
 
 @query()
 def isotonic_band(spark, sf):
-    found_ = D.band(_regime(spark, sf)) or {}
-    names = ("low", "low_from", "low_to", "high", "high_from", "high_to", "n")
-    row = tuple(v if v is None or c == "n" else float(v) for c, v in ((c, found_.get(c)) for c in names))
-    return spark.createDataFrame([row], "crossing double, low double, high double, upper double, upper_low double, upper_high double, n long")
+    found_ = D.band(_regime(spark, sf).persist()) or {}
+    names = {"low": "crossing", "low_from": "low", "low_to": "high", "high": "upper", "high_from": "upper_low", "high_to": "upper_high"}
+    shares = ("win_rate_inside", "win_rate_outside")
+    counts = ("n", "n_inside", "n_outside")
+    row = [None if (v := found_.get(c)) is None else float(v) for c in (*names, *shares)] + [found_.get(c) for c in counts]
+    return spark.createDataFrame([tuple(row)], ", ".join([f"{c} double" for c in (*names.values(), *shares)] + [f"{c} long" for c in counts]))
 
 
-@query()
+SMOOTHED = f"""sm AS (SELECT qid, ctx, list_reduce(list_transform(ctx, lambda v: [v]), lambda acc, v: list_append(acc, acc[len(acc)] + 0.2 * (v[1] - acc[len(acc)]))) AS lv FROM q),
+er AS (SELECT qid, lv[len(lv)] AS level, list_transform(range(2, len(ctx) + 1), lambda i: ctx[i] - lv[i - 1]) AS e FROM sm)"""
+
+
+@query(sql(f"SELECT qid, h.h, GREATEST(level, 0) AS point, GREATEST(level + list_aggregate(e, 'quantile_cont', {LEVELS[0]}), 0) AS low, GREATEST(level + list_aggregate(e, 'quantile_cont', {LEVELS[-1]}), 0) AS high FROM er, (SELECT CAST(range AS INT) AS h FROM range(1, {HORIZON + 1})) h", "qid:l h:l point:d low:d high:d", *BASE, queries_sql(), SMOOTHED))
 def backbone_forecast(spark, sf):
     queries = W.query_windows(supplier_series(spark, sf), CONTEXT, VAL)
-    return R.run_backbone(queries, R.damped_drift(HORIZON)).select("qid", F.get("point", F.lit(0)).alias("point"), F.size("quantiles").alias("n_levels"))
+    found = R.run_backbone(queries, R.damped_drift(HORIZON)).select("qid", F.posexplode("point").alias("h0", "point"), F.get("quantiles", F.lit(0)).alias("low"), F.get("quantiles", F.lit(len(LEVELS) - 1)).alias("high"))
+    return found.select("qid", (F.col("h0") + 1).alias("h"), "point", "low", "high")
+
+
+@query(sql(f"""SELECT id, {VAL} AS n_past, {HORIZON} AS n_future, list_sum(ys[1:{VAL}]) AS target, list_sum(list_transform(range(1, {VAL + 1}), lambda d: d % 7)) AS past_wday, list_sum(list_transform(range({VAL + 1}, {VAL + HORIZON + 1}), lambda d: d % 7)) AS future_wday,
+COALESCE((SELECT SUM(l_linenumber) FROM lineitem l WHERE l.l_suppkey = s.id AND date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 BETWEEN 1 AND {VAL}), 0) AS past_lines FROM series s""", "id:l n_past:l n_future:l target:d past_wday:d future_wday:d past_lines:d", *BASE))
+def covariate_inputs(spark, sf):
+    """Inputs of a model with covariates: of the past, the weekday and the day's line numbers; of the future the weekday."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), day_of("l_shipdate").alias("day_idx"), "l_linenumber").where(F.col("day_idx").between(1, DAYS))
+    lines = P.series_from_facts(lines.groupBy("id", "day_idx").agg(F.sum("l_linenumber").cast("double").alias("sales")), 1, DAYS).withColumnRenamed("ys", "lines")
+    wday = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda d: (d % 7).cast("double"))
+    series = supplier_series(spark, sf).select("id", "ys").join(lines, "id").withColumn("wday", wday)
+    found = R.covariate_inputs(series, VAL, HORIZON, "ys", ["wday", "lines"], ["wday"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return found.select("id", F.size("past_wday").alias("n_past"), F.size("future_wday").alias("n_future"), total("target").alias("target"), total("past_wday").alias("past_wday"), total("future_wday").alias("future_wday"), total("past_lines").alias("past_lines"))
+
+
+@query(sql(f"SELECT qid, COUNT(*) AS n_neighbours, {CONTEXT} AS length, SUM({CONTEXT} - len(win.ctx)) AS n_padded, SUM(rank * list_sum(win.ctx)) AS weighted, any_value(list_sum(q.ctx)) AS target FROM top JOIN win ON win.sid = top.sid AND win.t_r = top.t_r JOIN q USING (qid) GROUP BY qid", "qid:l n_neighbours:l length:l n_padded:l weighted:d target:d", *SEARCH))
+def in_context_groups(spark, sf):
+    """A query's context with those of its neighbours, by rank, as a model that learns in context takes them."""
+    series = supplier_series(spark, sf)
+    rows = found(spark, sf, "mean").select("qid", "rank", "sid", "t_r")
+    windows = W.window_database(series, CONTEXT, HORIZON, VAL, STRIDE).select(F.col("id").alias("sid"), "t_r", "ctx")
+    groups = R.in_context_groups(rows, W.query_windows(series, CONTEXT, VAL), windows)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    ranked = F.aggregate(F.transform("group", lambda x, i: (i + 1) * total(x)), F.lit(0.0), lambda a, v: a + v)
+    padded = F.aggregate(F.transform("group", lambda x: F.size(F.filter(x, lambda v: v.isNull()))), F.lit(0), lambda a, v: a + v)
+    return groups.select("qid", F.size("group").alias("n_neighbours"), F.size("target").alias("length"), padded.alias("n_padded"), ranked.alias("weighted"), total("target").alias("target"))
 
 
 @query()
@@ -826,6 +902,7 @@ def tree_baseline(spark, sf):
 
 @query()
 def affine_probe(spark, sf):
-    from gridloom.operators.probe import run_grid
+    """Windows of the suppliers' series, asked for under gains and offsets."""
+    from gridloom.operators.probe import planted_grid
 
-    return run_grid(spark)
+    return planted_grid(supplier_series(spark, sf).select("id", "ys"), CONTEXT, HORIZON, CONTEXT + 200 * STRIDE, VAL, STRIDE)

@@ -12,7 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from gridloom.functions.draws import permuted, seeded
 from gridloom.operators.panel import SchemaError, day_number, join_calendar_and_prices, require_columns, snap_of, unpivot_days
 
 N_DAYS = 1941
@@ -123,12 +125,10 @@ def load_multivariate(spark: SparkSession, path: str, train_end: int) -> DataFra
     """A CSV of a time column and numeric channels as (var, t, z), each channel standardised by its first train_end rows.
 
     Row order is the time column's."""
-    from pyspark.sql.window import Window
-
     raw = spark.read.csv(path, header=True, inferSchema=True)
     time, *channels = raw.columns
-    long = raw.unpivot([F.col(time)], [F.col(c).cast("double").alias(c) for c in channels], "var", "y")
-    rows = long.withColumn("t", F.row_number().over(Window.partitionBy("var").orderBy(time)))
+    rows = numbered(raw, [time], "t").withColumn("t", (F.col("t") + 1).cast("int"))
+    rows = rows.unpivot([F.col("t")], [F.col(c).cast("double").alias(c) for c in channels], "var", "y")
     fit = rows.where(F.col("t") <= train_end).groupBy("var").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"))
     return rows.join(F.broadcast(fit), "var").select("var", "t", ((F.col("y") - F.col("mean")) / F.when(F.col("sd") != 0, F.col("sd")).otherwise(1.0)).alias("z"))  # one row a channel
 
@@ -164,30 +164,89 @@ def generate_raw(dest: str, n_days: int = 120, seed: int = 0) -> None:
             w.writerow([f"{item}_{store}", item, dept, cat, store, state, *y.tolist()])
 
 
-def select_subset(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """Rows of n keys drawn without replacement from the sorted distinct keys (a list of series, held on the driver)."""
-    keys = sorted(r[0] for r in df.select(key).distinct().collect())
-    chosen = np.random.default_rng(seed).choice(len(keys), size=min(n, len(keys)), replace=False)
-    picked = df.sparkSession.createDataFrame([(keys[int(i)],) for i in sorted(chosen)], T.StructType([df.schema[key]]))
-    return df.join(picked, key, "left_semi")
+#: The histogram of draws has so many bins; that is what the driver sees of them.
+DRAW_BITS = 16
 
 
-def finished(spark: SparkSession, path: str, column: str) -> set:
-    """Values of the partition column that a resumable run has written."""
-    try:
-        return {r[0] for r in spark.read.parquet(path).select(column).distinct().collect()}
-    except Exception:  # nothing written yet
-        return set()
+def select_subset(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """Rows of exactly n keys (all, if there are fewer) drawn without replacement: those of least seeded hash, ties by key. Rows of a null key
+    are left out. The driver sees how many keys each range of hashes has; within the range of the n-th the keys are numbered."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("gridloom_draw", seeded(seed, F.col(key)))
+    bin_of = F.shiftright("gridloom_draw", 60 - DRAW_BITS)
+    left, cut = n, None
+    for b, count in sorted((r[0], r[1]) for r in keys.groupBy(bin_of.alias("bin")).count().collect()):  # 2 ** DRAW_BITS at most
+        if count > left:
+            cut = b
+            break
+        left -= count
+    if cut is not None:
+        last = keys.where(bin_of == cut).withColumn("gridloom_rank", F.row_number().over(Window.partitionBy(F.lit(cut)).orderBy("gridloom_draw", key)))
+        keys = keys.where(bin_of < cut).select(key).unionAll(last.where(F.col("gridloom_rank") <= left).select(key))
+    return df.join(keys.select(key), key, "left_semi")
+
+
+#: Ranges at most in numbered(), and rows from which their edges are chosen.
+RANGES, SAMPLE = 256, 4096
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """df with each row's number from 0 in the order of some columns, nulls first; ties in any order. Rows are dealt into ranges, whose
+    edges come from a bounded sample drawn by hash, counted, and numbered within their range: no task orders all of them."""
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).orderBy(*order).collect()  # at most SAMPLE rows
+    whole = lambda row: F.struct(*(F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order))
+    edges = [whole(sample[k * len(sample) // RANGES]) for k in range(1, RANGES)] if len(sample) == SAMPLE else []
+    own = F.struct(*order)
+    found = df.withColumn("gridloom_range", F.size(F.filter(F.array(*edges), lambda e: e <= own)) if edges else F.lit(0))
+    sizes = {r[0]: r[1] for r in found.groupBy("gridloom_range").count().collect()}  # at most RANGES
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair)), F.col("gridloom_range").cast("long")) if before else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("gridloom_range").orderBy(*order)) - 1
+    return found.withColumn(name, (rank + offset).cast("long")).drop("gridloom_range")
+
+
+def permutation_sample(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """Rows of the n keys (all, if there are fewer) that a seeded permutation of the sorted distinct keys puts first."""
+    ranked = numbered(df.select(*keys).distinct(), keys, "gridloom_rank")
+    total = F.lit(ranked.count()).cast("long")
+    chosen = ranked.where(permuted(F.col("gridloom_rank"), total, seed) < n).select(*(F.col(c).alias(f"gridloom_{c}") for c in keys))
+    same = [F.col(c).eqNullSafe(F.col(f"gridloom_{c}")) for c in keys]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    return df.join(chosen, condition, "left_semi")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def finished(spark: SparkSession, path: str) -> set[int]:
+    """The units that a resumable run has finished: those in its manifest, which is written after the unit's data."""
+    manifest = f"{path}/_finished"
+    return {int(r[0]) for r in spark.read.text(f"{manifest}/*").collect()} if _exists(spark, manifest) else set()  # a short list
 
 
 def run_resumable(spark: SparkSession, path: str, origins: list[int], compute) -> list[int]:
-    """compute(origin) -> DataFrame for each origin not written yet, each written as a partition. Returns those computed."""
-    todo = [o for o in origins if o not in finished(spark, path, "origin")]
+    """compute(origin) -> DataFrame for each origin that isn't finished, each written to its own folder, in place of what an interrupted run may
+    have left there, and entered in the manifest when it is whole. Returns those computed; read_resumable() reads those finished."""
+    done = finished(spark, path)
+    todo = [o for o in origins if o not in done]
     for o in todo:
-        compute(o).withColumn("origin", F.lit(o)).write.mode("append").partitionBy("origin").parquet(path)
+        compute(o).write.mode("overwrite").parquet(f"{path}/origin={o}")
+        spark.createDataFrame([(str(o),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_finished/{o}")
     return todo
 
 
+def read_resumable(spark: SparkSession, path: str) -> DataFrame:
+    """The finished units, with the column origin; ValueError if there is none."""
+    if not (done := sorted(finished(spark, path))):
+        raise ValueError(f"nothing is finished in {path}")
+    return spark.read.option("basePath", path).parquet(*(f"{path}/origin={o}" for o in done))
+
+
 def write_report(report: dict[str, Any], path: str, title: str = "Report") -> None:
     """A JSON file, and beside it the same as Markdown. For small results of the driver."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -231,6 +290,15 @@ class RunConfig:
         return cls(**values)
 
 
+def set_seed(seed: int) -> np.random.Generator:
+    """Seeds Python's and NumPy's global generators and returns a generator of its own. Operators take their seed as a parameter."""
+    import random
+
+    random.seed(seed)
+    np.random.seed(seed % 2**32)
+    return np.random.default_rng(seed)
+
+
 def require_declared(config: RunConfig, allow_full: bool = False, cap: int = 200) -> RunConfig:
     """Runs of more than `cap` series must be asked for."""
     if not allow_full and (config.subset is None or config.subset > cap):

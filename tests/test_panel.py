@@ -94,6 +94,12 @@ def test_sources(spark, tmp_path):
     out = str(tmp_path / "runs")
     assert tables.run_resumable(spark, out, [1, 2], lambda o: spark.range(o)) == [1, 2]
     assert tables.run_resumable(spark, out, [1, 2, 3], lambda o: spark.range(o)) == [3]
+    # A run that ended between a unit's data and its entry in the manifest: the unit is written again, in place.
+    spark.range(99).write.parquet(f"{out}/origin=4")
+    assert tables.read_resumable(spark, out).groupBy("origin").count().orderBy("origin").collect() == [(1, 1), (2, 2), (3, 3)]
+    assert tables.run_resumable(spark, out, [4], lambda o: spark.range(o)) == [4] and tables.read_resumable(spark, out).where("origin = 4").count() == 4
+    with pytest.raises(ValueError):
+        tables.read_resumable(spark, str(tmp_path / "none"))
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"name": "a", "processed_dir": "p", "subset": 10, "seeds": [1, 2]}))
     assert tables.require_declared(tables.RunConfig.load(str(config))).seeds == (1, 2)
