@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import metrics as M
-from gridloom.functions.arrays import array_mean, clip_low, scale_params
+from gridloom.functions.arrays import scale_params
+from gridloom.functions.draws import seeded
 from gridloom.operators import diagnostics as D
 from gridloom.operators import features as X
 from gridloom.operators import forecast as R
@@ -312,18 +313,18 @@ EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS
 
 def _vectors(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("v").alias("vec"))
+    queries = rows.select(F.col("vec_id").alias("qid"), "label", F.col("v").alias("vec"))
     return queries, rows.select(F.col("vec_id").alias("cand_id"), "label", F.col("v").alias("cvec"))
 
 
-@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(-(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x))))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q, e c WHERE q.vec_id % 10 = 0 QUALIFY rank <= 5)", "qid:l cand_id:l rank:l dist:d", EMB))
+@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(-(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x))))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q, e c QUALIFY rank <= 5)", "qid:l cand_id:l rank:l dist:d", EMB))
 def topk_cosine(spark, sf):
-    """Of every tenth vector, against all."""
+    """Of every vector, against all."""
     queries, candidates = _vectors(spark, sf)
     return T.topk_vectors(queries, candidates, 5, "cosine")
 
 
-@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 10 = 0 QUALIFY rank <= 10)", "qid:l cand_id:l rank:l dist:d", EMB))
+@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM e q JOIN e c ON q.label = c.label QUALIFY rank <= 10)", "qid:l cand_id:l rank:l dist:d", EMB))
 def topk_meta_filter(spark, sf):
     queries, candidates = _vectors(spark, sf)
     return T.topk(queries, candidates, 10, on=["label"]).select("qid", "cand_id", "rank", "dist")
@@ -332,9 +333,9 @@ def topk_meta_filter(spark, sf):
 EMB_Z = "z AS (SELECT vec_id, list_transform(v, lambda x: (x - m) / s) AS v FROM (SELECT vec_id, v, m, CASE WHEN sd = 0 THEN 1.0 ELSE sd END AS s FROM (SELECT vec_id, v, list_sum(v) / len(v) AS m, sqrt(list_sum(list_transform(v, lambda x: (x - list_sum(v) / len(v)) * (x - list_sum(v) / len(v)))) / len(v)) AS sd FROM e)))"
 
 
-@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM z q, z c WHERE q.vec_id % 10 = 0 QUALIFY rank <= 4)", "qid:l cand_id:l rank:l dist:d", EMB, EMB_Z))
+@query(sql("SELECT qid, cand_id, rank, dist FROM (SELECT q.vec_id AS qid, c.vec_id AS cand_id, ROUND(sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, c.vec_id) AS rank FROM z q, z c QUALIFY rank <= 4)", "qid:l cand_id:l rank:l dist:d", EMB, EMB_Z))
 def euclidean_retriever(spark, sf):
-    """Of every tenth vector, z-normalised, against all."""
+    """Of every vector, z-normalised, against all."""
     queries, candidates = _vectors(spark, sf)
     return T.topk_vectors(queries, candidates, 4, "l2", normalise=True)
 
@@ -736,7 +737,7 @@ def covariate_reshape(spark, sf):
     return X.covariates(rows, ["event_type"], ["value"])
 
 
-@query(sql("SELECT raw - raw_oracle AS gap, raw - restored AS removed, restored - raw_oracle AS remaining, TRUE AS closes FROM (SELECT AVG(raw) AS raw, AVG(restored) AS restored, AVG(raw_oracle) AS raw_oracle FROM (SELECT id, AVG((n - y) * (n - y)) AS raw, AVG((r - y) * (r - y)) AS restored, AVG((line_n - y) * (line_n - y)) AS raw_oracle FROM line GROUP BY id))", "gap:d removed:d remaining:d closes:b", *BLEND, LSQ))
+@query(sql("SELECT raw - raw_oracle AS gap, raw - restored AS removed, restored - raw_oracle AS remaining, ABS((raw - raw_oracle) - (raw - restored) - (restored - raw_oracle)) <= 1e-6 AS closes FROM (SELECT AVG(raw) AS raw, AVG(restored) AS restored, AVG(raw_oracle) AS raw_oracle FROM (SELECT id, AVG((n - y) * (n - y)) AS raw, AVG((r - y) * (r - y)) AS restored, AVG((line_n - y) * (line_n - y)) AS raw_oracle FROM line GROUP BY id))", "gap:d removed:d remaining:d closes:b", *BLEND, LSQ))
 def decomposition_closure(spark, sf):
     return D.closure(D.decompose(_three(spark, sf).select(F.col("id").alias("window"), "h", "y", "c", F.col("n").alias("raw"), "r"), 0.25))
 
@@ -754,15 +755,19 @@ def sql_over_views(spark, sf):
     """The panel as a temporary view, queried by SQL text."""
     supplier_panel(spark, sf).createOrReplaceTempView("gridloom_panel")
     supplier_series(spark, sf).createOrReplaceTempView("gridloom_series")
-    return spark.sql("SELECT sum(sales) AS total, count(*) AS n FROM gridloom_panel WHERE id IN (SELECT id FROM gridloom_series WHERE cat = 1)")
+    found = spark.sql("SELECT sum(sales) AS total, count(*) AS n FROM gridloom_panel WHERE id IN (SELECT id FROM gridloom_series WHERE cat = 1)")
+    for view in ("gridloom_panel", "gridloom_series"):  # the plan has taken them in
+        spark.catalog.dropTempView(view)
+    return found
 
 
-@query(sql("SELECT 'seasonal_naive' AS method, AVG(mae) AS mean, stddev_pop(mae) AS deviation, COUNT(*) AS n FROM (SELECT id % 5 AS seed, AVG(ABS(y - y_pred)) AS mae FROM act JOIN sn USING (id, h) GROUP BY 1)", "method:s mean:d deviation:d n:l", FACT, PANEL, SN, ACT))
+@query(sql("SELECT 'seasonal_naive' AS method, AVG(mae) AS mean, stddev_pop(mae) AS deviation, COUNT(*) AS n FROM (SELECT seed, AVG(ABS(y - y_pred)) AS mae FROM act JOIN sn USING (id, h), (SELECT unnest([42, 43, 44, 45, 46]) AS seed) WHERE CAST('0x' || substr(md5(seed || ':' || id), 1, 15) AS BIGINT) % 5 <> 0 GROUP BY seed)", "method:s mean:d deviation:d n:l", FACT, PANEL, SN, ACT))
 def seed_summary(spark, sf):
-    """Mean and population deviation over runs; here each fifth of the series stands for a run of another seed."""
+    """Mean and population deviation over five runs, each on four fifths of the series, drawn by its seed."""
     panel = supplier_panel(spark, sf)
     rows = R.actuals(panel, VAL, HORIZON).join(R.seasonal_naive(panel, VAL, HORIZON), ["id", "h"])
-    runs = rows.groupBy((F.col("id") % 5).alias("seed")).agg(M.mae(F.col("y"), F.col("y_pred")).alias("mae")).withColumn("method", F.lit("seasonal_naive"))
+    rows = rows.withColumn("seed", F.explode(F.array(*map(F.lit, (42, 43, 44, 45, 46))))).where(seeded(F.col("seed"), F.col("id")) % 5 != 0)
+    runs = rows.groupBy("seed").agg(M.mae(F.col("y"), F.col("y_pred")).alias("mae")).withColumn("method", F.lit("seasonal_naive"))
     return D.over_seeds(runs, ["method"], "mae")
 
 
@@ -789,7 +794,7 @@ def renamed_entities(spark, sf):
     return P.renamed(rows, {"s_suppkey": "id", "n_name": "store_id", "r_name": "cat_id"})
 
 
-@query(sql("SELECT COUNT(*) AS n, SUM(CASE WHEN a.y = b.y THEN 0 ELSE 1 END) AS n_off FROM act a JOIN act b USING (id, h)", "n:l n_off:l", FACT, PANEL, ACT))
+@query(sql(f"SELECT COUNT(*) AS n, SUM(CASE WHEN ABS(a.y - b.y) <= 1e-4 * (1 + ABS(b.y)) THEN 0 ELSE 1 END) AS n_off FROM act a FULL JOIN (SELECT id, unnest(ys[{VAL + 1}:{VAL + HORIZON}]) AS y, generate_subscripts(ys[{VAL + 1}:{VAL + HORIZON}], 1) AS h FROM series) b ON b.id = a.id AND b.h = a.h", "n:l n_off:l", *BASE, ACT))
 def aligned_truths(spark, sf):
     """Truths read from the dense panel against those cut from the series' arrays."""
     built = supplier_series(spark, sf).select("id", F.posexplode(F.slice("ys", VAL + 1, HORIZON)).alias("h0", "y")).select("id", (F.col("h0") + 1).alias("h"), "y")
