@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ from gridloom.sources.staging import discard, stage
 OBJECTIVES = ("squared", "tweedie", "logistic")
 #: Bins of a feature at most: a bin is a byte.
 MOST_BINS = 255
+#: Up to so many values (rows times features, a byte each) are learned from in one task; the trees are the same.
+MOST_LOCAL = 1 << 22
 #: The rows' scores are written out after so many trees, which ends their lineage.
 TREES_PER_STAGE = 50
 
@@ -113,20 +115,20 @@ def histogram(bins: np.ndarray, slot: np.ndarray, n_slots: int, features: list[i
 
 @dataclass
 class Node:
-    """A node's best split, gain 0 if there is none, with the gradients and Hessians (g, h) of itself and of both sides."""
+    """A node's best split, gain 0 if there is none, with the rows, gradients and Hessians (n, g, h) of itself and of both sides."""
 
-    total: tuple[float, float]
+    total: tuple[float, float, float]
     gain: float = 0.0
     feature: int = -1
     bin: int = -1
-    sides: tuple[tuple[float, float], ...] = ()
+    sides: tuple[tuple[float, float, float], ...] = ()
     left: int | None = None
 
 
 def best_split(hist: np.ndarray, features: list[int], s: Settings) -> Node:
     """From a node's histogram (3, features, bins). Of equal gains the first feature's first bin, within rounding."""
     n, g, h = hist[:, 0].sum(1)
-    node = Node((float(g), float(h)))
+    node = Node((float(n), float(g), float(h)))
     left = np.cumsum(hist, 2)[:, :, :-1]
     right = np.array([n, g, h])[:, None, None] - left
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -137,7 +139,7 @@ def best_split(hist: np.ndarray, features: list[int], s: Settings) -> Node:
     if top > 1e-12 * max(1.0, abs(g)):
         k, b = np.argwhere(gain >= top * (1 - 1e-9))[0]
         node.gain, node.feature, node.bin = top, features[int(k)], int(b)
-        node.sides = tuple((float(x[1, k, b]), float(x[2, k, b])) for x in (left, right))
+        node.sides = tuple(tuple(x[:, k, b].tolist()) for x in (left, right))
     return node
 
 
@@ -148,7 +150,8 @@ class Growth:
     def __init__(self, settings: Settings, features: list[int]):
         self.settings, self.features = settings, features
         self.nodes: dict[int, Node] = {}
-        self.made: list[int] = []
+        self.histograms: dict[int, np.ndarray] = {}
+        self.parents: dict[int, int] = {}
         self.used = 1
 
     def order(self) -> list[int]:
@@ -167,21 +170,35 @@ class Growth:
                     heapq.heappush(queue, (-self.nodes[child].gain, child))
         return out
 
+    def number(self, k: int) -> int:
+        """The number of the left child of a node, which gets one if it has none."""
+        node = self.nodes[k]
+        if node.left is None:
+            node.left, self.used = self.used, self.used + 2
+            self.parents |= {node.left: k, node.left + 1: k}
+        return node.left
+
     def wanted(self) -> list[int]:
-        """Nodes whose histograms the next step needs; none when the tree is done. The last split's children never are."""
+        """Nodes whose histograms the next step needs; none when the tree is done. The last split's children never are, and of two
+        children the larger one's is what the smaller one's leaves of their parent's."""
         if 0 not in self.nodes:
             return [0]
         order, out = self.order(), []
         for k in order if len(order) < self.settings.leaves - 1 else order[:-1]:
-            node = self.nodes[k]
-            if node.left is None:
-                node.left, self.used = self.used, self.used + 2
-            out += [c for c in (node.left, node.left + 1) if c not in self.nodes]
+            left = self.number(k)
+            if left not in self.nodes:
+                out.append(left + (self.nodes[k].sides[1][0] < self.nodes[k].sides[0][0]))
         return out
 
     def learn(self, numbers: list[int], hist: np.ndarray) -> None:
-        for k, number in enumerate(numbers):
-            self.nodes[number] = best_split(hist[:, k], self.features, self.settings)
+        for i, k in enumerate(numbers):
+            found = {k: hist[:, i]}
+            if k:
+                parent = self.parents[k]
+                left = self.nodes[parent].left
+                found[2 * left + 1 - k] = self.histograms.pop(parent) - hist[:, i]
+            for node, h in found.items():
+                self.nodes[node], self.histograms[node] = best_split(h, self.features, self.settings), h
 
     def known_splits(self) -> list[Split]:
         """All splits with numbered children, parents first."""
@@ -198,14 +215,12 @@ class Growth:
         """The finished tree: its splits and each leaf's value."""
         splits, totals = [], {0: self.nodes[0].total}
         for k in self.order():
-            node = self.nodes[k]
-            if node.left is None:  # the last one
-                node.left, self.used = self.used, self.used + 2
-            splits.append(Split(k, node.feature, node.bin, node.left))
+            node, left = self.nodes[k], self.number(k)
+            splits.append(Split(k, node.feature, node.bin, left))
             totals.pop(k)
-            totals[node.left], totals[node.left + 1] = node.sides
+            totals[left], totals[left + 1] = node.sides
         s = self.settings
-        return Tree(splits, {k: -s.rate * g / (h + s.l2) if h + s.l2 > 0 else 0.0 for k, (g, h) in totals.items()})
+        return Tree(splits, {k: -s.rate * g / (h + s.l2) if h + s.l2 > 0 else 0.0 for k, (_, g, h) in totals.items()})
 
 
 @dataclass
@@ -213,6 +228,13 @@ class Tree:
     splits: list[Split]
     values: dict[int, float]
 
+    def plain(self) -> dict:
+        return {"splits": [[s.node, s.feature, s.bin, s.left] for s in self.splits], "values": {str(k): v for k, v in self.values.items()}}
+
+    @classmethod
+    def of(cls, plain: dict) -> Tree:
+        return cls([Split(*s) for s in plain["splits"]], {int(k): v for k, v in plain["values"].items()})
+
     def scores(self, bins: np.ndarray) -> np.ndarray:
         table = np.zeros(max(self.values) + 1)
         for k, v in self.values.items():
@@ -256,15 +278,14 @@ class Model:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """As one line of JSON, in any store that Spark writes; what was there is replaced."""
-        trees = [{"splits": [[s.node, s.feature, s.bin, s.left] for s in t.splits], "values": {str(k): v for k, v in t.values.items()}} for t in self.trees]
+        trees = [t.plain() for t in self.trees]
         text = json.dumps({"features": self.features, "edges": [e.tolist() for e in self.edges], "start": self.start, "settings": asdict(self.settings), "trees": trees})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Model:
         found = json.loads(spark.read.text(path).first()[0])
-        trees = [Tree([Split(*s) for s in t["splits"]], {int(k): v for k, v in t["values"].items()}) for t in found["trees"]]
-        return cls(found["features"], [np.array(e) for e in found["edges"]], found["start"], trees, Settings(**found["settings"]))
+        return cls(found["features"], [np.array(e) for e in found["edges"]], found["start"], [Tree.of(t) for t in found["trees"]], Settings(**found["settings"]))
 
 
 def number(column: str) -> Column:
@@ -312,11 +333,57 @@ def _block(row: dict) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["bins"], np.uint8).reshape(-1, row["n"]), y, key, score
 
 
-def _sums(state: DataFrame, growth: Growth, wanted: list[int], tree: int) -> np.ndarray:
-    """The histogram of the wanted nodes over all rows that the tree sees."""
-    settings, features, splits = growth.settings, growth.features, growth.known_splits()
+def _grown(settings: Settings, n_features: int, sums: Callable[[Growth, list[int], int], np.ndarray], add: Callable[[Tree, int], None]) -> list[Tree]:
+    """All trees, given the sums over rows for nodes of a tree, and what is to be done with a finished one."""
+    trees = []
+    for t in range(settings.rounds):
+        growth = Growth(settings, tree_features(settings, n_features, t))
+        while wanted := growth.wanted():
+            growth.learn(wanted, sums(growth, wanted, t))
+        tree = growth.tree()
+        if not tree.splits:
+            if settings.row_share == settings.feature_share == 1:
+                break  # nor would a later tree have one
+            continue
+        trees.append(tree)
+        add(tree, t)
+    return trees
+
+
+def _slots(growth: Growth, wanted: list[int], bins: np.ndarray) -> np.ndarray:
+    """Which of the wanted nodes each row is in, or -1."""
     slots = np.full(growth.used, -1)
     slots[wanted] = np.arange(len(wanted))
+    return slots[leaves_of(bins, growth.known_splits())]
+
+
+def _local(blocks: DataFrame, settings: Settings, n_features: int) -> list[Tree]:
+    """The trees, learned in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_block(row) for batch in batches for row in batch.to_pylist()]
+        bins = np.concatenate([p[0] for p in parts], 1)
+        y, key, score = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        at: dict = {}
+
+        def sums(growth: Growth, wanted: list[int], tree: int) -> np.ndarray:
+            if at.get("tree") != tree:
+                seen = _drawn(key, settings.row_share, settings.seed, tree) if settings.row_share < 1 else np.ones(len(y), bool)
+                at.update(tree=tree, bins=bins[:, seen], g=gradients(settings.objective, y[seen], score[seen], settings.power))
+            return histogram(at["bins"], _slots(growth, wanted, at["bins"]), len(wanted), growth.features, *at["g"])
+
+        def add(tree: Tree, _: int) -> None:
+            score[:] += tree.scores(bins)
+
+        found = [tree.plain() for tree in _grown(settings, n_features, sums, add)]
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(found)])], names=["trees"])
+
+    return [Tree.of(t) for t in json.loads(blocks.coalesce(1).mapInArrow(run, "trees string").first()[0])]
+
+
+def _sums(state: DataFrame, growth: Growth, wanted: list[int], tree: int) -> np.ndarray:
+    """The histogram of the wanted nodes over all rows that the tree sees."""
+    settings, features = growth.settings, growth.features
     shape = (len(wanted), len(features), MOST_BINS + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +391,7 @@ def _sums(state: DataFrame, growth: Growth, wanted: list[int], tree: int) -> np.
         for batch in batches:
             for row in batch.to_pylist():
                 bins, y, key, score = _block(row)
-                slot = slots[leaves_of(bins, splits)]
+                slot = _slots(growth, wanted, bins)
                 if settings.row_share < 1:
                     slot = np.where(_drawn(key, settings.row_share, settings.seed, tree), slot, -1)
                 total += histogram(bins, slot, len(wanted), features, *gradients(settings.objective, y, score, settings.power))
@@ -376,28 +443,27 @@ def fit(rows: DataFrame, features: list[str], label: str, settings: Settings = S
             yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["n", *PARTS])
 
     blocks = stage(plain.mapInArrow(block, BLOCKS), "boosting-blocks")
-    staged, state, old = [blocks], blocks.persist(StorageLevel.MEMORY_AND_DISK), None
-    trees: list[Tree] = []
-    for t in range(settings.rounds):
-        growth = Growth(settings, tree_features(settings, len(features), t))
-        while wanted := growth.wanted():
-            growth.learn(wanted, _sums(state, growth, wanted, t))
-            if old is not None:  # the scores have been computed from it
-                old.unpersist()
-                old = None
-        tree = growth.tree()
-        if not tree.splits:
-            if settings.row_share == settings.feature_share == 1:
-                break  # nor would a later tree have one
-            continue
-        trees.append(tree)
-        old, state = state, _scored(state, tree)
+    if n * len(features) <= MOST_LOCAL:
+        trees = _local(blocks, settings, len(features))
+        discard(blocks)
+        return Model(features, edges, start, trees, settings)
+    staged, kept = [blocks], [blocks.persist(StorageLevel.MEMORY_AND_DISK)]
+
+    def sums(growth: Growth, wanted: list[int], tree: int) -> np.ndarray:
+        out = _sums(kept[-1], growth, wanted, tree)
+        while len(kept) > 1:  # the scores have been computed from it
+            kept.pop(0).unpersist()
+        return out
+
+    def add(tree: Tree, t: int) -> None:
+        state = _scored(kept[-1], tree)
         if (t + 1) % TREES_PER_STAGE == 0 and t + 1 < settings.rounds:
             state = stage(state, "boosting-blocks")
             staged.append(state)
-        state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    for df in (state, old):
-        if df is not None:
-            df.unpersist()
+        kept.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+
+    trees = _grown(settings, len(features), sums, add)
+    for df in kept:
+        df.unpersist()
     discard(*staged)
     return Model(features, edges, start, trees, settings)
