@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.functions import metrics as M
 from gridloom.functions.arrays import scale_params
@@ -106,8 +107,6 @@ def duplicate_rows(spark, sf):
 
 @query(sql("""SELECT id, day_idx - lag(day_idx) OVER (PARTITION BY id ORDER BY day_idx) AS gap, day_idx FROM fact QUALIFY gap > 20""", "id:l gap:l day_idx:l", FACT))
 def observation_gaps(spark, sf):
-    from pyspark.sql.window import Window
-
     gap = F.col("day_idx") - F.lag("day_idx").over(Window.partitionBy("id").orderBy("day_idx"))
     return supplier_facts(spark, sf).select("id", gap.alias("gap"), "day_idx").where("gap > 20")
 
@@ -901,6 +900,9 @@ def tree_baseline(spark, sf):
     from gridloom.operators.models import gbt_forecast
 
     panel = market_panel(spark, sf).withColumn("id", F.concat_ws("_", "item", "store")).withColumn("item_id", F.col("item"))
+    # A price is only there where something was sold, so the model gets the last one known as long before as the other lags.
+    known = F.last("sell_price", True).over(Window.partitionBy("id").orderBy("day_idx").rowsBetween(Window.unboundedPreceding, -HORIZON))
+    panel = panel.withColumn("sell_price", known)
     panel = panel.select("*", F.lit(None).cast("string").alias("event_name_1"), F.lit(0).alias("snap"), (F.col("day_idx") % 7).alias("wday"), (F.col("day_idx") % 12).alias("month"), F.floor(F.col("day_idx") / 52).alias("year"))
     return gbt_forecast(X.feature_frame(panel, WEEK_END), WEEK_END, 4)
 
