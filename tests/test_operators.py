@@ -13,6 +13,7 @@ from gridloom.operators import hierarchy as H
 from gridloom.operators import retrieval as T
 from gridloom.operators import scales as N
 from gridloom.operators import windows as W
+from tests.test_draws import plain_crossing, pool_adjacent
 
 
 def one(df):
@@ -162,7 +163,7 @@ def test_diagnostics(spark):
     rows = spark.createDataFrame([(1, h, float(h), 0.0, 2.0 * h + 1) for h in range(5)], "window int, h int, y double, c double, r double")
     assert all(abs(r.rescaled - r.y) < 1e-9 for r in D.oracle_rescale(rows).collect())
     assert one(D.optimal_weight(rows)).weight == pytest.approx(sum(h * (2 * h + 1) for h in range(5)) / sum((2 * h + 1) ** 2 for h in range(5)))
-    assert D.pool_adjacent(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
+    assert pool_adjacent(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
     rng = np.random.default_rng(1)
     x = rng.random(3000)
     u = np.where((x > 0.6) == (rng.random(3000) < 0.85), 1.0, -1.0)
@@ -189,7 +190,8 @@ def test_diagnostics(spark):
 
 
 def test_crossing_lies_between_two_points():
-    """No crossing where the fit never is below one half or never reaches it; else by interpolation, on a plain fit."""
+    """The plain version that isotonic_crossing() is compared with in test_draws.py, against a plainer one: no crossing where the fit never is
+    below one half or never reaches it; else by interpolation."""
 
     def plain(x, y):
         fit = list(map(float, y))
@@ -205,13 +207,13 @@ def test_crossing_lies_between_two_points():
         k = next(i for i, v in enumerate(fit) if v >= 0.5)
         return x[k - 1] + (0.5 - fit[k - 1]) / (fit[k] - fit[k - 1]) * (x[k] - x[k - 1])
 
-    assert D._crossing(np.arange(3.0), np.array([0.6, 0.7, 0.9]), np.ones(3)) is None
-    assert D._crossing(np.arange(3.0), np.array([0.1, 0.2, 0.3]), np.ones(3)) is None
+    assert plain_crossing(np.arange(3.0), np.array([0.6, 0.7, 0.9]), np.ones(3)) is None
+    assert plain_crossing(np.arange(3.0), np.array([0.1, 0.2, 0.3]), np.ones(3)) is None
     rng = np.random.default_rng(7)
     for _ in range(200):
         x = np.sort(rng.random(9))
         y = rng.random(9)
-        got, expected = D._crossing(x, y, np.ones(9)), plain(x, y)
+        got, expected = plain_crossing(x, y, np.ones(9)), plain(x, y)
         assert (got is None) == (expected is None) and (got is None or got == pytest.approx(expected))
 
 
