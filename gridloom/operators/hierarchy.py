@@ -64,10 +64,10 @@ def rollup(rows: DataFrame, sums: list[str], extra: list[str]) -> DataFrame:
 
 
 def dollar_weights(panel: DataFrame, train_end: int, days: int = 28) -> DataFrame:
-    """Revenue of each group over the last `days` training days; a missing price counts zero: level, key, weight. Summed as decimals
-    of six places, so the order of summation doesn't matter."""
-    recent = panel.where((F.col("day_idx") > train_end - days) & (F.col("day_idx") <= train_end)).withColumn("weight", (F.col("sales") * F.coalesce("sell_price", F.lit(0.0))).cast("decimal(28, 6)"))
-    return rollup(recent, ["weight"], []).withColumn("weight", F.col("weight").cast("double"))
+    """Revenue of each group over the last `days` training days; a missing price counts zero: level, key, weight. Summed as whole
+    millionths, so the order of summation doesn't matter."""
+    recent = panel.where((F.col("day_idx") > train_end - days) & (F.col("day_idx") <= train_end)).withColumn("weight", F.floor(F.col("sales") * F.coalesce("sell_price", F.lit(0.0)) * 1e6 + 0.5).cast("decimal(20, 0)"))
+    return rollup(recent, ["weight"], []).withColumn("weight", F.col("weight").cast("double") / 1e6)
 
 
 def wrmsse_levels(panel: DataFrame, forecast: DataFrame, train_end: int, horizon: int = 28) -> DataFrame:

@@ -44,8 +44,12 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_price(unit: Column) -> Column:
-    """The mean of prices, summed as decimals: the same in any order of summation."""
-    return F.sum(unit.cast("decimal(18, 6)")).cast("double") / F.count("*")
+    """The mean of prices, summed as whole millionths: the same in any order of summation."""
+    return F.sum(F.floor(unit * 1e6 + 0.5)) / F.lit(1e6) / F.count("*")
+
+
+#: The same in SQL.
+MEAN_PRICE = "CAST(SUM(CAST(floor(l_extendedprice / l_quantity * 1e6 + 0.5) AS BIGINT)) AS DOUBLE) / 1e6 / COUNT(*)"
 
 
 def market_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +153,8 @@ def topk_sql(scale: str, k: int = K, on: str = "c.cat = q.cat", extra: str = "TR
 
 
 MARKET = (
-    """mfact AS (SELECT p_brand AS item, n_name AS store, r_name AS state, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS INT) + 1 AS day_idx,
-  SUM(l_quantity) AS sales, CAST(SUM(CAST(l_extendedprice / l_quantity AS DECIMAL(18, 6))) AS DOUBLE) / COUNT(*) AS sell_price
+    f"""mfact AS (SELECT p_brand AS item, n_name AS store, r_name AS state, CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7) AS INT) + 1 AS day_idx,
+  SUM(l_quantity) AS sales, {MEAN_PRICE} AS sell_price
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3, 4)""",
     f"""market AS (SELECT i.item, i.store, i.state, d.day_idx, COALESCE(f.sales, 0.0) AS sales, f.sell_price,
   'D' || (CAST(regexp_extract(i.item, '(\\d+)$', 1) AS INT) % 10) AS dept, 'C' || (CAST(regexp_extract(i.item, '(\\d+)$', 1) AS INT) % 3) AS cat

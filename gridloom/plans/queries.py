@@ -21,7 +21,7 @@ from gridloom.operators import retrieval as T
 from gridloom.operators import scales as N
 from gridloom.operators import windows as W
 from gridloom.plans.inputs import (
-    BASE, CONTEXT, DAYS, FACT, HORIZON, K, MARKET, PANEL, STRIDE, TEST, VAL, VAL_M1, VAL_M2, WEEK_END,
+    BASE, CONTEXT, DAYS, FACT, HORIZON, K, MARKET, MEAN_PRICE, PANEL, STRIDE, TEST, VAL, VAL_M1, VAL_M2, WEEK_END,
     day_of, market_panel, mean_price, params_sql, queries_sql, sql, supplier_facts, supplier_panel, supplier_series, table, tidy, topk_sql, windows_sql,
 )
 
@@ -67,7 +67,7 @@ def unpivot_long(spark, sf):
 @query(sql(f"""SELECT i.item_id, i.store_id, CASE i.store_id WHEN 0 THEN i.ca WHEN 1 THEN i.tx ELSE i.wi END AS snap, c.wm_yr_wk, p.sell_price FROM
 (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS day_idx, CAST(l_linenumber = 1 AS INT) AS ca, CAST(l_linenumber = 2 AS INT) AS tx, CAST(l_linenumber = 3 AS INT) AS wi FROM lineitem) i
 LEFT JOIN (SELECT CAST(range AS INT) AS day_idx, CAST((range - 1) // 7 + 1 AS INT) AS wm_yr_wk FROM range(1, {DAYS + 1})) c USING (day_idx)
-LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, CAST(SUM(CAST(l_extendedprice / l_quantity AS DECIMAL(18, 6))) AS DOUBLE) / COUNT(*) AS sell_price FROM lineitem GROUP BY ALL) p
+LEFT JOIN (SELECT l_partkey % 50 AS item_id, l_suppkey % 4 AS store_id, (date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))) // 7 + 1 AS wm_yr_wk, {MEAN_PRICE} AS sell_price FROM lineitem GROUP BY ALL) p
 ON p.item_id = i.item_id AND p.store_id = i.store_id AND p.wm_yr_wk = c.wm_yr_wk""", "item_id:l store_id:l snap:l wm_yr_wk:l sell_price:d"))
 def calendar_price_join(spark, sf):
     lines = table(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("item_id"), (F.col("l_suppkey") % 4).alias("store_id"), day_of("l_shipdate").alias("day_idx"), "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
@@ -507,7 +507,7 @@ def hierarchy_rollup_12(spark, sf):
     return H.rollup(market_panel(spark, sf), ["sales"], ["day_idx"]).groupBy("level", "key").agg(F.count("*").alias("n"), F.sum("sales").alias("total"), F.max("sales").alias("top"))
 
 
-@query(sql(_union_levels(f"(SELECT *, sales * COALESCE(sell_price, 0) AS w FROM market WHERE day_idx > {WEEK_END - 28} AND day_idx <= {WEEK_END})", "SUM(CAST(w AS DECIMAL(38, 6))) AS weight"), "level:s key:s weight:d", *MARKET))
+@query(sql(_union_levels(f"(SELECT *, sales * COALESCE(sell_price, 0) AS w FROM market WHERE day_idx > {WEEK_END - 28} AND day_idx <= {WEEK_END})", "CAST(SUM(floor(w * 1e6 + 0.5)::BIGINT) AS DOUBLE) / 1e6 AS weight"), "level:s key:s weight:d", *MARKET))
 def dollar_weights(spark, sf):
     return H.dollar_weights(market_panel(spark, sf), WEEK_END)
 
