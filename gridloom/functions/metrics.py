@@ -36,3 +36,8 @@ def scaled(error: Column, scale: Column) -> Column:
 
 def coverage(y: Column, low: Column, high: Column) -> Column:
     return F.avg(y.between(low, high).cast("double"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where either column is constant, for which corr() divides by zero."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

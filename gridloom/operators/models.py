@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.metrics import correlation
 from gridloom.functions.arrays import clip_low
 from gridloom.operators.boosting import Model, Settings, fit
 from gridloom.operators.diagnostics import mean_ranks
@@ -53,7 +54,7 @@ def gate_summary(weights: DataFrame, features: DataFrame | None = None, names: t
     if features is None:
         return weights.agg(*figures)
     both = weights.select("id", "weight").join(features.select("id", *names), "id")
-    return both.agg(*figures, *(F.nanvl(F.corr("weight", c), F.lit(None)).alias(f"corr_{c}") for c in names))
+    return both.agg(*figures, *(correlation("weight", c).alias(f"corr_{c}") for c in names))
 
 
 def ablations(train: DataFrame, test: DataFrame, features: tuple[str, ...] = GATE_FEATURES, rounds: int = 200, min_rows: int = 50) -> DataFrame:

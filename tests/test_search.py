@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import diagnostics as D
 from gridloom.operators import retrieval as T
 from gridloom.operators import windows as W
 from tests.test_operators import brute
@@ -43,3 +44,15 @@ def test_nearest_is_exact(monkeypatch, seed):
     expected = np.argsort(d, axis=1, kind="stable")[:, :8]
     assert nearest.places.tolist() == expected.tolist()
     assert nearest.dist.tolist() == np.take_along_axis(d, expected, 1).tolist()
+
+
+def test_exemplar_with_constant_continuations(spark):
+    cont = [[0.0, 0.0, 0.0], [1.0, 2.0, 4.0], [1.0, 2.0, 4.0], [3.0, 1.0, 1.0], [2.0, 1.0, 1.0]]
+    future = [[1.0, 9.0, 2.0], [2.0, 4.0, 8.0], [2.0, 4.0, 8.0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]
+    nearest = spark.createDataFrame([(i, 7, 50, 1.0, 9.0, c, 1) for i, c in enumerate(cont)], "qid long, sid long, t_r int, c_scale double, q_scale double, cont array<double>, rank int")
+    steps = spark.createDataFrame([(i, h + 1, y) for i, ys in enumerate(future) for h, y in enumerate(ys)], "id long, h int, y double")
+    row = D.exemplar(nearest.union(nearest.withColumn("qid", F.col("qid") + 5)), steps.union(steps.withColumn("id", F.col("id") + 5))).first()
+    assert row.qid == 1 and row["shape"] == pytest.approx(1.0)
+    rows = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "x double, utility double")
+    found = D.utility_correlates(rows, ["x"]).first()
+    assert found.rho is None and found.p is None and found.n == 5
