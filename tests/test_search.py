@@ -56,3 +56,34 @@ def test_exemplar_with_constant_continuations(spark):
     rows = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "x double, utility double")
     found = D.utility_correlates(rows, ["x"]).first()
     assert found.rho is None and found.p is None and found.n == 5
+
+
+def test_vectors_within_a_key(spark):
+    rng = np.random.default_rng(6)
+    v, labels = rng.integers(-2, 3, (90, 4)).astype(float), rng.integers(0, 4, 90)
+    rows = spark.createDataFrame([(i, int(x), [float(a) for a in y]) for i, (x, y) in enumerate(zip(labels, v))] + [(500, None, [0.0] * 4)], "id long, label int, v array<double>")
+    found = T.topk_vectors(rows.select(F.col("id").alias("qid"), "label", F.col("v").alias("vec")), rows.select(F.col("id").alias("cand_id"), "label", F.col("v").alias("cvec")), 3, "sql2", queries_per_block=7, vectors_per_block=9, on="label")
+    expected = []
+    for i, q in enumerate(v):
+        near = sorted((float(((q - v[j]) ** 2).sum()), j) for j in range(90) if labels[j] == labels[i])[:3]
+        expected += [(i, r + 1, j, d) for r, (d, j) in enumerate(near)]
+    assert sorted((r.qid, r["rank"], r.cand_id, r.dist) for r in found.collect()) == sorted(expected)
+
+
+def test_builtin_join_without_a_loop(spark):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, i % 3, [float(a) for a in rng.random(5)]) for i in range(60)], "id long, label int, v array<double>")
+    queries, pool = rows.select(F.col("id").alias("qid"), "label", F.col("v").alias("vec")), rows.select(F.col("id").alias("cand_id"), "label", F.col("v").alias("cvec"))
+    plain, compiled = (sorted(map(tuple, T.topk(queries, pool, 4, on=["label"], **more).select("qid", "cand_id", "dist", "rank").collect())) for more in ({}, {"length": 5}))
+    assert plain == compiled and len(plain) == 240
+
+
+def test_probe_searches_once_a_scale(spark, monkeypatch):
+    from gridloom.operators import probe
+
+    scales, whole = [], probe.topk_panel
+    monkeypatch.setattr(probe, "topk_panel", lambda *args: scales.append(args[-1]) or whole(*args))
+    rng = np.random.default_rng(8)
+    series = spark.createDataFrame([(i, [float(v) for v in rng.integers(0, 5, 60)]) for i in range(4)], "id long, ys array<double>")
+    rows = probe.planted_grid(series, 12, 4, 24, 50, 3, (1.0, 2.0), (0.0,), n_boot=20).collect()
+    assert sorted(scales) == ["mean", "raw", "rms", "znorm"] and len(rows) == 10
