@@ -87,3 +87,18 @@ def test_probe_searches_once_a_scale(spark, monkeypatch):
     series = spark.createDataFrame([(i, [float(v) for v in rng.integers(0, 5, 60)]) for i in range(4)], "id long, ys array<double>")
     rows = probe.planted_grid(series, 12, 4, 24, 50, 3, (1.0, 2.0), (0.0,), n_boot=20).collect()
     assert sorted(scales) == ["mean", "raw", "rms", "znorm"] and len(rows) == 10
+
+
+def test_equal_vectors_are_dealt_once(spark):
+    rng = np.random.default_rng(9)
+    few = rng.integers(0, 4, (30, 6)).astype(float)
+    rows = [(i, t, [float(v) for v in few[(i % 3) * 10 + t]]) for i in range(45) for t in range(10)]
+    candidates = spark.createDataFrame(rows, "id long, t_r int, cvec array<double>")
+    asked = [(i, 9, [float(v) for v in few[i % 4]]) for i in range(12)]
+    index = T.PrunedSearch(candidates, 1, 3, most=5)
+    found = index.search(spark.createDataFrame(asked, "qid long, origin int, vec array<double>"), 5).collect()
+    expected = [(q, r + 1, *x[1:]) for q, _, v in asked for r, x in enumerate(sorted((float(((np.array(c) - v) ** 2).sum()), i, t) for i, t, c in rows if t + 1 < 9)[:5])]
+    assert sorted((r.qid, r["rank"], r.sid, r.t_r) for r in found) == sorted(expected)
+    assert index.given == 450 and index.candidates.count() == 30
+    computed = {r.qid: r.n for r in index.computed.collect()}
+    assert set(computed) == set(range(12)) and all(computed[q] == 0 for q in range(4, 12)) and sum(computed.values()) <= 4 * 30
