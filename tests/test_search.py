@@ -102,3 +102,23 @@ def test_equal_vectors_are_dealt_once(spark):
     assert index.given == 450 and index.candidates.count() == 30
     computed = {r.qid: r.n for r in index.computed.collect()}
     assert set(computed) == set(range(12)) and all(computed[q] == 0 for q in range(4, 12)) and sum(computed.values()) <= 4 * 30
+
+
+def test_blocks_send_no_continuations(spark, monkeypatch):
+    ranked, whole = [], T.rank_within
+    monkeypatch.setattr(T, "rank_within", lambda df, *args: ranked.append(df.columns) or whole(df, *args))
+    monkeypatch.setattr(T, "SERIES_A_GROUP", 7)
+    ys = np.random.default_rng(12).integers(0, 4, (40, 120)).astype(float)
+    series = spark.createDataFrame([(i, i % 2, [float(v) for v in y]) for i, y in enumerate(ys)], "id long, cat int, ys array<double>")
+    got = {}
+    for r in T.topk_panel(W.query_windows(series, 14, 100), series, 6, 14, 7, 100, 3, "mean", key=lambda df: F.col("cat")).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.sid, r.t_r))
+        assert r.cont == ys[r.sid, r.t_r : r.t_r + 7].tolist()
+    assert got == brute(ys, 100, 14, 7, 3, 6, "mean", True)
+    assert ranked and not any("cont" in columns for columns in ranked)
+
+
+def test_set_places():
+    for shape in ((3, 5), (4, 16), (1, 7), (0, 8)):
+        ok = np.random.default_rng(sum(shape)).random(shape) < 0.2
+        assert [x.tolist() for x in T._set(ok)] == [x.tolist() for x in np.nonzero(ok)]
