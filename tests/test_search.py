@@ -122,3 +122,13 @@ def test_set_places():
     for shape in ((3, 5), (4, 16), (1, 7), (0, 8)):
         ok = np.random.default_rng(sum(shape)).random(shape) < 0.2
         assert [x.tolist() for x in T._set(ok)] == [x.tolist() for x in np.nonzero(ok)]
+
+
+def test_rules_share_their_series(spark, monkeypatch):
+    from gridloom.plans import queries
+    from tests.conftest import SF
+
+    staged, whole = [], queries.stage
+    monkeypatch.setattr(queries, "stage", lambda df, name: staged.append(name) or whole(df, name))
+    queries.QUERIES["scale_rule_profile"](spark, SF)
+    assert staged.count("series") == 1
