@@ -124,6 +124,18 @@ def test_set_places():
         assert [x.tolist() for x in T._set(ok)] == [x.tolist() for x in np.nonzero(ok)]
 
 
+def test_gate_searches_an_origin_once(spark, monkeypatch):
+    from gridloom.operators import models
+    from gridloom.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    searched, whole = [], T.topk_panel
+    monkeypatch.setattr(T, "topk_panel", lambda *args, **named: searched.append(args[5]) or whole(*args, **named))
+    monkeypatch.setattr(models, "fit_gate", lambda rows: 0.5)
+    QUERIES["gated_fusion"](spark, SF)
+    assert len(searched) == len(set(searched)) == 3
+
+
 def test_rules_share_their_series(spark, monkeypatch):
     from gridloom.plans import queries
     from tests.conftest import SF
