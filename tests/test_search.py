@@ -144,3 +144,25 @@ def test_rules_share_their_series(spark, monkeypatch):
     monkeypatch.setattr(queries, "stage", lambda df, name: staged.append(name) or whole(df, name))
     queries.QUERIES["scale_rule_profile"](spark, SF)
     assert staged.count("series") == 1
+
+
+def test_random_choice_builds_series_once(spark):
+    """The series, the queries and the permutation are computed once, not by each sum and condition that names them."""
+    counts = {"series": spark.sparkContext.accumulator(0), "queries": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        seen = counts[name]
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    rows = spark.createDataFrame([(i, i % 2, [1.0] * 40) for i in range(12)], "id long, store int, ys array<double>")
+    series = counted(rows, "series")
+    queries = counted(rows.selectExpr("id AS qid", "store", "40 AS origin"), "queries")
+    found = T.random_choice(queries, series, 3, 8, 4, 40, 4, 7, ["store"])
+    assert found.count() == 36 and "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {name: n.value for name, n in counts.items()} == {"series": 12, "queries": 12}
