@@ -166,3 +166,18 @@ def test_random_choice_builds_series_once(spark):
     found = T.random_choice(queries, series, 3, 8, 4, 40, 4, 7, ["store"])
     assert found.count() == 36 and "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {name: n.value for name, n in counts.items()} == {"series": 12, "queries": 12}
+
+
+def test_nearest_leaves_most_rows_after_the_product(monkeypatch):
+    """Later candidates seldom pass, so for most queries no matrix of what passes is made; ties go by the order given, not by length."""
+    seen, whole = [], T._Nearest._possible
+    monkeypatch.setattr(T._Nearest, "_possible", lambda self, q, *args: (lambda found: seen.append((len(q), len(found[-1]))) or found)(whole(self, q, *args)))
+    rng = np.random.default_rng(9)
+    q, c = rng.integers(0, 4, (300, 12)).astype(float), rng.integers(0, 4, (20_000, 12)).astype(float)
+    c[:, :6] += rng.integers(0, 3, (20_000, 1))
+    nearest = T._Nearest(q, 5)
+    for at in (0, 6000):
+        nearest.add(c[at : 6000 if at == 0 else None])
+    d = (q * q).sum(1)[:, None] - 2 * q @ c.T + (c * c).sum(1)
+    assert nearest.places.tolist() == np.argsort(d, axis=1, kind="stable")[:, :5].tolist()
+    assert sum(n for _, n in seen) < 0.6 * sum(n for n, _ in seen)
