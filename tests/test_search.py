@@ -46,6 +46,22 @@ def test_nearest_is_exact(monkeypatch, seed):
     assert nearest.dist.tolist() == np.take_along_axis(d, expected, 1).tolist()
 
 
+def test_nearest_with_many_for_one_query_and_numbers_out_of_range():
+    """A query that most candidates are near to, beside some that few are, and distances that are infinite or not a number."""
+    rng = np.random.default_rng(8)
+    c = np.concatenate([rng.integers(0, 3, (60, 4)), np.full((2, 4), 1e200), np.full((2, 4), np.nan), rng.integers(0, 3, (60, 4))])
+    q = np.array([[1.0] * 4, [90.0, 0, 0, 0], [1e200] * 4, [0.0] * 4])
+    for legal in (np.ones((4, len(c)), bool), rng.random((4, len(c))) < 0.04):
+        nearest = T._Nearest(q, 7)
+        for part in (slice(0, 61), slice(61, 90), slice(90, None)):
+            nearest.add(c[part], lambda rows, cols, part=part, legal=legal: legal[:, part][rows, cols])
+        with np.errstate(over="ignore"):
+            d = np.round(((q[:, None] - c[None]) ** 2).sum(2), 9)
+        for i in range(4):
+            order = sorted(np.flatnonzero(legal[i]), key=lambda j: (np.isnan(d[i, j]), d[i, j] if d[i, j] == d[i, j] else 0.0, j))[:7]
+            assert nearest.places[i].tolist() == order + [-1] * (7 - len(order))
+
+
 def test_exemplar_with_constant_continuations(spark):
     cont = [[0.0, 0.0, 0.0], [1.0, 2.0, 4.0], [1.0, 2.0, 4.0], [3.0, 1.0, 1.0], [2.0, 1.0, 1.0]]
     future = [[1.0, 9.0, 2.0], [2.0, 4.0, 8.0], [2.0, 4.0, 8.0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]
