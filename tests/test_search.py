@@ -197,3 +197,17 @@ def test_nearest_leaves_most_rows_after_the_product(monkeypatch):
     d = (q * q).sum(1)[:, None] - 2 * q @ c.T + (c * c).sum(1)
     assert nearest.places.tolist() == np.argsort(d, axis=1, kind="stable")[:, :5].tolist()
     assert sum(n for _, n in seen) < 0.6 * sum(n for n, _ in seen)
+
+
+def test_equal_errors_are_told_apart_by_day_order(spark):
+    """Errors that are equal but for rounding: sums go by day, as SQL in one thread has them, in whatever order the rows come."""
+    from gridloom.functions import metrics as M
+
+    y = {1: 0.0, 8: 21.0, 9: 47.0, 10: 5.0, 11: 2.0, 28: 31.0}
+    rows, expected = [(h, y.get(h, 0.0), 7.571428571428571) for h in range(1, 29)], 0.0
+    for _, v, c in rows:
+        expected += (v - c) * (v - c)
+    rng = np.random.default_rng(3)
+    for _ in range(4):
+        dealt = spark.createDataFrame([rows[i] for i in rng.permutation(28)], "h int, y double, c double").coalesce(1)
+        assert dealt.agg(M.mse_in_order("h", F.col("y"), F.col("c")).alias("e")).first()["e"] == expected / 28
