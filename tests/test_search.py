@@ -211,3 +211,42 @@ def test_equal_errors_are_told_apart_by_day_order(spark):
     for _ in range(4):
         dealt = spark.createDataFrame([rows[i] for i in rng.permutation(28)], "h int, y double, c double").coalesce(1)
         assert dealt.agg(M.mse_in_order("h", F.col("y"), F.col("c")).alias("e")).first()["e"] == expected / 28
+
+
+def test_pruned_panel_ships_series_and_finds_the_same(spark, monkeypatch):
+    """topk_pruned deals series, not windows or a copy of a query for each block; it leaves out pairs where vectors let it, and counts them."""
+    monkeypatch.setattr(T, "BLOCK_SIZE", 20)
+    rng = np.random.default_rng(11)
+    level = np.repeat(10.0 ** rng.integers(0, 4, (30, 10)), 12, axis=1)
+    ys = np.concatenate([level + rng.integers(0, 3, level.shape), np.ones((2, 120)), rng.integers(0, 4, (8, 120))]).astype(float)
+    ys[39] = ys[38]
+    series = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(ys)], "id long, ys array<double>")
+    columns = ["qid", "rank", "sid", "t_r", "dist", "c_loc", "c_scale", "cont"]
+    get = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    queries = W.query_windows(series, 12, 100)
+    queries = queries.withColumn("origin", F.when(F.col("qid") % 3 == 0, 60).otherwise(F.col("origin")))
+    for scale in ("raw", "znorm"):
+        args = (queries, series, 5, 12, 7, 100, 1, scale)
+        pruned = T.topk_panel(*args, series_per_block=15, queries_per_block=9, pruned=True)
+        assert get(pruned) == get(T.topk_panel(*args))
+        computed = {r.qid: r.n for r in pruned.computed.collect()}
+        assert set(computed) == set(range(40)) and max(computed.values()) <= 40 * 82
+        assert sum(computed.values()) < 0.75 * 40 * 40 * 82 or scale == "znorm"
+
+
+@pytest.mark.parametrize("spread", [0.05, 9.0])
+def test_pruned_nearest_is_exact(monkeypatch, spread):
+    monkeypatch.setattr(T, "BLOCK_SIZE", 16)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 5, (9, 10))
+    c = (centres[rng.integers(0, 9, 900)] + rng.normal(0, spread, (900, 10))).round(2)
+    c[7], c[300] = np.nan, c[20]
+    q = np.concatenate([c[20:40], rng.normal(0, 5, (10, 10)), np.zeros((1, 10))])
+    legal = rng.random((len(q), len(c))) < 0.7
+    plain, pruned = T._Nearest(q, 6), T._Pruned(q, 6)
+    for at in range(0, 900, 100):
+        part = slice(at, at + 100)
+        plain.add(c[part], lambda rows, cols, part=part: legal[:, part][rows, cols])
+        pruned.add(c[part], lambda rows, cols, part=part: legal[:, part][rows][:, cols] if isinstance(cols, np.ndarray) else legal[:, part][rows, cols])
+    assert (pruned.places == plain.places).all() and (pruned.dist == plain.dist).all()
+    assert (pruned.computed.sum() < 0.7 * len(q) * len(c)) == (spread < 1) and pruned.computed.max() <= len(c)
